@@ -2,50 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from maskwright.fixed_values import PLACEHOLDER_PATTERN
 from maskwright.functions.arrays import empty, fresh, let, quoted
-from maskwright.functions.detectors import find_spans
-from maskwright.functions.spans import ITEM, PLACED, items_of, number_spans, rebuild, resolve
+from maskwright.functions.spans import ITEM, NO_SPANS, PLACED, items_of, number_spans, rebuild, resolve
 
 
-def place(spans: str, max_replacements: int = 0, overlap: str = "first_longest") -> str:
-    """Resolve overlaps, apply the limit on replacements and number what is left."""
+def chosen_spans(spans: str, max_replacements: int = 0, overlap: str = "first_longest") -> str:
+    """Overlaps resolved and the limit on replacements applied; a text without spans costs nothing."""
 
-    def numbered(found: str) -> str:
-        chosen = resolve(found, overlap)
-        if max_replacements > 0:
-            chosen = f"slice({chosen}, 1, {max_replacements})"
-        return f"if(size({found}) > 0, {let(chosen, number_spans)}, {empty(PLACED)})"
+    def choose(found: str) -> str:
+        kept = resolve(found, overlap)
+        kept = f"slice({kept}, 1, {max_replacements})" if max_replacements > 0 else kept
+        return f"if(size({found}) > 0, {kept}, {NO_SPANS})"
 
-    return let(spans, numbered)
+    return let(spans, choose)
 
 
-def mask_with(
-    text: str, spans: Callable[[str], str], max_replacements: int = 0, overlap: str = "first_longest"
-) -> str:
-    """Mask a text by its spans: struct of masked text, items and placed spans."""
+def placed_spans(spans: str) -> str:
+    """Disjoint spans with their placeholders."""
+    return let(spans, lambda found: f"if(size({found}) > 0, {number_spans(found)}, {empty(PLACED)})")
 
-    def masked(t: str) -> str:
-        return let(
-            place(spans(t), max_replacements, overlap),
-            lambda placed: f"if(size({placed}) = 0, "
-            f"named_struct('masked', {t}, 'items', {empty(ITEM)}, 'placed', {placed}), "
-            f"named_struct('masked', {rebuild(t, placed)}, 'items', {items_of(placed)}, 'placed', {placed}))",
-        )
 
-    return let(text, masked)
+def masked_text(text: str, placed: str) -> str:
+    return f"if(size({placed}) > 0, {rebuild(text, placed)}, {text})"
 
 
-def sanitize_text(
-    text: str,
-    names: Iterable[str],
-    min_confidence: float = 0.0,
-    max_replacements: int = 0,
-    overlap: str = "first_longest",
-) -> str:
-    return mask_with(text, lambda t: find_spans(t, names, min_confidence), max_replacements, overlap)
+def masked_items(placed: str) -> str:
+    return f"if(size({placed}) > 0, {items_of(placed)}, {empty(ITEM)})"
+
+
+def with_masked(
+    df: DataFrame, text: str, spans: str, max_replacements: int = 0, overlap: str = "first_longest"
+) -> DataFrame:
+    """Add `masked` and `items` for the given spans of a text. One step per column keeps each step small."""
+    return (
+        df.withColumn("__chosen", F.expr(chosen_spans(spans, max_replacements, overlap)))
+        .withColumn("__placed", F.expr(placed_spans("__chosen")))
+        .withColumn("masked", F.expr(masked_text(text, "__placed")))
+        .withColumn("items", F.expr(masked_items("__placed")))
+        .drop("__chosen", "__placed")
+    )
 
 
 def placeholders_in(text: str) -> str:
