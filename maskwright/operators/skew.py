@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = 1024
@@ -39,29 +39,37 @@ def hot_split_join(
     return dealt.join(repeated, [*on, "__slot"], how).drop("__slot")
 
 
-def rank_in_order(
-    df: DataFrame, group: list[str], order: list[str], block: int, into: str = "rank"
+def running_total(
+    df: DataFrame, group: list[str], order: list[str], block: int, amount: Column, into: str
 ) -> DataFrame:
-    """Row number within `group` by `order`, without a whole group in one task.
+    """Sum of `amount` over the earlier rows of `group` by `order`, without a whole group in one task.
 
-    Rows are ranked within blocks of the first order column, an integer, and the sizes of the earlier blocks are
-    added. A group of any size is spread over its blocks; only one row per block meets in the running sum.
+    Rows are summed within blocks of the first order column, an integer, and the sums of the earlier blocks are
+    added. A group of any size is spread over its blocks; only one row per block meets in the sum over blocks.
     """
-    blocked = df.withColumn("__block", F.floor(F.col(order[0]) / block))
-    sizes = blocked.groupBy(*group, "__block").agg(F.count("*").alias("__size"))
+    blocked = df.withColumn("__block", F.floor(F.col(order[0]) / block)).withColumn("__amount", amount)
+    sums = blocked.groupBy(*group, "__block").agg(F.sum("__amount").alias("__sum"))
     earlier = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *group, "__block", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before")
+    offsets = sums.select(
+        *group, "__block", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before")
     )
-    inner = Window.partitionBy(*group, "__block").orderBy(*order)
-    ranked = blocked.withColumn("__rank", F.row_number().over(inner))
+    inner = Window.partitionBy(*group, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = blocked.withColumn("__within", F.coalesce(F.sum("__amount").over(inner), F.lit(0)))
     return (
-        ranked.join(offsets, [*group, "__block"])
-        .withColumn(into, F.col("__rank") + F.col("__before"))
-        .drop("__block", "__rank", "__before")
+        within.join(offsets, [*group, "__block"])
+        .withColumn(into, F.col("__within") + F.col("__before"))
+        .drop("__block", "__amount", "__within", "__before")
     )
 
 
+def rank_in_order(
+    df: DataFrame, group: list[str], order: list[str], block: int, into: str = "rank"
+) -> DataFrame:
+    """Row number within `group` by `order`, computed as a running total."""
+    counted = running_total(df, group, order, block, F.lit(1), into)
+    return counted.withColumn(into, F.col(into) + 1)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Mark a table for broadcast only after counting that it has at most `max_rows` rows."""
     small = df.limit(max_rows + 1).count() <= max_rows
