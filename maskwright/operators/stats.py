@@ -128,7 +128,8 @@ def recent_report(audit: DataFrame, order: list[str], n: int = RECENT_REQUESTS)
         F.coalesce("status_code", F.lit(0)).cast("string"),
         F.array_join(F.array_sort(F.map_keys("masked_by")), "|"),
         F.col("masked_count").cast("string"),
-        F.format_number(F.coalesce("total_ms", F.lit(0.0)), "0.000"),
+        # By the exact binary value, as printf does; format_string rounds the shortest decimal instead.
+        F.expr("format_number(coalesce(total_ms, 0d), '0.000')"),
     ]
     return rows.orderBy(*[F.desc(f"log_{c}") for c in order]).select(
         *[v.alias(name) for v, name in zip(values, RECENT_COLUMNS, strict=True)]
@@ -162,9 +163,14 @@ def snapshot(
         "r -> named_struct('domain', r.domain, 'requests', r.requests))"
     )
     logged = [f"log_{c}" for c in order]
-    fields = [c for c in recent(audit, order, recent_n).columns if c not in logged]
-    newest = recent(audit, order, recent_n).agg(
-        F.sort_array(F.collect_list(F.struct(*logged, F.struct(*fields).alias("row"))), asc=False).alias("rows")
+    last = recent(audit, order, recent_n)
+    fields = [c for c in last.columns if c not in logged]
+    newest = last.agg(
+        F.collect_list(F.struct(F.struct(*logged).alias("place"), F.struct(*fields).alias("row"))).alias("rows")
+    )
+    newest_first = F.expr(
+        "transform(array_sort(rows, (a, b) -> case when a.place > b.place then -1 when a.place < b.place then 1 "
+        "else 0 end), r -> r.row)"
     )
     base = audit.agg(
         F.count("*").alias("total"),
@@ -186,7 +192,7 @@ def snapshot(
         ).alias("masked_items"),
         F.struct("sanitize_ms", "upstream_ms", "total_ms").alias("latency"),
         domains.select(sorted_domains).scalar().alias("top_domains"),
-        newest.select(F.col("rows")["row"]).scalar().alias("recent"),
+        newest.select(newest_first).scalar().alias("recent"),
     )
 
 

@@ -181,15 +181,15 @@ every AS (SELECT doc_id, type, value, s, e, score, src, ord FROM spans UNION ALL
 
 _PIECES = f"""WITH RECURSIVE vocab AS ({tables.VOCAB_SQL}),
 forms AS (SELECT DISTINCT lower(w) AS form FROM (SELECT unnest(regexp_extract_all(text, {_P})) AS w FROM documents)),
-walk(form, at, ids) AS (
+walk(form, pos, ids) AS (
   SELECT form, 0, CAST([] AS BIGINT[]) FROM forms WHERE length(form) <= 100
   UNION ALL
-  SELECT form, at + size, list_append(ids, id) FROM (
-    SELECT w.form, w.at, w.ids, v.id, n.size, row_number() OVER (PARTITION BY w.form ORDER BY n.size DESC) AS rank
-    FROM walk w JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS size) n ON w.at + n.size <= length(w.form)
-    JOIN vocab v ON v.piece = CASE WHEN w.at > 0 THEN '##' ELSE '' END || substr(w.form, w.at + 1, n.size)) WHERE rank = 1),
+  SELECT form, pos + size, list_append(ids, id) FROM (
+    SELECT w.form, w.pos, w.ids, v.id, n.size, row_number() OVER (PARTITION BY w.form ORDER BY n.size DESC) AS rank
+    FROM walk w JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS size) n ON w.pos + n.size <= length(w.form)
+    JOIN vocab v ON v.piece = CASE WHEN w.pos > 0 THEN '##' ELSE '' END || substr(w.form, w.pos + 1, n.size)) WHERE rank = 1),
 cut AS (SELECT forms.form, coalesce(d.ids, [CAST(1 AS BIGINT)]) AS ids FROM forms
-  LEFT JOIN (SELECT form, ids FROM walk WHERE at = length(form)) d ON d.form = forms.form)"""
+  LEFT JOIN (SELECT form, ids FROM walk WHERE pos = length(form)) d ON d.form = forms.form)"""
 
 ORACLES = {
     "words": "SELECT doc_id, count(*) AS n_words, CAST(sum((e - length(hit)) * (i + 1)) AS BIGINT) AS starts, "

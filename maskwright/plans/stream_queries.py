@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import masking
 from maskwright.plans import tables
-from maskwright.session import scratch_dir
+from maskwright.session import scratch_dir, written
 from maskwright.streaming.restore import restore_chunks, restore_stream
 
 CHUNK = 97
 
 
 def _masked(spark: SparkSession, folder: str) -> DataFrame:
+    """The masked documents as the masking job leaves them, as a table."""
     masked = masking.sanitize(tables.planted(spark, folder))
-    return masked.withColumn("session_id", F.col("doc_id").cast("string"))
+    return written(masked.select(F.col("doc_id").cast("string").alias("session_id"), "masked", "items"), "masked")
 
 
 def _chunks(masked: DataFrame) -> DataFrame:
@@ -43,9 +44,7 @@ def chunks_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunks_stream(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_dir(spark, "masked")
-    _masked(spark, folder).select("session_id", "masked", "items").write.parquet(path)
-    masked = spark.read.parquet(path)
+    masked = _masked(spark, folder)
     known = masking.build_mappings(masked, "session_id")
     source, output = scratch_dir(spark, "chunks"), scratch_dir(spark, "restored")
     chunks = _chunks(masked)

@@ -9,6 +9,7 @@ from maskwright.functions.detectors import detect, detectors
 from maskwright.functions.numbers import shannon_entropy
 from maskwright.operators import masking
 from maskwright.plans import oracle, tables
+from maskwright.session import written
 
 BASIC = ["email", "phone", "api_key", "jwt"]
 DOCUMENTS = "SELECT doc_id, text FROM documents"
@@ -81,28 +82,27 @@ def mappings(spark: SparkSession, folder: str) -> DataFrame:
     return masking.build_mappings(masking.sanitize(tables.planted(spark, folder)), "doc_id")
 
 
+def _masked_table(spark: SparkSession, folder: str, types: list[str] | None) -> DataFrame:
+    """The masked documents as the masking job leaves them, as a table, with the documents as sessions."""
+    masked = masking.sanitize(tables.planted(spark, folder), types=types)
+    return written(masked.withColumn("session", F.col("doc_id")), "masked")
+
+
 def restore_text(spark: SparkSession, folder: str) -> DataFrame:
     """Answers that quote the masked documents; restoring is off for every fifth."""
-    masked = masking.sanitize(tables.planted(spark, folder), types=BASIC)
-    answers = masked.select("doc_id", F.concat(F.lit("You wrote: "), "masked", F.lit(" [EMAIL_99]")).alias("text"))
-    known = masking.build_mappings(masked, "doc_id")
-    restored = masking.restore(
-        answers.withColumn("session", F.col("doc_id")),
-        known.withColumnRenamed("doc_id", "session"),
-        key="doc_id",
-        session="session",
-        enabled="doc_id % 5 <> 0",
-    )
+    masked = _masked_table(spark, folder, BASIC)
+    quote = F.concat(F.lit("You wrote: "), "masked", F.lit(" [EMAIL_99]"))
+    answers = masked.select("doc_id", "session", quote.alias("text"))
+    known = masking.build_mappings(masked, "session")
+    restored = masking.restore(answers, known, "doc_id", "session", enabled="doc_id % 5 <> 0")
     return restored.select("doc_id", "restored")
 
 
 def round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    docs = tables.planted(spark, folder)
-    masked = masking.sanitize(docs)
-    known = masking.build_mappings(masked, "doc_id").withColumnRenamed("doc_id", "session")
-    sessions = masked.select("doc_id", F.col("doc_id").alias("session"), F.col("text").alias("original_text"), "masked")
-    restored = masking.restore(sessions, known, "doc_id", "session", text="masked")
-    return restored.select("doc_id", (F.col("restored") == F.col("original_text")).alias("same"))
+    masked = _masked_table(spark, folder, None)
+    known = masking.build_mappings(masked, "session")
+    restored = masking.restore(masked, known, "doc_id", "session", text="masked")
+    return restored.select("doc_id", (F.col("restored") == F.col("text")).alias("same"))
 
 
 def detector_registry(spark: SparkSession, folder: str) -> DataFrame:

@@ -50,3 +50,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, F.col(key))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, computed once into the shared scratch folder and read from there.
+
+    For a result that several later steps need: they then read it, and a lost executor costs no earlier work.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 from maskwright.fixed_values import PLACEHOLDER_PATTERN
 from maskwright.operators.masking import restore
 from maskwright.operators.skew import running_total
-from maskwright.session import ROCKSDB
+from maskwright.session import ROCKSDB, written
 
 _OPEN_TAIL = re.compile(r"\[[A-Z0-9_]*\Z")
 TTL_MS = 600_000
@@ -180,7 +180,7 @@ def restore_chunks(chunks: DataFrame, mappings: DataFrame, size: int = 4096) ->
     has longer ones around it, so edges are passed on once.
     """
     longest = max(longest_placeholder(mappings), 1)
-    texts = _blocks_of_text(chunks, max(size, 2 * longest))
+    texts = written(_blocks_of_text(chunks, max(size, 2 * longest)), "blocks")
     edges = texts.select(
         "session_id", "block", "next", F.left("text", F.lit(longest)).alias("head"), F.right("text", F.lit(longest)).alias("tail")
     )
@@ -213,4 +213,4 @@ def restore_chunks(chunks: DataFrame, mappings: DataFrame, size: int = 4096) ->
         F.col("block").alias("seq"),
         F.concat(F.substr("text", skip + 1), borrowed).alias("piece"),
     )
-    return restore_pieces(pieces, mappings).withColumnRenamed("seq", "block")
+    return restore_pieces(written(pieces, "pieces"), mappings).withColumnRenamed("seq", "block")
