@@ -11,6 +11,7 @@ from maskwright.functions.detectors import detect
 from maskwright.functions.masking import chosen_spans, placeholders_in, put_back, with_masked
 from maskwright.functions.spans import rebuild
 from maskwright.operators.skew import hot_split_join, rank_in_order
+from maskwright.session import written
 
 
 def sanitize(
@@ -70,14 +71,16 @@ def restore(
     """Put the originals back into texts, each from the mappings of its own session.
 
     `key` is unique per response, `(session, placeholder)` per mapping, `enabled` a condition on the response.
-    Only places travel to the mappings; a response meets its own originals again by `key`. One pass per text, so
+    Only places travel to the mappings, by way of a table in the scratch folder; a response meets its own
+    originals again by `key`. One pass per text, so
     an original that looks like a placeholder stays as it is, and so does a placeholder without a mapping.
     """
     active = f"coalesce({enabled}, false)"
-    asked = (
+    asked = written(
         responses.filter(F.expr(f"{active} and contains({text}, '[')"))
         .select(key, session, F.posexplode_outer(F.expr(placeholders_in(text))).alias("pos", "placeholder"))
-        .filter(F.col("placeholder").isNotNull())
+        .filter(F.col("placeholder").isNotNull()),
+        "asked",
     )
     known = mappings.select(session, "placeholder", "original")
     answered = hot_split_join(asked, known, [session, "placeholder"], [key, "pos"])
@@ -126,15 +129,16 @@ def sanitize_conversations(
     """Mask the turns of conversations with one set of placeholders per conversation.
 
     Returns the table with `masked` added, and the mappings (conversation, placeholder, original). A conversation
-    of any length is spread over blocks of turns; what is gathered in one place is a single turn.
+    of any length is spread over blocks of turns; what is gathered in one place is a single turn. The detectors run
+    once, when this is called: their findings, without the texts, are kept as a table in the scratch folder.
     """
     spans = resolved_spans(df, text, types, min_confidence)
-    occurrences = findings(spans, [conversation, turn]).filter(F.trim("value") != "")
-    occurrences = occurrences.withColumn("kind", F.upper("type"))
+    found = findings(spans, [conversation, turn]).filter(F.trim("value") != "")
+    occurrences = written(found.withColumn("kind", F.upper("type")), "occurrences")
     if max_replacements > 0:
         ranked = rank_in_order(occurrences, [conversation], [turn, "start"], block)
-        occurrences = ranked.filter(F.col("rank") <= max_replacements).drop("rank")
-    numbered = number_placeholders(occurrences, [conversation], [turn, "start"], block)
+        occurrences = written(ranked.filter(F.col("rank") <= max_replacements).drop("rank"), "occurrences")
+    numbered = written(number_placeholders(occurrences, [conversation], [turn, "start"], block), "numbered")
     placed = hot_split_join(
         occurrences, numbered, [conversation, "kind", "value"], [turn, "start"], how="inner"
     )

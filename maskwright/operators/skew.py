@@ -15,7 +15,8 @@ def hot_split_join(
 
     A key is hot when it has at least that share. There can be no more than `parts` such keys, so the table of hot
     keys may be broadcast whatever the size of the inputs. The rows of a hot key are dealt out by a hash of
-    `spread_by` and its rows of `right`, unique or few, are repeated for every share.
+    `spread_by` and its rows of `right`, unique or few, are repeated for every share. `left` is read twice, so what
+    is costly to compute should be a written table.
     """
     counts = left.groupBy(*on).agg(F.count("*").alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()

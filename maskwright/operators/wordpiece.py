@@ -9,6 +9,7 @@ from maskwright import fixed_values as fixed
 from maskwright.functions.arrays import empty
 from maskwright.functions.patterns import WORDS
 from maskwright.operators.skew import broadcast_if_small, hot_split_join
+from maskwright.session import written
 
 MAX_BROADCAST_PIECES = 500_000
 
@@ -32,7 +33,7 @@ def wordpiece(words: DataFrame, vocab: DataFrame, word: str = "word", lowercase:
     unknown = special_ids(vocab)[fixed.UNKNOWN_PIECE]
     longest = vocab.agg(F.max(F.char_length("piece"))).first()[0]
     form = F.lower(word) if lowercase else F.col(word)
-    distinct = words.select(word).distinct().withColumn("__form", form)
+    distinct = written(words.select(word).distinct().withColumn("__form", form), "words")
     forms = distinct.select("__form").distinct().filter(F.char_length("__form") <= fixed.MAX_WORD_LENGTH)
     starts = forms.select("__form", F.explode(F.sequence(F.lit(0), F.char_length("__form") - 1)).alias("start"))
     sizes = F.expr(f"sequence(1, least(char_length(__form) - start, {longest}))")
@@ -44,7 +45,7 @@ def wordpiece(words: DataFrame, vocab: DataFrame, word: str = "word", lowercase:
     hits = (
         cuts.join(table, "piece")
         if small
-        else hot_split_join(cuts, known, ["piece"], ["__form", "start"], how="inner")
+        else hot_split_join(written(cuts, "cuts"), known, ["piece"], ["__form", "start"], how="inner")
     )
     best = hits.groupBy("__form", "start").agg(F.max(F.struct("size", "id")).alias("best"))
     # At most one entry per character of a word.
@@ -74,7 +75,8 @@ def encode_corpus(
     ids = special_ids(vocab)
     places = fixed.MAX_SEQUENCE - 2
     first_words = F.slice(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), 1, places)
-    words = docs.select(key, F.posexplode_outer(first_words).alias("index", "word")).filter("word is not null")
+    found = docs.select(key, F.posexplode_outer(first_words).alias("index", "word")).filter("word is not null")
+    words = written(found, "words")
     cut = wordpiece(words, vocab, "word", lowercase)
     long = hot_split_join(words, cut, ["word"], [key, "index"], how="inner")
     per_doc = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "pieces"))).alias("__w"))

@@ -21,8 +21,8 @@ def words(spark: SparkSession, folder: str) -> DataFrame:
     long = entities.words_with_offsets(tables.documents(spark, folder), ["doc_id"])
     return long.groupBy("doc_id").agg(
         F.count("*").alias("n_words"),
-        F.sum(F.col("start") * (F.col("word_index") + 1)).alias("starts"),
-        F.sum(F.col("end") * (F.col("word_index") + 1)).alias("ends"),
+        F.sum(F.col("start").cast("bigint") * (F.col("word_index") + 1)).alias("starts"),
+        F.sum(F.col("end").cast("bigint") * (F.col("word_index") + 1)).alias("ends"),
         F.max(F.char_length("word")).cast("bigint").alias("longest"),
         F.max_by("word", "word_index").alias("last_word"),
     )

@@ -49,7 +49,7 @@ TURNS_SQL = f"SELECT conv_id, turn, role, {_ADDRESSED} AS text FROM conversation
 
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
-    read = table(spark, folder, "conversations")
+    read = spread(table(spark, folder, "conversations"), "conv_id", "turn")
     return read.select("conv_id", "turn", "role", F.expr(_ADDRESSED).alias("text"))
 
 

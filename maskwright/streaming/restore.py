@@ -145,7 +145,8 @@ def restore_stream(
     pieces = whole_placeholders(chunks, longest_placeholder(mappings), None if available_now else ttl_ms)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        restored = restore_pieces(batch, mappings)
+        # The stateful step runs once; everything after it reads what it left.
+        restored = restore_pieces(written(batch, "pieces"), mappings)
         # One folder per batch: a batch that is run again replaces what it wrote before.
         restored.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
