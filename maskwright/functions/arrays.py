@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
-BLOCK = 256
+BLOCK = 32
 _numbers = itertools.count(1)
 
 
@@ -37,6 +37,11 @@ def block_numbers(items: str, block: int = BLOCK) -> str:
     return f"sequence(0, cast(greatest(size({items}) - 1, 0) div {block} as int))"
 
 
+def running_sums(numbers: str, block: int = BLOCK) -> str:
+    """Sums of an array of integers up to each place."""
+    return scan(numbers, "0", "int", "int", lambda total, n: (f"{total} + {n}", f"array({total} + {n})"), block=block)
+
+
 def scan(
     items: str,
     zero: str,

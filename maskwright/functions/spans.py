@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from maskwright.functions.arrays import BLOCK, block_numbers, empty, fresh, let, quoted, scan
+from maskwright.functions.arrays import block_numbers, empty, fresh, let, quoted, running_sums, scan
 
 SPAN = "struct<type:string,value:string,start:int,end:int,score:double,source:string>"
 PLACED = "struct<start:int,end:int,first:int,type:string,value:string,placeholder:string>"
 ITEM = "struct<type:string,original:string,placeholder:string>"
 NO_SPANS = empty(SPAN)
+CUT = 256
 
 
 def make_span(type_: str, value: str, start: str, end: str, score: str, source: str) -> str:
@@ -38,18 +39,18 @@ def regex_spans(
     def secret(hit: str) -> str:
         return f"regexp_replace({hit}, {quoted(lead)}, '')" if lead else hit
 
-    def step(state: str, piece: str) -> tuple[str, str]:
-        end = f"({state}.pos + char_length({piece}.gap) + char_length({piece}.hit))"
-        value = secret(f"{piece}.hit")
-        span = make_span(quoted(type_), value, f"{end} - char_length({value})", end, str(score), quoted(source))
-        emitted = f"if({accept(value)}, array({span}), {NO_SPANS})" if accept else f"array({span})"
-        return f"named_struct('pos', {end})", emitted
-
     def locate(hits: str) -> str:
-        gap, i = fresh("gap"), fresh("i")
+        gap, hit, i, span = fresh("gap"), fresh("hit"), fresh("i"), fresh("span")
         gaps = f"slice(split({text}, {quoted(pattern)}, -1), 1, size({hits}))"
-        pieces = f"transform({gaps}, ({gap}, {i}) -> named_struct('gap', {gap}, 'hit', get({hits}, {i})))"
-        return scan(pieces, "named_struct('pos', 0)", "struct<pos:int>", SPAN, step)
+        sizes = f"transform({gaps}, ({gap}, {i}) -> char_length({gap}) + char_length(get({hits}, {i})))"
+
+        def at(ends: str) -> str:
+            value, end = secret(hit), f"{ends}[{i}]"
+            made = make_span(quoted(type_), value, f"{end} - char_length({value})", end, str(score), quoted(source))
+            return f"transform({hits}, ({hit}, {i}) -> {made})"
+
+        spans = let(running_sums(sizes), at)
+        return f"filter({spans}, {span} -> {accept(f'{span}.value')})" if accept else spans
 
     def build(hits: str) -> str:
         hit = fresh("hit")
@@ -185,7 +186,7 @@ def items_of(placed: str) -> str:
     )
 
 
-def rebuild(text: str, placed: str, block: int = BLOCK) -> str:
+def rebuild(text: str, placed: str, block: int = CUT) -> str:
     """The text with every placed span replaced.
 
     Cutting by position walks the string, so a block of spans is cut from its own stretch of the text.
