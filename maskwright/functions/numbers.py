@@ -68,4 +68,4 @@ def softmax(logits: str) -> str:
 def share_steps(part: str, total: str) -> str:
     """Length of a share bar in steps, capped; 0 when there is no total."""
     steps = f"floor(cast({part} as double) / nullif({total}, 0) * {SHARE_STEPS})"
-    return f"cast(coalesce(least({steps}, {SHARE_STEPS}), 0) as bigint)"
+    return f"cast(least(coalesce({steps}, 0), {SHARE_STEPS}) as bigint)"

@@ -40,7 +40,10 @@ def mask_requests(
             "items": F.when(F.col("skip_reason").isNull(), F.col("items")).otherwise(
                 F.array().cast(f"array<{ITEM}>")
             ),
-            "request_body_preview": body_preview(F.col("masked"), F.col("content_type")),
+            # Only of bodies the detectors have seen: originals do not enter the audit log.
+            "request_body_preview": F.when(
+                F.col("skip_reason").isNull(), body_preview(F.col("masked"), F.col("content_type"))
+            ).otherwise(F.lit("")),
         }
     ).drop("__body", "is_json")
 

@@ -158,5 +158,6 @@ def test_requests_that_are_not_masked(spark):
     assert [r["skip_reason"] for r in done] == [
         None, "method", "event stream", "too large", "blocked", "unknown length", "empty", "no body",
     ]
-    assert done[0]["masked"] == '{"text":"[EMAIL_1]"}'
+    assert done[0]["masked"] == done[0]["request_body_preview"] == '{"text":"[EMAIL_1]"}'
+    assert {r["request_body_preview"] for r in done[1:]} == {""}
     assert all(r["masked"] == r["body"] and not r["items"] for r in done[1:])
