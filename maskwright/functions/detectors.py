@@ -10,27 +10,25 @@ from pyspark.sql import functions as F
 
 from maskwright import fixed_values as fixed
 from maskwright.functions import patterns
-from maskwright.functions.arrays import let, quoted
+from maskwright.functions.arrays import fresh, let, quoted
 from maskwright.functions.numbers import has_alpha_num, looks_like_jwt, shannon_entropy
 from maskwright.functions.secrets import SECRET_RULES, SecretRule
-from maskwright.functions.spans import NO_SPANS, regex_spans, valid_spans
+from maskwright.functions.spans import NO_SPANS, make_span, regex_spans, valid_spans
 
 CustomDetector = Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
 class Detector:
-    """`find` gives the spans of a text for which the cheap test `hint` holds; without a hint, of any text."""
+    """`find` gives the spans of a text.
+
+    It is only asked for texts that pass the cheap test `hint`, if there is one, and given the text's long runs one
+    by one if it looks `in_runs`.
+    """
 
     find: Callable[[str], str]
     hint: Callable[[str], str] | None = None
-
-    def __call__(self, text: str) -> str:
-        return f"if({self.hint(text)}, {self.find(text)}, {NO_SPANS})" if self.hint else self.find(text)
-
-
-def _has_long_run(text: str) -> str:
-    return f"{text} rlike {quoted(patterns.LONG_RUN_HINT)}"
+    in_runs: bool = False
 
 
 find_email = Detector(
@@ -48,7 +46,7 @@ find_api_key = Detector(
         fixed.API_KEY_SCORE,
         accept=lambda v: f"({has_alpha_num(v)} and {shannon_entropy(v)} >= {fixed.API_KEY_MIN_ENTROPY})",
     ),
-    _has_long_run,
+    in_runs=True,
 )
 
 
@@ -78,8 +76,6 @@ def _secret_detector(rule: SecretRule) -> Detector:
     tested = rule.exact_length is not None or rule.letter_and_digit or rule.min_entropy is not None
 
     def hint(text: str) -> str:
-        if rule.hint:
-            return f"{text} rlike {quoted(rule.hint)}"
         where = f"lower({text})" if rule.case_blind else text
         return f"({' or '.join(f'contains({where}, {quoted(word)})' for word in rule.any_of)})"
 
@@ -87,7 +83,8 @@ def _secret_detector(rule: SecretRule) -> Detector:
         lambda text: regex_spans(
             text, rule.pattern, rule.type, rule.score, accept=accept if tested else None, lead=rule.lead
         ),
-        hint,
+        None if rule.in_run else hint,
+        rule.in_run,
     )
 
 
@@ -132,27 +129,38 @@ def detectors(names: Iterable[str] | None = None, specific_first: bool = False)
     return chosen
 
 
+def _within(runs: str, detector: Detector) -> str:
+    """The spans a detector finds in each run, moved to the run's place in the text."""
+    run, s = fresh("run"), fresh("s")
+    moved = make_span(
+        f"{s}.type", f"{s}.value", f"{s}.start + {run}.start", f"{s}.end + {run}.start", f"{s}.score", f"{s}.source"
+    )
+    return f"flatten(transform({runs}, {run} -> transform({detector.find(f'{run}.value')}, {s} -> {moved})))"
+
+
 def find_spans(text: str, names: Iterable[str], min_confidence: float = 0.0) -> str:
     """Every span of the named detectors, in their order; a custom one is read from its own column."""
     names = list(names)
+    in_runs = any(n not in _custom and BUILT_IN[n].in_runs for n in names)
+
+    def found(t: str, runs: str) -> str:
+        parts = [NO_SPANS]
+        for n in names:
+            if n in _custom:
+                parts.append(custom_column(n))
+            elif BUILT_IN[n].in_runs:
+                parts.append(_within(runs, BUILT_IN[n]))
+            elif BUILT_IN[n].hint:
+                parts.append(f"if({BUILT_IN[n].hint(t)}, {BUILT_IN[n].find(t)}, {NO_SPANS})")
+            else:
+                parts.append(BUILT_IN[n].find(t))
+        return f"if({t} is null, {NO_SPANS}, {valid_spans(f'concat({chr(44).join(parts)})', t, min_confidence)})"
 
     def run(t: str) -> str:
-        # A test that several detectors share is made once per text.
-        tests = list(dict.fromkeys(BUILT_IN[n].hint(t) for n in names if n not in _custom and BUILT_IN[n].hint))
-
-        def collect(hints: str) -> str:
-            found = [NO_SPANS]
-            for n in names:
-                if n in _custom:
-                    found.append(custom_column(n))
-                elif BUILT_IN[n].hint is None:
-                    found.append(BUILT_IN[n].find(t))
-                else:
-                    test = f"{hints}[{tests.index(BUILT_IN[n].hint(t))}]"
-                    found.append(f"if({test}, {BUILT_IN[n].find(t)}, {NO_SPANS})")
-            return valid_spans(f"concat({', '.join(found)})", t, min_confidence)
-
-        return f"if({t} is null, {NO_SPANS}, {let(f'array({chr(44).join(tests)})', collect)})"
+        if not in_runs:
+            return found(t, "")
+        # The text is searched for long runs once for all detectors that look at nothing else.
+        return let(regex_spans(t, patterns.LONG_RUN, "run", 0.0), lambda runs: found(t, runs))
 
     return let(text, run)
 

@@ -24,8 +24,11 @@ TOKEN = f"{RUN_START}[{RUN}]{{20,}}{BOUNDARY}"
 # A match may leave hyphens before a dot behind; the next one then starts at them.
 JWT = rf"(?:{RUN_START}|(?<=[{WORD}])(?=-++\.))[{RUN}]++\.[{RUN}]++\.[{RUN}]+{BOUNDARY}"
 
-# Cheap necessary conditions, tested before the patterns above.
-LONG_RUN_HINT = r"[\w\-+/=]{20}"
+# Keys and secrets without a form of their own lie within one of these runs, which reach as far as they can: what
+# stands around a run is in none of their patterns, so that they may be sought in each run as in a text of its own.
+LONG_RUN = r"[\w\-+/=]{20,}"
+
+# A cheap necessary condition, tested before the pattern.
 JWT_HINT = rf"[{RUN}]\.[{RUN}]++\.[{RUN}]"
 
 WORDS = r"[\p{L}\p{Nd}]+"

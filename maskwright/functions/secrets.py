@@ -1,13 +1,13 @@
 """Secret detectors, from the public key formats of the vendors.
 
-`any_of` and `hint` are cheap tests for texts worth scanning, `lead` is the part of a match that is not secret.
+`any_of` is a cheap test for texts worth scanning, `in_run` tells that only long runs are, `lead` is the part of a match that is not secret.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from maskwright.functions.patterns import BOUNDARY, LONG_RUN_HINT, SPACE
+from maskwright.functions.patterns import BOUNDARY, LONG_RUN, SPACE
 
 
 @dataclass(frozen=True)
@@ -16,7 +16,7 @@ class SecretRule:
     pattern: str
     any_of: tuple[str, ...] = ()
     case_blind: bool = False
-    hint: str | None = None
+    in_run: bool = False
     lead: str | None = None
     exact_length: int | None = None
     min_entropy: float | None = None
@@ -74,8 +74,8 @@ SECRET_RULES = [
     ),
     SecretRule(
         "high_entropy",
-        r"[\w\-+/=]{20,}",
-        hint=LONG_RUN_HINT,
+        LONG_RUN,
+        in_run=True,
         min_entropy=4.5,
         letter_and_digit=True,
         score=0.7,
@@ -83,7 +83,7 @@ SECRET_RULES = [
     SecretRule(
         "hex_secret",
         f"{BOUNDARY}[0-9a-fA-F]{{32,}}{BOUNDARY}",
-        hint=LONG_RUN_HINT,
+        in_run=True,
         min_entropy=3.0,
         score=0.75,
     ),
