@@ -53,7 +53,11 @@ def _inline(df: DataFrame, rules: list[Mapping], host: str) -> DataFrame:
 
 def _joined(df: DataFrame, rules: DataFrame, host: str) -> DataFrame:
     """Any number of rules by equi-joins on the distinct hosts: whole names, and the parts of a host that are as
-    long as some rule's part."""
+    long as some rule's part.
+
+    Rows of one host may be alike in everything, so a host with a large part of the rows is left to the skew join
+    of adaptive execution, which splits by where rows were written and not by what is in them.
+    """
     clean = rules.select(
         "ord",
         F.coalesce("id", F.lit("")).alias("id"),

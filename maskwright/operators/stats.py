@@ -73,14 +73,15 @@ def _minute_slot(now: Column) -> Column:
     return F.when(inside, F.lit(MINUTES - 1) - F.floor(age / 60_000_000)).cast("int")
 
 
-def _last_minutes(now: Column) -> Column:
+def _last_minutes(slot: str) -> Column:
     """Counts of the last five minutes, oldest first, as one aggregate."""
-    return F.array(*[F.count(F.when(_minute_slot(now) == i, F.lit(1))) for i in range(MINUTES)])
+    return F.array(*[F.count(F.when(F.col(slot) == i, F.lit(1))) for i in range(MINUTES)])
 
 
 def last_five_minutes(audit: DataFrame, now: Column) -> DataFrame:
     """Requests in each of the last five minutes before `now`, oldest first."""
-    return audit.agg(_last_minutes(now).alias("counts")).select(F.posexplode("counts").alias("minute", "n"))
+    slots = audit.select(_minute_slot(now).alias("slot"))
+    return slots.agg(_last_minutes("slot").alias("counts")).select(F.posexplode("counts").alias("minute", "n"))
 
 
 def per_minute(audit: DataFrame, now: Column) -> DataFrame:
@@ -172,9 +173,9 @@ def snapshot(
         "transform(array_sort(rows, (a, b) -> case when a.place > b.place then -1 when a.place < b.place then 1 "
         "else 0 end), r -> r.row)"
     )
-    base = audit.agg(
+    base = audit.withColumn("__slot", _minute_slot(now)).agg(
         F.count("*").alias("total"),
-        _last_minutes(now).alias("last_5_minute"),
+        _last_minutes("__slot").alias("last_5_minute"),
         F.coalesce(F.sum(F.size(F.filter(_types(), lambda t: trimmed(t) != ""))), F.lit(0)).alias("masked"),
         _mean_positive("sanitize_latency_ms").alias("sanitize_ms"),
         _mean_positive("upstream_latency_ms").alias("upstream_ms"),

@@ -46,7 +46,7 @@ class WholePlaceholders(StatefulProcessor):
         self.early = handle.getMapState("early", "seq bigint", "data string, eof boolean")
 
     def handleInputRows(  # noqa: N802
-        self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: TimerValues
+        self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues  # noqa: N803
     ) -> Iterator[pd.DataFrame]:
         at, held, expires = self.place.get() if self.place.exists() else (0, "", 0)
         out, done = [], False
@@ -75,30 +75,31 @@ class WholePlaceholders(StatefulProcessor):
             self.place.clear()
             self.early.clear()
         else:
-            self._keep_alive(at, held, expires, timer_values)
+            self._keep_alive(at, held, expires, timerValues)
 
     @staticmethod
     def _rows(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["session_id", "seq", "piece"])
 
-    def _keep_alive(self, at: int, held: str, expires: int, timer_values: TimerValues) -> None:
+    def _keep_alive(self, at: int, held: str, expires: int, timerValues: TimerValues) -> None:
         if self.ttl_ms is None:
             self.place.update((at, held, 0))
             return
-        now = timer_values.getCurrentProcessingTimeInMs()
+        now = timerValues.getCurrentProcessingTimeInMs()
         if expires:
             self.handle.deleteTimer(expires)
         self.handle.registerTimer(now + self.ttl_ms)
         self.place.update((at, held, now + self.ttl_ms))
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """A session that fell silent gives up what it holds, early chunks in their order."""
         at, held, _ = self.place.get() if self.place.exists() else (0, "", 0)
         rest = sorted((k[0], v[0]) for k, v in self.early.iterator())
         text = held + "".join(data for _, data in rest)
         self.place.clear()
         self.early.clear()
-        yield self._rows([(key[0], at, text)] if text else [])
+        seq = at if held or not rest else rest[0][0]
+        yield self._rows([(key[0], seq, text)] if text else [])
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -62,6 +63,25 @@ def test_stream_and_batch_restore_the_same(spark, tmp_path):
     assert joined(spark.read.parquet(out).collect(), "seq") == whole
 
 
+def test_a_silent_session_gives_up_what_it_holds(spark, tmp_path):
+    known = spark.createDataFrame([("s", "[EMAIL_1]", "a@x.com")], "session_id string, placeholder string, original string")
+    rows = [("s", 0, "to [EMAIL_1] and [EM", False), ("s", 2, " late", False)]
+    spark.createDataFrame(rows, CHUNKS).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(CHUNKS).json(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    query = restore_stream(stream, known, out, str(tmp_path / "cp"), ttl_ms=1000)
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if len(list((tmp_path / "out").glob("batch_id=*/*.parquet"))) and "late" in joined(
+                spark.read.parquet(out).collect(), "seq"
+            ).get("s", ""):
+                break
+    finally:
+        query.stop()
+    assert joined(spark.read.parquet(out).collect(), "seq") == {"s": "to a@x.com and [EM late"}
+
+
 def test_requests_as_a_stream(spark, tmp_path):
     body = '{"messages":[{"role":"user","content":"mail a@x.com"}]}'
     rows = [(i, "POST", "api.openai.com:443", "/v1", "application/json", len(body), body) for i in range(3)]
