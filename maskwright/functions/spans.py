@@ -63,9 +63,11 @@ def regex_spans(
 def valid_spans(spans: str, text: str, min_confidence: float = 0.0) -> str:
     """Spans inside the text that reach the wanted confidence."""
     s = fresh("s")
-    return (
-        f"filter({spans}, {s} -> {s}.score >= {float(min_confidence)!r}d and {s}.start >= 0 "
-        f"and {s}.end <= char_length({text}) and {s}.start < {s}.end)"
+    # The length is counted once per text, not once per span.
+    return let(
+        f"char_length({text})",
+        lambda size: f"filter({spans}, {s} -> {s}.score >= {float(min_confidence)!r}d and {s}.start >= 0 "
+        f"and {s}.end <= {size} and {s}.start < {s}.end)",
     )
 
 
