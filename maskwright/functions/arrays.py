@@ -9,7 +9,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
-BLOCK = 32
+BLOCK = 256
+SMALL_BLOCK = 32  # for plain numbers, of which a text may have one per word
 _numbers = itertools.count(1)
 
 
@@ -37,7 +38,7 @@ def block_numbers(items: str, block: int = BLOCK) -> str:
     return f"sequence(0, cast(greatest(size({items}) - 1, 0) div {block} as int))"
 
 
-def running_sums(numbers: str, block: int = BLOCK) -> str:
+def running_sums(numbers: str, block: int = SMALL_BLOCK) -> str:
     """Sums of an array of integers up to each place."""
     return scan(numbers, "0", "int", "int", lambda total, n: (f"{total} + {n}", f"array({total} + {n})"), block=block)
 

@@ -79,7 +79,7 @@ def _ordered(spans: str, by_score: bool) -> str:
         f"transform({spans}, ({s}, {i}) -> "
         f"named_struct('a', {s}.start, 'b', -{s}.end, 'c', {score}, 'd', {i}, 'span', {s}))"
     )
-    return f"transform(array_sort({keyed}), {k} -> {k}.span)"
+    return f"transform(sort_array({keyed}), {k} -> {k}.span)"
 
 
 def resolve_first_longest(spans: str) -> str:
@@ -135,7 +135,7 @@ def number_spans(spans: str) -> str:
     """
     s = fresh("s")
     by_value = (
-        f"array_sort(transform({spans}, {s} -> named_struct('kind', upper({s}.type), 'value', {s}.value, "
+        f"sort_array(transform({spans}, {s} -> named_struct('kind', upper({s}.type), 'value', {s}.value, "
         f"'start', {s}.start, 'end', {s}.end, 'type', {s}.type)))"
     )
 
@@ -168,13 +168,13 @@ def number_spans(spans: str) -> str:
         )
 
     counted = scan(
-        f"array_sort({marked})",
+        f"sort_array({marked})",
         "named_struct('kind', '', 'first', -1, 'n', 0)",
         "struct<kind:string,first:int,n:int>",
         PLACED,
         count,
     )
-    return f"array_sort({counted})"
+    return f"sort_array({counted})"
 
 
 def items_of(placed: str) -> str:
@@ -183,7 +183,7 @@ def items_of(placed: str) -> str:
     firsts = f"filter({placed}, {p} -> {p}.start = {p}.first)"
     keyed = f"transform({firsts}, {q} -> named_struct('k', {q}.placeholder, 't', {q}.type, 'v', {q}.value))"
     return (
-        f"transform(array_sort({keyed}), "
+        f"transform(sort_array({keyed}), "
         f"{k} -> named_struct('type', {k}.t, 'original', {k}.v, 'placeholder', {k}.k))"
     )
 
