@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import byte_bpe, quality, token_counts, toxicity, url_rules
+from maskwright.llm import byte_bpe, decontamination, quality, token_counts, toxicity, url_rules
 from maskwright.llm.common import hashed_remainder, table
 from maskwright.session import written
 
@@ -41,6 +41,20 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.token_digests(docs, path, public_tokenizers.PATTERN)
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.find_items(docs, table(spark, folder, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.expr(decontamination.CONTAMINATED).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
 def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, SITE_RULES + UNWANTED, ["page_id"])
@@ -79,6 +93,7 @@ FROM (SELECT *, {_RULE} AS rule FROM (SELECT page_id, {_HOST} AS host, {_PATH} A
 QUERIES = {
     "op2_quality_ranking": op2_quality_ranking,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_decontamination": op5_decontamination,
     "op7_url_rules": op7_url_rules,
     "op8_token_counts": op8_token_counts,
     "op10_toxicity": op10_toxicity,
