@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import byte_bpe, decontamination, quality, token_counts, toxicity, url_rules
+from maskwright.llm import byte_bpe, decontamination, personal_data, quality, token_counts, toxicity, url_rules
 from maskwright.llm.common import hashed_remainder, table
 from maskwright.session import written
 
@@ -55,6 +55,11 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return personal_data.summarise(personal_data.find_spans(docs, ["doc_id"]), ["doc_id"])
+
+
 def op7_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, SITE_RULES + UNWANTED, ["page_id"])
@@ -94,6 +99,7 @@ QUERIES = {
     "op2_quality_ranking": op2_quality_ranking,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_decontamination": op5_decontamination,
+    "op6_personal_data": op6_personal_data,
     "op7_url_rules": op7_url_rules,
     "op8_token_counts": op8_token_counts,
     "op10_toxicity": op10_toxicity,
