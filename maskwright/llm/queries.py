@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import byte_bpe, decontamination, personal_data, quality, token_counts, toxicity, url_rules
+from maskwright.llm import byte_bpe, decontamination, near_duplicates, personal_data, quality, token_counts, toxicity, url_rules
 from maskwright.llm.common import hashed_remainder, table
 from maskwright.session import written
 
@@ -24,6 +24,10 @@ UNWANTED = [
 ]
 
 
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op2_quality_ranking(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     ready = written(quality.add_features(docs), "quality-features")
@@ -95,7 +99,27 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
 FROM (SELECT *, {_RULE} AS rule FROM (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages))
 """
 
+OP1_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END)) AS s FROM split WHERE w IS NOT NULL),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b WHERE 100 * c >= 75 * (sa.n + sb.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS start, a AS here FROM both_ways UNION SELECT r.start, e.b FROM reach r JOIN both_ways e ON e.a = r.here),
+roots AS (SELECT start, min(here) AS root FROM reach GROUP BY start)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN roots ON roots.start = d.doc_id
+"""
+
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_ranking": op2_quality_ranking,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_decontamination": op5_decontamination,
@@ -104,4 +128,4 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op7_url_rules": OP7_SQL}
+ORACLES = {"op1_near_duplicates": OP1_SQL, "op7_url_rules": OP7_SQL}
