@@ -5,8 +5,9 @@ the circle, gives all coordinates of the signature: each is the least value of t
 Documents that agree in all rows of a band share a bucket. Sets that are equal are one document from the start.
 
 Pairs of a bucket are verified on their full sets, not all of them: first each document with the smallest one it meets,
-then with the smallest of each of its buckets as far as they are not connected yet, and at last the pairs of a bucket
-that lie in different components. Pairs that are connected already need no test: a link between them changes nothing.
+then with the smallest of each of its buckets as far as they are not connected yet, and at last those pairs of different
+components that share one of their rarest shingles, among the documents whose buckets hold several components. Pairs that
+are connected already need no test: a link between them changes nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 AT_ONCE = 2048
 PARTNERS = 64
+COUNTERS = 1 << 16
 
 
 def _permuted(x: np.ndarray) -> np.ndarray:
@@ -133,10 +135,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
         "pairs",
     )
     links = written(verified(tested, texts, percent), "verified")
-    for step in (_star_pairs, _open_pairs):
+    for step in ("star", "open"):
         roots = written(components(links), "roots")
-        pairs = step(members, roots).join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = _star_pairs(members, roots) if step == "star" else _open_pairs(members, roots, texts, percent)
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs.select("b", "a"))
         links = links.unionByName(written(verified(pairs, texts, percent), "verified"))
     roots = written(components(links), "roots")
@@ -163,11 +165,60 @@ def _star_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a bucket that lie in different components."""
+def _open_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may still reach the similarity, among documents of mixed buckets.
+
+    Two sets that reach it share one of the rarest shingles of each: of n shingles, one of the rarest n - need + 1, where
+    need is the least number that they must have in common. What many documents share, such as a common passage, is not
+    among the rarest and brings nobody together. Rarity is read from a table of counters of fixed size; it orders all
+    shingles alike for every document, which is all that the argument needs.
+    """
     rooted = _rooted(members, roots)
     mixed_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    rooted = rooted.join(mixed_buckets.select("bucket"), "bucket", "left_semi")
-    other = rooted.select("bucket", F.col("doc_id").alias("a"), F.col("root").alias("a_root"))
-    pairs = rooted.withColumnRenamed("doc_id", "b").join(other, "bucket").filter("a < b and a_root <> root")
-    return pairs.select("a", "b").distinct()
+    open_docs = rooted.join(mixed_buckets.select("bucket"), "bucket", "left_semi").select("doc_id", "root").distinct()
+    source = written(texts.join(open_docs, "doc_id").select("doc_id", "root", "text"), "open-texts")
+    seen = _counters(source)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for doc_id, root, text in zip(*batch.columns, strict=True):
+                found = shingles(text.as_py(), hashes)
+                n = len(found)
+                rarest = np.argsort(seen[_slots(found)], kind="stable")[: n - (-(-percent * n // 100)) + 1]
+                made = found[rarest].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(made), *[pa.array(np.full(len(made), x, np.int64)) for x in (doc_id.as_py(), root.as_py(), n)]],
+                    names=["shingle", "doc_id", "root", "n"],
+                )
+
+    rare = source.mapInArrow(run, "shingle long, doc_id long, root long, n long")
+    rare = written(rare, "rare-shingles")
+    shared = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    rare = rare.join(shared.select("shingle"), "shingle", "left_semi")
+    other = rare.select("shingle", F.col("doc_id").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"))
+    pairs = rare.withColumnRenamed("doc_id", "b").join(other, "shingle").filter("a < b and a_root <> root")
+    fitting = pairs.filter(f"100 * least(n, a_n) >= {percent} * greatest(n, a_n)")
+    return fitting.select("a", "b").distinct()
+
+
+def _slots(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _counters(texts: DataFrame) -> np.ndarray:
+    """How many documents have a shingle of each slot: a table of fixed size, whatever the number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = WordHashes(), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                total += np.bincount(_slots(shingles(text.as_py(), hashes)), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+
+    sums = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    total = np.zeros(COUNTERS, np.int64)
+    for slot, n in sums.collect():
+        total[slot] = n
+    return total

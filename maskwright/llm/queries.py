@@ -102,10 +102,10 @@ FROM (SELECT *, {_RULE} AS rule FROM (SELECT page_id, {_HOST} AS host, {_PATH} A
 OP1_SQL = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sets AS (
   SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END)) AS s FROM split WHERE w IS NOT NULL),
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS s FROM split WHERE w IS NOT NULL),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 common AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
