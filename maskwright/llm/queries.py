@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import byte_bpe, decontamination, near_duplicates, personal_data, quality, token_counts, toxicity, url_rules
+from maskwright.llm import byte_bpe, decontamination, near_duplicates, personal_data, quality, token_counts, toxicity, url_rules, vector_links
 from maskwright.llm.common import hashed_remainder, table
 from maskwright.session import written
 
 TOKEN_LIMIT = 4096
+LEAST_COSINE = 0.93
 SITE_RULES = [
     url_rules.host_rule("allow", "com/"),
     url_rules.host_rule("block", "example.com/en/"),
@@ -74,6 +75,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+def op9_vector_links(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_links.link_vectors(table(spark, folder, "embeddings"), LEAST_COSINE)
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -118,6 +123,23 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS compo
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN roots ON roots.start = d.doc_id
 """
 
+OP9_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+sized AS (SELECT * FROM (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS size FROM good) WHERE size > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM sized x JOIN sized y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE len(x.e) = len(y.e) AND list_inner_product(x.e, y.e) / (x.size * y.size) >= 0.93),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT a AS start, a AS here FROM links UNION SELECT r.start, l.b FROM reach r JOIN links l ON l.a = r.here),
+roots AS (SELECT start, min(here) AS root FROM reach GROUP BY start)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(root, v.vec_id) AS component_id,
+  coalesce(root, v.vec_id) = v.vec_id AS kept
+FROM embeddings v LEFT JOIN counts ON counts.a = v.vec_id LEFT JOIN roots ON roots.start = v.vec_id
+"""
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_ranking": op2_quality_ranking,
@@ -126,6 +148,7 @@ QUERIES = {
     "op6_personal_data": op6_personal_data,
     "op7_url_rules": op7_url_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_vector_links": op9_vector_links,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op1_near_duplicates": OP1_SQL, "op7_url_rules": OP7_SQL}
+ORACLES = {"op1_near_duplicates": OP1_SQL, "op7_url_rules": OP7_SQL, "op9_vector_links": OP9_SQL}
