@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import byte_bpe, decontamination, near_duplicates, personal_data, quality, token_counts, toxicity, url_rules, vector_links
+from maskwright.llm import byte_bpe, decontamination, near_duplicates, personal_data, quality, repeated_text, token_counts, toxicity, url_rules, vector_links
 from maskwright.llm.common import hashed_remainder, table
 from maskwright.session import written
 
 TOKEN_LIMIT = 4096
+REPEATED_BYTES = 400
 LEAST_COSINE = 0.93
 SITE_RULES = [
     url_rules.host_rule("allow", "com/"),
@@ -46,6 +47,18 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.token_digests(docs, path, public_tokenizers.PATTERN)
 
 
+def op4_repeated_text(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = repeated_text.remove_repeats(docs, ["doc_id"], length=REPEATED_BYTES)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("begins").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontamination.find_items(docs, table(spark, folder, "benchmark"), ["doc_id"])
@@ -144,6 +157,7 @@ QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_ranking": op2_quality_ranking,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_repeated_text": op4_repeated_text,
     "op5_decontamination": op5_decontamination,
     "op6_personal_data": op6_personal_data,
     "op7_url_rules": op7_url_rules,
