@@ -1,4 +1,9 @@
-"""A corpus prepared for training: each stage takes the documents that the one before it kept."""
+"""A corpus prepared for training: each stage takes the documents that the one before it kept.
+
+Every stage but the last returns the columns of `documents`; its filters and changes take effect for the next ones. The
+SQL for the whole is None: learned scores, context patterns and token ids are beyond it; tests compare each stage with a
+plain version.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import byte_bpe, toxicity
+from maskwright.llm import byte_bpe, decontamination, near_duplicates, personal_data, toxicity
 from maskwright.llm.common import hashed_remainder, table
 from maskwright.session import written
 
+ORACLE_SQL = None
+
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; learned from the labelled ones outside the held-out fifth."""
@@ -19,20 +26,47 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter("predicted = 0").select(*docs.columns)
 
 
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id. Documents without an id stay."""
+    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"))
+    return docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth stands in benchmark windows.
+
+    Texts, not ids, decide: documents without an id are judged like any other.
+    """
+    judged = docs.select("text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    found = decontamination.find_items(judged, table(spark, sf_dir, "benchmark"), ["k1", "k2"], near=0)
+    bad = found.filter(decontamination.CONTAMINATED).select("k1", "k2").distinct()
+    named = docs.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
+    return named.join(bad, ["k1", "k2"], "left_anti").select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with what was found replaced by the name of its kind. NULL texts stay NULL."""
+    named = docs.withColumn("__text", F.col("text"))
+    found = personal_data.find_spans(named, [*[c for c in docs.columns if c != "text"], "__text"])
+    masked = F.when(F.col("__text").isNotNull(), F.expr(personal_data.mask("__text", "spans")))
+    return found.withColumn("text", masked).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token ids, and the text that the ids decode to."""
+    """The documents as token ids, with the text that the ids decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode_texts(docs, path, public_tokenizers.PATTERN)
-    return encoded.select(
-        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").cast("string").alias("text")
-    )
+    encoded = byte_bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    decoded = F.col("decoded").cast("string").alias("text")
+    return encoded.select("doc_id", "lang", "source", decoded, "ids", F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [
     ("toxicity", remove_toxic),
+    ("near_duplicates", remove_near_duplicates),
+    ("decontamination", remove_benchmark),
+    ("personal_data", mask_personal_data),
     ("byte_bpe", encode),
 ]
-ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

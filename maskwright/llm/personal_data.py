@@ -130,25 +130,26 @@ def find_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     by context is left out where it would overlap one. The tables between the steps go to the shared folder.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(*keep, whole.alias("__text")).withColumn("__base", F.expr(base_spans("__text")))
+    found = docs.select(*keep, whole.alias("__whole")).withColumn("__base", F.expr(base_spans("__whole")))
     found = found.withColumn("__apart", F.expr(resolve_first_longest("__base")))
     marks = (
         "repeat(get(array(" + ", ".join(quoted(chr(ord(_MARK) + i)) for i in range(4)) + "), cast(array_position(array("
         + ", ".join(quoted(k) for k in KINDS)
         + "), x.type) as int) - 1), x.end - x.start)"
     )
-    marked = f"translate(__text, {quoted(''.join(chr(ord(_MARK) + i) for i in range(4)))}, '~~~~')"
+    marked = f"translate(__whole, {quoted(''.join(chr(ord(_MARK) + i) for i in range(4)))}, '~~~~')"
     blank = let(marked, lambda t: _replaced(t, "__apart", marks))
     found = found.withColumn("__seen", F.expr(let(blank, _instances)))
     # Seeds are told apart by their text: cut from the text for the few tokens that are one.
     rows = written(
         found.select(
             *keep,
-            F.xxhash64("__text").alias("__digest"),
+            F.xxhash64("__whole").alias("__d1"),
+            F.xxhash64(F.lit(1), "__whole").alias("__d2"),
             F.expr(_numbered("__base")).alias("base"),
             F.expr(
                 f"transform(filter(__seen, t -> t.context <> ''), t -> struct(t.start, t.end, t.context, "
-                f"if(t.value rlike '[{_MARKS}]', substr(__text, t.start + 1, t.end - t.start), t.value) as value, "
+                f"if(t.value rlike '[{_MARKS}]', substr(__whole, t.start + 1, t.end - t.start), t.value) as value, "
                 f"instr({quoted(''.join(chr(ord(_MARK) + i) for i in range(4)))}, regexp_extract(t.value, "
                 f"'[{_MARKS}]', 0)) - if(t.value rlike '[{_MARKS}]', 1, 2) as seed))"
             ).alias("seen"),
@@ -156,20 +157,19 @@ def find_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
         "personal-data",
     )
     accepted = _bootstrap(rows)
-    key = [*keep, "__digest"]
-    # A row's columns name it: rows that agree in all of them have the same text and the same spans.
-    unique = rows.groupBy(*key).agg(F.first("seen").alias("seen"), F.first("base").alias("base"))
-    held = unique.select(*key, "base", F.explode("seen").alias("t")).filter("t.seed < 0")
+    # The text decides, so its digest names what was added; rows with the same text share it.
+    key = ["__d1", "__d2"]
+    held = rows.select(*key, "base", F.explode("seen").alias("t")).filter("t.seed < 0")
     added = (
         held.join(accepted, F.col("t.value") == F.col("value"))
         .filter(~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"])))
         .groupBy(*key)
         .agg(F.collect_set(F.struct("k", "t.start", "t.end")).alias("__added"))
     )
-    same = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"a.`{c}`")) for c in key]
-    joined = rows.alias("r").join(added.alias("a"), same, "left")
-    spans = F.array_sort(F.concat(F.col("r.base"), F.coalesce(F.col("a.__added"), F.expr(f"cast(array() as {SPANS})"))))
-    return joined.select(*[F.col(f"r.`{c}`") for c in keep], F.col("r.base").alias("base"), spans.alias("spans"))
+    joined = rows.join(added, key, "left")
+    none = F.expr(f"cast(array() as {SPANS})")
+    spans = F.array_sort(F.concat("base", F.coalesce("__added", none)))
+    return joined.select(*keep, "base", spans.alias("spans"))
 
 
 def _bootstrap(rows: DataFrame) -> DataFrame:
