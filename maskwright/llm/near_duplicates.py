@@ -5,9 +5,9 @@ the circle, gives all coordinates of the signature: each is the least value of t
 Documents that agree in all rows of a band share a bucket. Sets that are equal are one document from the start.
 
 Pairs of a bucket are verified on their full sets, not all of them: first each document with the smallest one it meets,
-then with the smallest of each of its buckets as far as they are not connected yet, and at last those pairs of different
-components that share one of their rarest shingles, among the documents whose buckets hold several components. Pairs that
-are connected already need no test: a link between them changes nothing.
+then with the smallest of each of its buckets as far as they are not connected yet, and at last all pairs of different
+components that share a bucket, in blocks of bounded size that give connected parts and no pairs. Pairs that are connected
+already need no test: a link between them changes nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 AT_ONCE = 2048
 PARTNERS = 64
-COUNTERS = 1 << 16
+TOGETHER = 512
 
 
 def _permuted(x: np.ndarray) -> np.ndarray:
@@ -125,22 +125,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
     known = sketched.filter("doc_id is not null and digest is not null")
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = known.join(classes, (known.doc_id == classes.rep) & (known.digest == classes.digest), "left_semi")
-    spread = reps.select("doc_id", F.explode("buckets").alias("bucket")).distinct()
+    spread = reps.select("doc_id", F.posexplode("buckets").alias("band", "bucket")).distinct()
     firsts = spread.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     members = written(spread.join(firsts.select("bucket", "first"), "bucket"), "buckets")
-    texts = written(source.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    met = reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "buckets")
+    texts = written(source.join(met.dropDuplicates(["doc_id"]), "doc_id").dropDuplicates(["doc_id"]), "texts")
 
-    tested = written(
-        members.filter("first < doc_id").groupBy("doc_id").agg(F.min("first").alias("a")).withColumnRenamed("doc_id", "b"),
-        "pairs",
-    )
-    links = written(verified(tested, texts, percent), "verified")
-    for step in ("star", "open"):
-        roots = written(components(links), "roots")
-        pairs = _star_pairs(members, roots) if step == "star" else _open_pairs(members, roots, texts, percent)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs.select("b", "a"))
-        links = links.unionByName(written(verified(pairs, texts, percent), "verified"))
+    pairs = members.filter("first < doc_id").groupBy("doc_id").agg(F.min("first").alias("a"))
+    pairs = written(pairs.withColumnRenamed("doc_id", "b"), "pairs")
+    links = written(verified(pairs, texts, percent), "verified")
+    roots = written(components(links), "roots")
+    more = written(_star_pairs(members, roots).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(written(verified(more, texts, percent), "verified"))
+    roots = written(components(links), "roots")
+    links = links.unionByName(written(_open_links(members, roots, texts, percent), "verified"))
     roots = written(components(links), "roots")
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("root", "rep").alias("component_id")
@@ -154,7 +152,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT)
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     joined = members.join(roots, F.col("doc_id") == F.col("node"), "left")
-    return joined.select("bucket", "doc_id", "first", F.coalesce("root", "doc_id").alias("root"))
+    return joined.select("band", "bucket", "doc_id", "first", F.coalesce("root", "doc_id").alias("root"))
 
 
 def _star_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -165,60 +163,75 @@ def _star_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that may still reach the similarity, among documents of mixed buckets.
+def _open_links(members: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents of different components that meet in a bucket; b stands for all of a's part.
 
-    Two sets that reach it share one of the rarest shingles of each: of n shingles, one of the rarest n - need + 1, where
-    need is the least number that they must have in common. What many documents share, such as a common passage, is not
-    among the rarest and brings nobody together. Rarity is read from a table of counters of fixed size; it orders all
-    shingles alike for every document, which is all that the argument needs.
+    Documents meet under the smallest document of their bucket, each once for all bands it shares with that one. A group
+    with several components is dealt out in blocks of two shares; a block compares its pairs by bits, and gives a row for
+    each document that has a link, not for each pair. A pair that meets under several documents is compared under the one
+    of its first common band.
     """
     rooted = _rooted(members, roots)
-    mixed_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    open_docs = rooted.join(mixed_buckets.select("bucket"), "bucket", "left_semi").select("doc_id", "root").distinct()
-    source = written(texts.join(open_docs, "doc_id").select("doc_id", "root", "text"), "open-texts")
-    seen = _counters(source)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for doc_id, root, text in zip(*batch.columns, strict=True):
-                found = shingles(text.as_py(), hashes)
-                n = len(found)
-                rarest = np.argsort(seen[_slots(found)], kind="stable")[: n - (-(-percent * n // 100)) + 1]
-                made = found[rarest].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(made), *[pa.array(np.full(len(made), x, np.int64)) for x in (doc_id.as_py(), root.as_py(), n)]],
-                    names=["shingle", "doc_id", "root", "n"],
-                )
-
-    rare = source.mapInArrow(run, "shingle long, doc_id long, root long, n long")
-    rare = written(rare, "rare-shingles")
-    shared = rare.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    rare = rare.join(shared.select("shingle"), "shingle", "left_semi")
-    other = rare.select("shingle", F.col("doc_id").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"))
-    pairs = rare.withColumnRenamed("doc_id", "b").join(other, "shingle").filter("a < b and a_root <> root")
-    fitting = pairs.filter(f"100 * least(n, a_n) >= {percent} * greatest(n, a_n)")
-    return fitting.select("a", "b").distinct()
-
-
-def _slots(found: np.ndarray) -> np.ndarray:
-    return (found & np.uint64(COUNTERS - 1)).astype(np.int64)
-
+    grouped = rooted.groupBy("first", "doc_id").agg(
+        F.expr("bit_or(shiftleft(1L, band))").alias("mask"), F.min("root").alias("root")
+    )
+    sizes = grouped.groupBy("first").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    shares = sizes.filter("low < high").select("first", F.ceil(F.col("n") / TOGETHER).cast("int").alias("shares"))
+    dealt = (
+        grouped.join(shares, "first")
+        .withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        .withColumn("i", F.least("share", "other"))
+        .withColumn("j", F.greatest("share", "other"))
+    )
+    rows = dealt.join(texts, "doc_id").select("first", "i", "j", "doc_id", "share", "root", "mask", "buckets", "text")
+    return rows.groupBy("first", "i", "j").applyInArrow(_block(percent), "a long, b long")
 
-def _counters(texts: DataFrame) -> np.ndarray:
-    """How many documents have a shingle of each slot: a table of fixed size, whatever the number of documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = WordHashes(), np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                total += np.bincount(_slots(shingles(text.as_py(), hashes)), minlength=COUNTERS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
-
-    sums = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    total = np.zeros(COUNTERS, np.int64)
-    for slot, n in sums.collect():
-        total[slot] = n
-    return total
+def _block(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        hashes = WordHashes()
+        ids, share, root, mask = (table.column(c).to_numpy() for c in ("doc_id", "share", "root", "mask"))
+        buckets = np.stack([x.values.to_numpy() for x in table.column("buckets")])
+        sets = [shingles(x.as_py(), hashes) for x in table.column("text")]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        bits = _shared_bits(sets)
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        label = ids.copy()
+        for x in range(len(ids) - 1):
+            y = np.arange(x + 1, len(ids))
+            small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+            y = y[(root[y] != root[x]) & (100 * small >= percent * large) & (within | (share[y] != share[x]))]
+            if not len(y):
+                continue
+            same = buckets[y] == buckets[x]
+            first = same.argmax(axis=1)
+            y = y[same.any(axis=1) & ((mask[y] & mask[x]) >> first & 1 == 1)]
+            if not len(y):
+                continue
+            common = np.bitwise_count(bits[y] & bits[x]).sum(axis=1, dtype=np.int64)
+            for other in y[100 * common >= percent * (sizes[x] + sizes[y] - common)]:
+                low, high = sorted((label[x], label[other]))
+                label[label == high] = low
+        linked = label != ids
+        return pa.table({"a": pa.array(ids[linked]), "b": pa.array(label[linked])})
+
+    return run
+
+
+def _shared_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of bits per set, one bit per element that several of the sets have."""
+    every = np.concatenate(sets)
+    values, where, counts = np.unique(every, return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    width = (int((counts > 1).sum()) + 63) // 64 * 8
+    bits = np.zeros((len(sets), width * 8), np.uint8) if len(sets) * width < 4_000_000 else None
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keep = counts[where] > 1
+    rows, columns = rows[keep], column[where[keep]]
+    if bits is not None:
+        bits[rows, columns] = 1
+        return np.packbits(bits, axis=1).view(np.uint64)
+    packed = np.zeros((len(sets), width), np.uint8)
+    np.bitwise_or.at(packed, (rows, columns >> 3), (1 << (columns & 7)).astype(np.uint8))
+    return packed.view(np.uint64)
