@@ -25,7 +25,7 @@ from maskwright.llm.common import MASK, mixed
 from maskwright.session import written
 
 GRAM = 16
-TOGETHER = 4000
+TOGETHER = 1000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
