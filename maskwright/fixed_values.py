@@ -52,23 +52,17 @@ SKIP_KEYS = [
 ]
 
 # Limits.
-BODY_LIMIT = 256 * 1024
 PREVIEW_LENGTH = 512
-AUDIT_LINE_LIMIT = 2 * 1024 * 1024
 TRACE_SAMPLE_RATE = 0.1
 TOP_DOMAINS = 5
 RECENT_REQUESTS = 20
-FOLLOW_TAIL = 20
 SHARE_STEPS = 20
 
 # Entity model: gate, score, sequence limits, special pieces, label names.
 NER_MIN_BYTES = 8
-NER_MAX_BYTES = 32 * 1024
 NER_LETTER_SHARE = 0.4
 NER_SPACE_SHARE = 0.05
 NER_MIN_SCORE = 0.70
-MAX_WORD_LENGTH = 100
-MAX_SEQUENCE = 512
 UNKNOWN_PIECE = "[UNK]"
 START_PIECE = "[CLS]"
 END_PIECE = "[SEP]"

@@ -18,6 +18,15 @@ def _refuse(constant: str) -> None:
     raise ValueError(constant)
 
 
+def _whole(value: str) -> str:
+    """The string with halves of surrogate pairs as U+FFFD."""
+    try:
+        value.encode()
+    except UnicodeEncodeError:
+        return value.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return value
+
+
 def string_values(body: str | None, wanted: frozenset[str], skipped: frozenset[str]) -> dict:
     """Where the string values under wanted keys stand in a JSON text, in document order.
 
@@ -49,7 +58,7 @@ def string_values(body: str | None, wanted: frozenset[str], skipped: frozenset[s
         elif at_key:
             key = json.loads(token).lower()
         elif key in wanted and key not in skipped:
-            leaves.append({"start": mark.start(), "end": mark.end(), "value": json.loads(token)})
+            leaves.append({"start": mark.start(), "end": mark.end(), "value": _whole(json.loads(token))})
     return {"is_json": True, "leaves": leaves}
 
 

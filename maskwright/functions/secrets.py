@@ -63,7 +63,7 @@ SECRET_RULES = [
     ),
     SecretRule(
         "private_key",
-        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)?",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----)?",
         any_of=("PRIVATE KEY-----",),
     ),
     SecretRule(

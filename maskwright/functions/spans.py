@@ -127,6 +127,11 @@ def resolve(spans: str, overlap: str = "first_longest") -> str:
     raise ValueError(f"unknown overlap rule {overlap!r}")
 
 
+def kind_of(type_: str) -> str:
+    """The name in a placeholder: in upper case, what the shape of a placeholder doesn't hold as an underline."""
+    return f"regexp_replace(upper({type_}), '[^A-Z0-9_]', '_')"
+
+
 def number_spans(spans: str) -> str:
     """Give disjoint spans of one text their placeholders, by first occurrence within each type.
 
@@ -135,7 +140,7 @@ def number_spans(spans: str) -> str:
     """
     s = fresh("s")
     by_value = (
-        f"sort_array(transform({spans}, {s} -> named_struct('kind', upper({s}.type), 'value', {s}.value, "
+        f"sort_array(transform({spans}, {s} -> named_struct('kind', {kind_of(f'{s}.type')}, 'value', {s}.value, "
         f"'start', {s}.start, 'end', {s}.end, 'type', {s}.type)))"
     )
 

@@ -27,7 +27,7 @@ def words_with_offsets(df: DataFrame, keys: list[str], text: str = "text") -> Da
     )
 
 
-def ner_gate(text: str, max_bytes: int = fixed.NER_MAX_BYTES) -> str:
+def ner_gate(text: str, max_bytes: int = 0) -> str:
     """Whether a text looks like natural language and is not too long for the model; 0 is no limit."""
 
     def check(t: str) -> str:
@@ -104,7 +104,7 @@ def hybrid_detect(
     text: str = "text",
     types: Iterable[str] | None = None,
     min_score: float = fixed.NER_MIN_SCORE,
-    max_bytes: int = fixed.NER_MAX_BYTES,
+    max_bytes: int = 0,
     into: str = "spans",
 ) -> DataFrame:
     """Regex spans and the model's spans of each text, resolved by preference.

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.detectors import detect
 from maskwright.functions.masking import chosen_spans, placeholders_in, put_back, with_masked
-from maskwright.functions.spans import rebuild
-from maskwright.operators.skew import hot_split_join, rank_in_order
+from maskwright.functions.spans import kind_of, rebuild
+from maskwright.operators.skew import hot_split_join, null_safe_join, rank_in_order
 from maskwright.session import written
 
 
@@ -102,7 +102,7 @@ def number_placeholders(
     `occurrences` has the group and order columns, `type` and `value`; the first order column is an integer.
     """
     first = (
-        occurrences.groupBy(*group, F.upper("type").alias("kind"), "value")
+        occurrences.groupBy(*group, F.expr(kind_of("type")).alias("kind"), "value")
         .agg(F.min(F.struct(*order)).alias("first"))
         .select(*group, "kind", "value", "first.*")
     )
@@ -130,25 +130,27 @@ def sanitize_conversations(
 
     Returns the table with `masked` added, and the mappings (conversation, placeholder, original). A conversation
     of any length is spread over blocks of turns; what is gathered in one place is a single turn. The detectors run
-    once, when this is called: their findings, without the texts, are kept as a table in the scratch folder.
+    once, when this is called: their findings, without the texts, are kept as a table in the scratch folder. Turns
+    without a conversation are one conversation of their own; turns of the same number are masked each by its text.
     """
+    df = df.withColumn("__row", F.xxhash64(text))
     spans = resolved_spans(df, text, types, min_confidence)
-    found = findings(spans, [conversation, turn]).filter(F.trim("value") != "")
-    occurrences = written(found.withColumn("kind", F.upper("type")), "occurrences")
+    found = findings(spans, [conversation, turn, "__row"]).filter(F.trim("value") != "")
+    occurrences = written(found.withColumn("kind", F.expr(kind_of("type"))), "occurrences")
     if max_replacements > 0:
-        ranked = rank_in_order(occurrences, [conversation], [turn, "start"], block)
+        ranked = rank_in_order(occurrences, [conversation], [turn, "start", "__row"], block)
         occurrences = written(ranked.filter(F.col("rank") <= max_replacements).drop("rank"), "occurrences")
-    numbered = written(number_placeholders(occurrences, [conversation], [turn, "start"], block), "numbered")
+    numbered = written(number_placeholders(occurrences, [conversation], [turn, "start", "__row"], block), "numbered")
     placed = hot_split_join(
-        occurrences, numbered, [conversation, "kind", "value"], [turn, "start"], how="inner"
+        occurrences, numbered, [conversation, "kind", "value"], [turn, "start", "__row"], how="inner"
     )
-    per_turn = placed.groupBy(conversation, turn).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("__placed")
+    per_turn = placed.groupBy(conversation, turn, "__row").agg(
+        F.array_sort(F.collect_set(F.struct("start", "end", "placeholder"))).alias("__placed")
     )
     masked = (
-        df.join(per_turn, [conversation, turn], "left")
+        null_safe_join(df, per_turn, [conversation, turn, "__row"])
         .withColumn("masked", F.expr(f"if(__placed is null, {text}, {rebuild(text, '__placed')})"))
-        .drop("__placed")
+        .drop("__placed", "__row")
     )
     mappings = numbered.select(conversation, "placeholder", F.col("value").alias("original"))
     return masked, mappings

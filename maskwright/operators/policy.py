@@ -92,8 +92,8 @@ def _joined(df: DataFrame, rules: DataFrame, host: str) -> DataFrame:
             "__decision"
         ),
     )
-    named = df.withColumn("__name", F.lower(host))
-    return named.join(outcome, "__name", "left").drop("__name")
+    named = df.withColumn("__host", F.lower(host))
+    return named.join(outcome, F.col("__host").eqNullSafe(F.col("__name")), "left").drop("__host", "__name")
 
 
 def evaluate_policy(df: DataFrame, rules: Iterable[Mapping] | DataFrame, host: str = "host") -> DataFrame:
@@ -105,7 +105,7 @@ def evaluate_policy(df: DataFrame, rules: Iterable[Mapping] | DataFrame, host: s
     if isinstance(rules, DataFrame):
         few = rules.orderBy("ord").limit(MAX_INLINE + 1).collect()
         if len(few) <= MAX_INLINE:
-            decided = _inline(df, [r.asDict() for r in few], host)
+            decided = _inline(df, [r.asDict() for r in few] or DEFAULT_RULES, host)
         else:
             decided = _joined(df, rules, host)
     else:

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 PARTS = 1024
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join by columns of the same names in which NULL equals NULL; they appear once, from the left."""
+    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(renamed, same, how).drop(*[f"__r_{c}" for c in on])
+
+
 def hot_split_join(
     left: DataFrame, right: DataFrame, on: list[str], spread_by: list[str], how: str = "left", parts: int = PARTS
 ) -> DataFrame:
@@ -16,7 +25,7 @@ def hot_split_join(
     A key is hot when it has at least that share. There can be no more than `parts` such keys, so the table of hot
     keys may be broadcast whatever the size of the inputs. The rows of a hot key are dealt out by a hash of
     `spread_by` and its rows of `right`, unique or few, are repeated for every share. `left` is read twice, so what
-    is costly to compute should be a written table.
+    is costly to compute should be a written table. NULL keys meet NULL keys.
     """
     counts = left.groupBy(*on).agg(F.count("*").alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
@@ -28,16 +37,16 @@ def hot_split_join(
     )
     slot = F.pmod(F.xxhash64(*spread_by), F.col("__pieces")).cast("int")
     dealt = (
-        left.join(F.broadcast(hot), on, "left")
+        null_safe_join(left, F.broadcast(hot), on)
         .withColumn("__slot", F.coalesce(slot, F.lit(0)))
         .drop("__pieces")
     )
     repeated = (
-        right.join(F.broadcast(hot), on, "left")
+        null_safe_join(right, F.broadcast(hot), on)
         .withColumn("__slot", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__pieces"), F.lit(1)) - 1)))
         .drop("__pieces")
     )
-    return dealt.join(repeated, [*on, "__slot"], how).drop("__slot")
+    return null_safe_join(dealt, repeated, [*on, "__slot"], how).drop("__slot")
 
 
 def running_total(
@@ -57,7 +66,7 @@ def running_total(
     inner = Window.partitionBy(*group, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = blocked.withColumn("__within", F.coalesce(F.sum("__amount").over(inner), F.lit(0)))
     return (
-        within.join(offsets, [*group, "__block"])
+        null_safe_join(within, offsets, [*group, "__block"], "inner")
         .withColumn(into, F.col("__within") + F.col("__before"))
         .drop("__block", "__amount", "__within", "__before")
     )

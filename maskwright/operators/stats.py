@@ -159,8 +159,8 @@ def snapshot(
         F.collect_list(F.struct("requests", "domain")).alias("rows")
     )
     sorted_domains = F.expr(
-        "transform(array_sort(rows, (a, b) -> case when a.requests <> b.requests then cast(b.requests - a.requests "
-        "as int) when a.domain < b.domain then -1 when a.domain > b.domain then 1 else 0 end), "
+        "transform(array_sort(rows, (a, b) -> case when a.requests > b.requests then -1 when "
+        "a.requests < b.requests then 1 when a.domain < b.domain then -1 when a.domain > b.domain then 1 else 0 end), "
         "r -> named_struct('domain', r.domain, 'requests', r.requests))"
     )
     logged = [f"log_{c}" for c in order]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.fixed_values import BODY_LIMIT, PREVIEW_LENGTH, TRACE_SAMPLE_RATE
+from maskwright.fixed_values import PREVIEW_LENGTH, TRACE_SAMPLE_RATE
 
 
 def _mentions(content_type: Column, what: str) -> Column:
@@ -13,19 +13,25 @@ def _mentions(content_type: Column, what: str) -> Column:
 
 
 def request_skip_reason(
-    method: Column, content_type: Column, content_length: Column, body: Column, limit: int = BODY_LIMIT
+    method: Column, content_type: Column, content_length: Column, body: Column, limit: int | None = None
 ) -> Column:
-    """Why a request is passed on as it is; NULL if it is to be masked."""
+    """Why a request is passed on as it is; NULL if it is to be masked.
+
+    Without a limit the body itself decides. With one, in bytes, a longer body is passed on, and so is one whose
+    declared length is longer or unknown.
+    """
     size = F.octet_length(body)
-    return (
+    reason = (
         F.when(F.coalesce(method != "POST", F.lit(True)), F.lit("method"))
         .when(body.isNull(), F.lit("no body"))
         .when(_mentions(content_type, "text/event-stream"), F.lit("event stream"))
         .when(~_mentions(content_type, "application/json"), F.lit("content type"))
-        .when(content_length.isNull() | (content_length < 0), F.lit("unknown length"))
-        .when((content_length > limit) | (size > limit), F.lit("too large"))
-        .when(size == 0, F.lit("empty"))
     )
+    if limit is not None:
+        reason = reason.when(content_length.isNull() | (content_length < 0), F.lit("unknown length")).when(
+            (content_length > limit) | (size > limit), F.lit("too large")
+        )
+    return reason.when(size == 0, F.lit("empty"))
 
 
 def is_streaming(content_type: Column, transfer_encoding: Column) -> Column:
@@ -49,20 +55,24 @@ def response_skip_reason(
     body: Column,
     restore_enabled: Column,
     has_mapping: Column,
-    limit: int = BODY_LIMIT,
+    limit: int | None = None,
 ) -> Column:
-    """Why a response is passed on as it is; NULL if its placeholders are to be restored."""
+    """Why a response is passed on as it is; NULL if its placeholders are to be restored. `limit` as for requests."""
     streaming = is_streaming(content_type, transfer_encoding)
-    return (
+    reason = (
         F.when(~is_text(content_type) & ~streaming, F.lit("content type"))
         .when(F.coalesce(content_encoding, F.lit("")) != "", F.lit("compressed"))
-        .when(~streaming & (content_length.isNull() | (content_length < 0)), F.lit("unknown length"))
-        .when(~streaming & (content_length > limit), F.lit("too large"))
-        .when(~F.coalesce(restore_enabled, F.lit(False)), F.lit("restore off"))
+    )
+    if limit is not None:
+        reason = reason.when(~streaming & (content_length.isNull() | (content_length < 0)), F.lit("unknown length")).when(
+            ~streaming & (content_length > limit), F.lit("too large")
+        )
+    reason = (
+        reason.when(~F.coalesce(restore_enabled, F.lit(False)), F.lit("restore off"))
         .when(~F.coalesce(has_mapping, F.lit(False)), F.lit("no mapping"))
         .when(body.isNull(), F.lit("no body"))
-        .when(~streaming & (F.octet_length(body) > limit), F.lit("too large"))
     )
+    return reason if limit is None else reason.when(~streaming & (F.octet_length(body) > limit), F.lit("too large"))
 
 
 def body_preview(body: Column, content_type: Column) -> Column:
@@ -118,5 +128,6 @@ def trace_durations(traces: DataFrame) -> DataFrame:
 
 
 def sample_traces(traces: DataFrame, key: str = "id", rate: float = TRACE_SAMPLE_RATE) -> DataFrame:
-    """Keep this share of the requests, the same ones on every run."""
-    return traces.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(rate * 1_000_000))
+    """Keep this share of the requests, the same ones on every run and in every engine: by the MD5 of the key."""
+    place = F.conv(F.left(F.md5(F.col(key).cast("string").cast("binary")), F.lit(8)), 16, 10).cast("long")
+    return traces.filter(place % 1_000_000 < round(rate * 1_000_000))

@@ -24,17 +24,21 @@ def special_ids(vocab: DataFrame) -> dict[str, int]:
     return found
 
 
-def wordpiece(words: DataFrame, vocab: DataFrame, word: str = "word", lowercase: bool = True) -> DataFrame:
+def wordpiece(
+    words: DataFrame, vocab: DataFrame, word: str = "word", lowercase: bool = True, max_length: int | None = None
+) -> DataFrame:
     """One row per distinct word with `pieces`, the ids it is cut into.
 
     From the left the longest known piece is taken, "##" marking pieces inside the word; a word that cannot be
-    cut to its end, or is too long, is one unknown piece.
+    cut to its end, or is longer than `max_length` if that is given, is one unknown piece.
     """
     unknown = special_ids(vocab)[fixed.UNKNOWN_PIECE]
     longest = vocab.agg(F.max(F.char_length("piece"))).first()[0]
     form = F.lower(word) if lowercase else F.col(word)
     distinct = written(words.select(word).distinct().withColumn("__form", form), "words")
-    forms = distinct.select("__form").distinct().filter(F.char_length("__form") <= fixed.MAX_WORD_LENGTH)
+    forms = distinct.select("__form").distinct().filter(F.char_length("__form") > 0)
+    if max_length is not None:
+        forms = forms.filter(F.char_length("__form") <= max_length)
     starts = forms.select("__form", F.explode(F.sequence(F.lit(0), F.char_length("__form") - 1)).alias("start"))
     sizes = F.expr(f"sequence(1, least(char_length(__form) - start, {longest}))")
     cuts = starts.select("__form", "start", F.explode(sizes).alias("size")).withColumn(
@@ -66,14 +70,16 @@ def wordpiece(words: DataFrame, vocab: DataFrame, word: str = "word", lowercase:
 
 
 def encode_corpus(
-    docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text", lowercase: bool = True
+    docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text", lowercase: bool = True,
+    max_sequence: int | None = None,
 ) -> DataFrame:
-    """Fixed-form model input per document: input_ids, attention_mask, token_type_ids, word_index.
+    """Model input per document: input_ids, attention_mask, token_type_ids, word_index.
 
-    No more words of a document can matter than there are places for pieces, so only those are joined.
+    All words are covered; `max_sequence` cuts the sequence to so many places, the two marks included. No more words of
+    a document can matter then than there are places for pieces, so only those are joined.
     """
     ids = special_ids(vocab)
-    places = fixed.MAX_SEQUENCE - 2
+    places = 2**31 - 1 if max_sequence is None else max_sequence - 2
     first_words = F.slice(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), 1, places)
     found = docs.select(key, F.posexplode_outer(first_words).alias("index", "word")).filter("word is not null")
     words = written(found, "words")

@@ -293,9 +293,11 @@ ORACLES = {
     ),
     "audit_follow": _ROWS_SQL,
     "watch_stats": "SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS requests, "
-    "CAST(sum(len(types)) AS BIGINT) AS masked_items, "
+    "CAST(sum(len(list_filter(types, lambda x: trim(x) <> ''))) AS BIGINT) AS masked_items, "
     "round(coalesce(avg(CASE WHEN total_latency_ms > 0 THEN total_latency_ms END), 0), 6) AS total_ms "
     f"FROM ({tables.AUDIT_SQL}) GROUP BY 1",
+    "trace_sample": "SELECT id FROM (SELECT event_id AS id FROM events) "
+    "WHERE CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % 1000000 < 100000",
     "stats_totals": f"SELECT count(*) AS requests, (SELECT count(*) FROM ({_TYPES})) AS masked_items FROM events",
     "stats_by_type": f"SELECT type, count(*) AS n FROM ({_TYPES}) GROUP BY type",
     "stats_latency": "SELECT "

@@ -142,7 +142,7 @@ _WORDS = f"""SELECT doc_id, hit, i, sum(length(gap) + length(hit)) OVER (PARTITI
     SELECT doc_id, string_split_regex(text, {_P}) AS g, regexp_extract_all(text, {_P}) AS m FROM documents))"""
 _SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _GATE = (
-    r"strlen(text) >= 8 AND strlen(text) <= 32768 AND "
+    r"strlen(text) >= 8 AND "
     r"length(regexp_replace(text, '[^\p{L}]+', '', 'g'))::DOUBLE / length(text) > 0.4 AND "
     f"length(regexp_replace(text, '[^{_SPACE}]+', '', 'g'))::DOUBLE / length(text) > 0.05"
 )
@@ -182,7 +182,7 @@ every AS (SELECT doc_id, type, value, s, e, score, src, ord FROM spans UNION ALL
 _PIECES = f"""WITH RECURSIVE vocab AS ({tables.VOCAB_SQL}),
 forms AS (SELECT DISTINCT lower(w) AS form FROM (SELECT unnest(regexp_extract_all(text, {_P})) AS w FROM documents)),
 walk(form, pos, ids) AS (
-  SELECT form, 0, CAST([] AS BIGINT[]) FROM forms WHERE length(form) <= 100
+  SELECT form, 0, CAST([] AS BIGINT[]) FROM forms
   UNION ALL
   SELECT form, pos + size, list_append(ids, id) FROM (
     SELECT w.form, w.pos, w.ids, v.id, n.size, row_number() OVER (PARTITION BY w.form ORDER BY n.size DESC) AS rank
@@ -212,8 +212,7 @@ words AS (SELECT doc_id, unnest(m) AS word, unnest(range(len(m))) AS i FROM (
   SELECT doc_id, regexp_extract_all(text, {_P}) AS m FROM documents)),
 long AS (SELECT * FROM (
   SELECT doc_id, i, id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS place FROM (
-    SELECT doc_id, i, unnest(ids) AS id, unnest(range(len(ids))) AS j FROM words JOIN cut ON form = lower(word)
-    WHERE i < 510)) WHERE place <= 510)
+    SELECT doc_id, i, unnest(ids) AS id, unnest(range(len(ids))) AS j FROM words JOIN cut ON form = lower(word))))
 SELECT d.doc_id, CASE WHEN n IS NULL THEN '2,3' ELSE '2,' || ids || ',3' END AS input_ids,
   CASE WHEN n IS NULL THEN '-1,-1' ELSE '-1,' || idx || ',-1' END AS word_index, coalesce(n, 0) + 2 AS length
 FROM documents d LEFT JOIN (

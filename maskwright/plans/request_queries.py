@@ -246,8 +246,7 @@ _JSON_COLUMNS = r"""request_id,
 
 _REASON = f"""CASE WHEN method <> 'POST' THEN 'method'
   WHEN {_MENTIONS('text/event-stream')} THEN 'event stream'
-  WHEN NOT {_MENTIONS('application/json')} THEN 'content type'
-  WHEN content_length < 0 THEN 'unknown length' WHEN content_length > 262144 THEN 'too large' END"""
+  WHEN NOT {_MENTIONS('application/json')} THEN 'content type' END"""
 _SKIPPED = (
     f"SELECT request_id, method, content, CASE WHEN host = 'api.blocked.example' THEN 'blocked' ELSE {_REASON} END "
     f"AS skip_reason FROM ({tables.REQUESTS_SQL})"
@@ -268,12 +267,10 @@ ORACLES = {
     "intercept_scope": "SELECT page_id, decision = 'mitm' AND (lower(host) IN ('openai.com', 'example.org') "
     "OR ends_with(lower(host), '.openai.com') OR ends_with(lower(host), '.example.org')) AS inspect "
     f"FROM ({_DECIDED})",
-    "request_eligibility": f"SELECT request_id, coalesce({_REASON}, CASE WHEN strlen(content) > 262144 THEN 'too large' "
+    "request_eligibility": f"SELECT request_id, coalesce({_REASON}, CASE "
     f"WHEN strlen(content) = 0 THEN 'empty' END, 'inspect') AS skip_reason FROM ({tables.REQUESTS_SQL})",
     "response_eligibility": f"""SELECT request_id, CASE
   WHEN request_id % 7 = 0 THEN 'compressed'
-  WHEN NOT ({_MENTIONS('text/event-stream')} OR request_id % 2 = 0) AND content_length < 0 THEN 'unknown length'
-  WHEN NOT ({_MENTIONS('text/event-stream')} OR request_id % 2 = 0) AND content_length > 262144 THEN 'too large'
   WHEN request_id % 3 = 0 THEN 'no mapping' ELSE 'restore' END AS skip_reason FROM ({tables.REQUESTS_SQL})""",
     "body_preview": f"SELECT request_id, CASE WHEN {_MENTIONS('application/json')} "
     f"THEN replace(left(content, 512), {_NEWLINE}, '') ELSE '' END AS preview FROM ({tables.REQUESTS_SQL})",

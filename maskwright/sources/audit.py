@@ -6,7 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.fixed_values import AUDIT_LINE_LIMIT
 
 AUDIT_SCHEMA = (
     "timestamp string, method string, host string, path string, status_code int, decision string, reason string, "
@@ -17,12 +16,12 @@ AUDIT_SCHEMA = (
 ALWAYS_WRITTEN = ["timestamp", "method", "host", "decision", "reason"]
 
 
-def parse_audit(lines: DataFrame) -> DataFrame:
-    """Audit rows of a table of text lines. Lines that do not parse are left out, an oversized line is an error."""
-    too_long = F.raise_error(F.lit(f"audit line is longer than {AUDIT_LINE_LIMIT} bytes"))
-    checked = F.when(F.octet_length("value") > AUDIT_LINE_LIMIT, too_long.cast("string")).otherwise(F.col("value"))
+def parse_audit(lines: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Audit rows of a table of text lines. Lines that do not parse, or are longer than `max_bytes`, are left out."""
+    if max_bytes is not None:
+        lines = lines.filter(F.octet_length("value") <= max_bytes)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt", "allowSingleQuotes": "false"}
-    row = F.from_json(checked, f"{AUDIT_SCHEMA}, __corrupt string", options)
+    row = F.from_json("value", f"{AUDIT_SCHEMA}, __corrupt string", options)
     return (
         lines.filter(F.col("value").rlike(r"^\s*\{"))
         .select(row.alias("row"))

@@ -33,6 +33,11 @@ def split_held(text: str, longest: int) -> tuple[str, str]:
     return text[: tail.start()], tail.group()
 
 
+def _text(data: object) -> str:
+    """A chunk without data, as one that only ends its session, holds nothing."""
+    return data if isinstance(data, str) else ""
+
+
 class WholePlaceholders(StatefulProcessor):
     """Per session: the next chunk number, the text held back, and chunks that came too early."""
 
@@ -58,7 +63,7 @@ class WholePlaceholders(StatefulProcessor):
             at, done = at + 1, eof
 
         for batch in rows:
-            for seq, data, eof in sorted(zip(batch["seq"], batch["data"], batch["eof"], strict=True)):
+            for seq, data, eof in sorted(zip(batch["seq"], map(_text, batch["data"]), batch["eof"].fillna(False), strict=True)):
                 if seq == at and not done:
                     take(data, bool(eof))
                 elif seq > at:

@@ -17,7 +17,10 @@ from maskwright.operators.traffic import audit_record, body_preview, request_ski
 
 
 def mask_requests(
-    requests: DataFrame, rules: Iterable[Mapping] = (), types: Iterable[str] | None = None
+    requests: DataFrame,
+    rules: Iterable[Mapping] = (),
+    types: Iterable[str] | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Requests with decision, skip reason, masked body and items; works on tables and streams.
 
@@ -27,7 +30,7 @@ def mask_requests(
     named = requests.withColumn("host", normalize_host(F.col("host")))
     decided = evaluate_policy(named, rules)
     reason = request_skip_reason(
-        F.col("method"), F.col("content_type"), F.col("content_length"), F.col("body")
+        F.col("method"), F.col("content_type"), F.col("content_length"), F.col("body"), limit
     )
     blocked = F.when(F.col("decision") == "block", F.lit("blocked"))
     with_reason = decided.withColumn("skip_reason", F.coalesce(blocked, reason)).withColumn(
@@ -61,11 +64,11 @@ def sanitize_stream(
     The masked rows of a batch are written first, with their items, and the other two are made from what was
     written: the detectors run once, and a batch that is run again replaces what it wrote before.
     """
-    masked = mask_requests(requests, rules, types)
+    rules = list(rules)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         folder = f"batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(f"{output}/work/{folder}")
+        mask_requests(batch, rules, types).write.mode("overwrite").parquet(f"{output}/work/{folder}")
         done = batch.sparkSession.read.parquet(f"{output}/work/{folder}")
         done.select("request_id", "masked", "skip_reason").write.mode("overwrite").parquet(
             f"{output}/masked/{folder}"
@@ -73,5 +76,5 @@ def sanitize_stream(
         build_mappings(done, "request_id").write.mode("overwrite").parquet(f"{output}/mappings/{folder}")
         audit_record(done).write.mode("overwrite").parquet(f"{output}/audit/{folder}")
 
-    writer = masked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.labels import trimmed
 from maskwright.operators.stats import event_time
 
 REFRESH = "2 seconds"
@@ -18,7 +19,8 @@ def watch_stats(audit: DataFrame, lateness: str = LATENESS) -> DataFrame:
     the watermark allows no longer count.
     """
     timed = audit.withColumn("event_time", event_time(F.col("timestamp"))).filter("event_time is not null")
-    items = F.coalesce(F.size("sanitized_items"), F.lit(0))
+    named = F.filter("sanitized_items", lambda i: trimmed(i["type"]) != "")
+    items = F.coalesce(F.size(named), F.lit(0))
     return (
         timed.withWatermark("event_time", lateness)
         .groupBy(F.window("event_time", "1 minute").alias("window"))

@@ -53,7 +53,7 @@ def test_gate(spark):
         "words " * 6000: False,
     }
     df = docs(spark, *cases).orderBy("doc_id")
-    assert [r.p for r in df.select(F.expr(ner_gate("text")).alias("p")).collect()] == list(cases.values())
+    assert [r.p for r in df.select(F.expr(ner_gate("text", 32 * 1024)).alias("p")).collect()] == list(cases.values())
     assert df.filter("doc_id = 5").select(F.expr(ner_gate("text", 0)).alias("p")).first().p is True
 
 
@@ -100,7 +100,9 @@ def test_encoding(spark, vocab):
     assert rows[0].input_ids == [2, 7, 5, 6, 3] and rows[0].word_index == [-1, 0, 1, 1, -1]
     assert rows[0].attention_mask == [1] * 5 and rows[0].token_type_ids == [0] * 5
     assert rows[1].input_ids == [2, 3]
-    assert len(rows[2].input_ids) == 512 and rows[2].input_ids[-1] == 3
+    assert len(rows[2].input_ids) == 602 and rows[2].input_ids[-1] == 3
+    cut = encode_corpus(docs(spark, "hello " * 600), vocab, max_sequence=512).first()
+    assert len(cut.input_ids) == 512 and cut.input_ids[-1] == 3
 
 
 def test_model_files(spark, tmp_path):

@@ -140,6 +140,24 @@ def test_broadcast_only_when_counted(spark):
     assert broadcast_if_small(spark.range(11), 10)[1] is False
 
 
+def test_long_bodies_and_unknown_lengths_are_masked_without_a_limit(spark):
+    body = '{"text":"a@x.com ' + "x" * 300_000 + '"}'
+    rows = [(1, "POST", "h", "application/json", -1, body)]
+    schema = "request_id int, method string, host string, content_type string, content_length long, body string"
+    df = spark.createDataFrame(rows, schema).withColumn("path", F.lit("/"))
+    (row,) = mask_requests(df).collect()
+    assert row["skip_reason"] is None and "[EMAIL_1]" in row["masked"] and "a@x.com" not in row["masked"]
+
+
+def test_half_a_surrogate_pair_does_not_end_the_job(spark):
+    body = '{"text":"bad \\ud83d a@x.com"}'
+    df = spark.createDataFrame([(1, body)], "id int, body string")
+    from maskwright.operators.jsonmask import sanitize_body
+
+    (row,) = sanitize_body(df, "body").collect()
+    assert "[EMAIL_1]" in row["masked"] and "a@x.com" not in row["masked"]
+
+
 def test_requests_that_are_not_masked(spark):
     mail = '{"text":"a@x.com"}'
     rows = [
@@ -154,7 +172,8 @@ def test_requests_that_are_not_masked(spark):
     ]
     schema = "request_id int, method string, host string, content_type string, content_length long, body string"
     df = spark.createDataFrame(rows, schema).withColumn("path", F.lit("/"))
-    done = mask_requests(df, [{"id": "b", "host": "bad", "action": "block"}]).orderBy("request_id").collect()
+    rules = [{"id": "b", "host": "bad", "action": "block"}]
+    done = mask_requests(df, rules, limit=256 * 1024).orderBy("request_id").collect()
     assert [r["skip_reason"] for r in done] == [
         None, "method", "event stream", "too large", "blocked", "unknown length", "empty", "no body",
     ]

@@ -12,7 +12,7 @@ from maskwright.functions import detectors as det
 from maskwright.functions.masking import with_masked
 from maskwright.functions.numbers import looks_like_jwt, shannon_entropy
 from maskwright.functions.spans import SPAN
-from maskwright.operators.masking import build_mappings, drop_sessions, restore, sanitize
+from maskwright.operators.masking import build_mappings, drop_sessions, restore, sanitize, sanitize_conversations
 
 
 def texts(spark, *values):
@@ -240,3 +240,28 @@ def test_ten_sessions_see_only_their_own(spark):
 
 def test_text_that_already_has_a_placeholder(spark):
     assert masked(spark, "[EMAIL_1] and a@x.com") == ["[EMAIL_1] and [EMAIL_1]"]
+
+
+def test_turns_without_a_conversation_and_equal_turns_are_masked(spark):
+    rows = [(None, 1, "a@x.com"), (7, 1, "a@x.com"), (7, 1, "b@x.com and more text"), (7, 1, "b@x.com and more text")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    masked, mappings = sanitize_conversations(df)
+    got = sorted((r["conv_id"] or 0, r["text"], r["masked"]) for r in masked.collect())
+    assert [x[2].split(" ", 1)[1:] for x in got] == [[], [], ["and more text"], ["and more text"]]
+    assert not any("@" in x[2] for x in got)
+    assert mappings.filter("conv_id is null").count() == 1
+
+
+def test_private_keys_without_an_end_cost_in_proportion(spark):
+    import time
+
+    from maskwright.operators.masking import sanitize
+
+    def seconds(n):
+        df = spark.createDataFrame([("-----BEGIN RSA PRIVATE KEY-----\nabc-def\n" * n,)], "text string")
+        start = time.perf_counter()
+        sanitize(df, types=["private_key"]).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(8000) < 20

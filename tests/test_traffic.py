@@ -73,6 +73,15 @@ def test_intercept_scope(spark, many):
     assert not any(r["inspect"] for r in intercept_scope(df, domains, enabled=False).collect())
 
 
+def test_a_missing_host_meets_the_same_rule_in_both_forms(spark):
+    df = spark.createDataFrame([(1, None), (2, "h7.net")], "id int, host string")
+    few = [{"id": f"r{i}", "host": f"h{i}.net", "action": "allow"} for i in range(90)] + [{"id": "all", "action": "block"}]
+    many = [{"id": f"r{i}", "host": f"h{i}.net", "action": "allow"} for i in range(150)] + [{"id": "all", "action": "block"}]
+    for rules in (few, many):
+        got = {r["id"]: (r["decision"], r["rule_id"]) for r in evaluate_policy(df, rules).collect()}
+        assert got == {1: ("block", "all"), 2: ("allow", "r7")}
+
+
 def test_response_reasons(spark):
     rows = [
         ("application/json", None, None, 10, "b", True, True, None),
@@ -88,7 +97,7 @@ def test_response_reasons(spark):
     df = spark.createDataFrame(
         rows, "ct string, te array<string>, ce string, n long, body string, wanted boolean, known boolean, reason string"
     )
-    got = df.select("reason", traffic.response_skip_reason(*[F.col(c) for c in df.columns[:-1]]).alias("o")).collect()
+    got = df.select("reason", traffic.response_skip_reason(*[F.col(c) for c in df.columns[:-1]], limit=256 * 1024).alias("o")).collect()
     assert all(r.reason == r.o for r in got)
 
 
@@ -147,10 +156,9 @@ def test_audit_round_trip(spark, tmp_path):
     assert "sanitize_latency_ms" not in text and '"decision":"allow"' in text
 
 
-def test_an_oversized_line_is_an_error(spark, tmp_path):
-    (tmp_path / "log.jsonl").write_text('{"host":"' + "x" * (2 * 1024 * 1024) + '"}\n')
-    with pytest.raises(Exception, match="longer than"):
-        read_audit(spark, str(tmp_path / "log.jsonl")).collect()
+def test_a_very_long_line_is_read(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"host":"' + "x" * (3 * 1024 * 1024) + '"}\n{"host":"y"}\n')
+    assert read_audit(spark, str(tmp_path)).count() == 2
 
 
 def test_times_are_written_without_trailing_zeros(spark):
