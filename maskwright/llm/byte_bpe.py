@@ -20,10 +20,30 @@ from pyspark.sql import DataFrame
 from maskwright.llm.common import row_map
 
 BITS = 64
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 150_000
 CACHED_LENGTH = 48
 
 
+class Memo:
+    """What was made of the last keys. Two tables take turns: a full one becomes the old one, which still answers, and what
+    is asked for again moves to the new one. So common keys stay and memory is bounded."""
+
+    def __init__(self, limit: int = CACHE_ENTRIES):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def recall(self, key):
+        """An old entry, moved to the new table, or None; ask `new` first."""
+        known = self.old.get(key)
+        if known is not None:
+            self.keep(key, known)
+        return known
+
+    def keep(self, key, value) -> None:
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class RankQueue:
     """Positions filed under ranks; the lowest rank first, within a rank the leftmost position."""
 
@@ -72,8 +92,7 @@ class ByteBPE:
         self.tokens = {i: token for token, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.pieces: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[int, str, bytes]] = {}
+        self.pieces, self.chunks = Memo(), Memo()
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -130,13 +149,11 @@ class ByteBPE:
         ids: list[int] = []
         pieces = self.pieces
         for piece in self.pattern.findall(text):
-            known = pieces.get(piece)
+            known = pieces.new.get(piece) or pieces.recall(piece)
             if known is None:
                 known = self.encode_piece(piece.encode("utf-8", "replace"))
                 if len(piece) <= CACHED_LENGTH:
-                    if len(pieces) >= CACHE_ENTRIES:
-                        pieces.clear()
-                    pieces[piece] = known
+                    pieces.keep(piece, known)
             ids.extend(known)
         return ids
 
@@ -144,12 +161,13 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def _chunk(self, chunk: str) -> tuple[int, str, bytes]:
+        known = self.chunks.recall(chunk)
+        if known is not None:
+            return known
         ids = self.encode(chunk)
         made = (len(ids), ",".join(map(str, ids)), self.decode(ids))
         if len(chunk) <= CACHED_LENGTH:
-            if len(self.chunks) >= CACHE_ENTRIES:
-                self.chunks.clear()
-            self.chunks[chunk] = made
+            self.chunks.keep(chunk, made)
         return made
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
@@ -160,13 +178,11 @@ class ByteBPE:
         and decoded by itself.
         """
         chunks = _cut(text or "")
-        known = self.chunks
-        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-        parts: list[tuple[int, str, bytes]] = [known.get(c) or self._chunk(c) for c in chunks]
-        n = sum(p[0] for p in parts)
-        ids.update(",".join([p[1] for p in parts]).encode())
-        decoded.update(b"".join([p[2] for p in parts]))
-        return n, ids.hexdigest(), decoded.hexdigest()
+        memo = self.chunks
+        parts: list[tuple[int, str, bytes]] = [memo.new.get(c) or self._chunk(c) for c in chunks]
+        ids = hashlib.sha256(",".join([p[1] for p in parts]).encode())
+        decoded = hashlib.sha256(b"".join([p[2] for p in parts]))
+        return sum(p[0] for p in parts), ids.hexdigest(), decoded.hexdigest()
 
 
 _LOOSE = re.compile(r"\s[ ]|[ ]\s|^ | $|[\x1c-\x1f]")
