@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from maskwright.llm.common import row_map
 
 BITS = 64
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 CACHED_LENGTH = 48
 
 
