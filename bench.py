@@ -27,6 +27,12 @@ HEADLINE = [
     "sanitize_conversations",
     "sanitize_body",
     "hybrid_detect",
+    "sanitize_json",
+    "encode_corpus",
+    "policy_rules_table",
+    "restore_chunks",
+    "restore_stream",
+    "sanitize_stream",
     "words",
     "wordpiece",
     "policy",
