@@ -140,16 +140,19 @@ def _within(runs: str, detector: Detector) -> str:
     return f"flatten(transform({runs}, {run} -> transform({detector.find(f'{run}.value')}, {s} -> {moved})))"
 
 
-def find_spans(text: str, names: Iterable[str], min_confidence: float = 0.0) -> str:
-    """Every span of the named detectors, in their order; a custom one is read from its own column."""
+def find_spans(
+    text: str, names: Iterable[str], min_confidence: float = 0.0, custom: Callable[[str], str] | None = None
+) -> str:
+    """Every span of the named detectors, in their order; a custom one is read from its own column, or from `custom`."""
     names = list(names)
+    custom = custom or custom_column
     in_runs = any(n not in _custom and BUILT_IN[n].in_runs for n in names)
 
     def found(t: str, runs: str) -> str:
         parts = [NO_SPANS]
         for n in names:
             if n in _custom:
-                parts.append(custom_column(n))
+                parts.append(custom(n))
             elif BUILT_IN[n].in_runs:
                 parts.append(_within(runs, BUILT_IN[n]))
             elif BUILT_IN[n].hint:
@@ -179,6 +182,21 @@ def with_custom_spans(df: DataFrame, text: str, names: Iterable[str]) -> tuple[D
     return df, [custom_column(n).strip("`") for n in added]
 
 
+def with_custom_spans_of_items(df: DataFrame, items: str, names: Iterable[str]) -> tuple[DataFrame, list[str]]:
+    """As `with_custom_spans` for an array of structs with a `value`: one array of spans per item.
+
+    Runs inside the array, so these detectors have to be made of Spark's own functions.
+    """
+    added = [n for n in names if n in _custom]
+
+    def spans(n: str) -> Column:
+        return F.transform(items, lambda item: _custom[n](item["value"]))
+
+    for n in added:
+        df = df.withColumn(custom_column(n).strip("`"), spans(n))
+    return df, [custom_column(n).strip("`") for n in added]
+
+
 def detect(
     df: DataFrame,
     text: str = "text",

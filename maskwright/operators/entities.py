@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright import fixed_values as fixed
-from maskwright.functions.arrays import let, quoted
+from maskwright.functions.arrays import fresh, let, quoted
 from maskwright.functions.detectors import detect
 from maskwright.functions.labels import ner_type
 from maskwright.functions.numbers import softmax
 from maskwright.functions.patterns import UNICODE_SPACE, WORDS
-from maskwright.functions.spans import NO_SPANS, regex_spans, resolve
+from maskwright.functions.spans import NO_SPANS, make_span, regex_spans, resolve, valid_spans
 
 ENTITY_SOURCE = "onnx-ner"
 
@@ -97,38 +97,54 @@ def merge_bio(tokens: DataFrame, document: str = "doc_id", token: str = "tok") -
     ).drop("__entity")
 
 
+def entities_by(entities: DataFrame, keys: list[str], min_score: float) -> DataFrame:
+    """The entities that reach the score as one array, `__entities`, per key."""
+    return (
+        entities.filter(F.col("score") >= min_score)
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "type", "score"))).alias("__entities"))
+    )
+
+
+def model_spans(text: str, found: str, max_bytes: int = 0) -> str:
+    """The model's spans of a text from its array of entities; none if the text fails the gate or there is no array."""
+    e = fresh("e")
+    made = make_span(
+        f"{e}.type",
+        f"substr({text}, {e}.start + 1, {e}.end - {e}.start)",
+        f"{e}.start",
+        f"{e}.end",
+        f"{e}.score",
+        quoted(ENTITY_SOURCE),
+    )
+    inside = valid_spans(f"transform({found}, {e} -> {made})", text)
+    return f"if({found} is not null and {ner_gate(text, max_bytes)}, {inside}, {NO_SPANS})"
+
+
 def hybrid_detect(
     df: DataFrame,
     entities: DataFrame,
-    key: str,
+    key: str | list[str],
     text: str = "text",
     types: Iterable[str] | None = None,
     min_score: float = fixed.NER_MIN_SCORE,
     max_bytes: int = 0,
     into: str = "spans",
+    min_confidence: float = 0.0,
+    overlap: str = "prefer",
 ) -> DataFrame:
-    """Regex spans and the model's spans of each text, resolved by preference.
+    """Regex spans and the model's spans of each text, overlaps resolved, by preference unless told otherwise.
 
-    `entities` is a table (key, type, start, end, score) of whatever the model found. Texts that fail the gate,
-    and texts without a row in it, have their regex spans only.
+    `entities` is a table (key, type, start, end, score) of whatever the model found; the key may be several columns.
+    Texts that fail the gate, and texts without a row in it, have their regex spans only; entities that reach beyond
+    their text are left out.
     """
-    per_text = (
-        entities.filter(F.col("score") >= min_score)
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "type", "score"))).alias("__entities"))
-    )
-    found = detect(df, text, types, into="__regex").join(per_text, key, "left")
-    named = F.expr(
-        f"transform(__entities, e -> named_struct('type', e.type, 'value', "
-        f"substr({text}, e.start + 1, e.end - e.start), 'start', cast(e.start as int), 'end', cast(e.end as int), "
-        f"'score', cast(e.score as double), 'source', '{ENTITY_SOURCE}'))"
-    )
-    gated = F.when(F.col("__entities").isNotNull() & F.expr(ner_gate(text, max_bytes)), named).otherwise(
-        F.expr(NO_SPANS)
-    )
+    keys = [key] if isinstance(key, str) else list(key)
+    regex = detect(df, text, types, min_confidence, into="__regex")
+    found = regex.join(entities_by(entities, keys, max(min_score, min_confidence)), keys, "left")
     return (
-        found.withColumn("__all", F.concat("__regex", gated))
-        .withColumn(into, F.expr(let("__all", lambda a: f"if(size({a}) > 0, {resolve(a, 'prefer')}, {a})")))
+        found.withColumn("__all", F.concat("__regex", F.expr(model_spans(text, "__entities", max_bytes))))
+        .withColumn(into, F.expr(let("__all", lambda a: f"if(size({a}) > 0, {resolve(a, overlap)}, {a})")))
         .drop("__regex", "__entities", "__all")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.detectors import detect
 from maskwright.functions.masking import chosen_spans, placeholders_in, put_back, with_masked
 from maskwright.functions.spans import kind_of, rebuild
+from maskwright.operators.entities import hybrid_detect
 from maskwright.operators.skew import hot_split_join, null_safe_join, rank_in_order
 from maskwright.session import written
 
@@ -20,12 +21,25 @@ def sanitize(
     types: Iterable[str] | None = None,
     min_confidence: float = 0.0,
     max_replacements: int = 0,
-    overlap: str = "first_longest",
+    overlap: str | None = None,
     specific_first: bool = False,
+    entities: DataFrame | None = None,
+    key: str | list[str] | None = None,
 ) -> DataFrame:
-    """Add `masked`, the text with placeholders, and `items`, what was replaced. Works row by row."""
+    """Add `masked`, the text with placeholders, and `items`, what was replaced. Works row by row.
+
+    With `entities`, the table of what a model found under `key` (see `hybrid_detect`), its spans are masked as well and
+    overlaps are resolved by preference unless told otherwise.
+    """
+    if entities is not None:
+        rule = overlap or "prefer"
+        found = hybrid_detect(
+            df, entities, key, text, types, into="__spans", min_confidence=min_confidence, overlap=rule
+        )
+        # The spans are disjoint by now: the second resolution only cuts to the limit.
+        return with_masked(found, text, "__spans", max_replacements).drop("__spans")
     found = detect(df, text, types, min_confidence, specific_first, into="__spans")
-    return with_masked(found, text, "__spans", max_replacements, overlap).drop("__spans")
+    return with_masked(found, text, "__spans", max_replacements, overlap or "first_longest").drop("__spans")
 
 
 def resolved_spans(
@@ -125,6 +139,8 @@ def sanitize_conversations(
     min_confidence: float = 0.0,
     max_replacements: int = 0,
     block: int = 1024,
+    overlap: str | None = None,
+    entities: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Mask the turns of conversations with one set of placeholders per conversation.
 
@@ -132,9 +148,14 @@ def sanitize_conversations(
     of any length is spread over blocks of turns; what is gathered in one place is a single turn. The detectors run
     once, when this is called: their findings, without the texts, are kept as a table in the scratch folder. Turns
     without a conversation are one conversation of their own; turns of the same number are masked each by its text.
+    `entities` is the table of what a model found by conversation and turn; turns without a number have none.
     """
     df = df.withColumn("__row", F.xxhash64(text))
-    spans = resolved_spans(df, text, types, min_confidence)
+    if entities is not None:
+        by_turn, rule = [conversation, turn], overlap or "prefer"
+        spans = hybrid_detect(df, entities, by_turn, text, types, min_confidence=min_confidence, overlap=rule)
+    else:
+        spans = resolved_spans(df, text, types, min_confidence, overlap or "first_longest")
     found = findings(spans, [conversation, turn, "__row"]).filter(F.trim("value") != "")
     occurrences = written(found.withColumn("kind", F.expr(kind_of("type"))), "occurrences")
     if max_replacements > 0:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.numbers import softmax
 from maskwright.operators import entities
-from maskwright.operators.masking import findings
+from maskwright.operators.masking import findings, sanitize
 from maskwright.operators.wordpiece import encode_corpus, wordpiece
 from maskwright.plans import oracle, tables
 from maskwright.session import scratch_dir
@@ -80,6 +80,17 @@ def hybrid_detect(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def sanitize_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents masked by the patterns and by what the model named."""
+    masked = sanitize(
+        tables.documents(spark, folder),
+        types=["email", "phone", "api_key", "jwt"],
+        entities=_named(spark, folder),
+        key="doc_id",
+    )
+    return masked.select("doc_id", "masked", F.size("items").cast("bigint").alias("n_items"))
+
+
 def model_labels(spark: SparkSession, folder: str) -> DataFrame:
     """The labels written as the model's label file and loaded; each with how often a token got it."""
     path = scratch_dir(spark, "labels")
@@ -130,6 +141,7 @@ QUERIES = {
     "decode_labels": decode_labels,
     "merge_bio": merge_bio,
     "hybrid_detect": hybrid_detect,
+    "sanitize_hybrid": sanitize_hybrid,
     "model_labels": model_labels,
     "vocabulary": vocabulary,
     "wordpiece": word_pieces,
@@ -175,8 +187,6 @@ every AS (SELECT doc_id, type, value, s, e, score, src, ord FROM spans UNION ALL
   FROM named WHERE (s % 10 + 1) / 10.0 >= 0.7),
 """
     + oracle.chosen_sql("doc_id", "prefer", spans="every")
-    + " SELECT doc_id, type AS span_type, s AS span_start, e AS span_end, value AS span_value, "
-    "round(score, 6) AS score, src AS source FROM chosen"
 )
 
 _PIECES = f"""WITH RECURSIVE vocab AS ({tables.VOCAB_SQL}),
@@ -202,7 +212,9 @@ ORACLES = {
     "decode_labels": f"SELECT doc_id, tok, label, round(score, 6) AS score FROM ({_DECODED})",
     "merge_bio": "SELECT doc_id, CASE kind WHEN 'PER' THEN 'PERSON' WHEN 'GPE' THEN 'LOC' ELSE kind END AS type, "
     f"start, \"end\", round(score, 6) AS score, 'onnx-ner' AS source FROM ({_BIO})",
-    "hybrid_detect": _HYBRID,
+    "hybrid_detect": f"{_HYBRID} SELECT doc_id, type AS span_type, s AS span_start, e AS span_end, value AS span_value, "
+    "round(score, 6) AS score, src AS source FROM chosen",
+    "sanitize_hybrid": f"{_HYBRID}, {oracle.masked_sql('doc_id')} SELECT doc_id, masked, n_items FROM masked",
     "model_labels": f"SELECT label, count(*) AS n FROM ({_DECODED}) GROUP BY label",
     "vocabulary": tables.VOCAB_SQL,
     "wordpiece": f"{_PIECES} SELECT word, array_to_string(ids, ',') AS pieces FROM (SELECT DISTINCT w AS word FROM "

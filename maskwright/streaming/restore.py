@@ -7,7 +7,7 @@ the next chunk, so that every piece that leaves has only whole placeholders and
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,10 +25,10 @@ TTL_MS = 600_000
 PIECES = "session_id string, seq bigint, piece string"
 
 
-def split_held(text: str, longest: int) -> tuple[str, str]:
-    """Text that may leave, and the end held back: an unclosed placeholder shorter than the longest there is."""
+def split_held(text: str, longest: int | None = None) -> tuple[str, str]:
+    """Text that may leave, and the end held back: an unclosed placeholder, shorter than the longest if that is known."""
     tail = _OPEN_TAIL.search(text)
-    if tail is None or len(tail.group()) >= longest:
+    if tail is None or (longest is not None and len(tail.group()) >= longest):
         return text, ""
     return text[: tail.start()], tail.group()
 
@@ -41,7 +41,7 @@ def _text(data: object) -> str:
 class WholePlaceholders(StatefulProcessor):
     """Per session: the next chunk number, the text held back, and chunks that came too early."""
 
-    def __init__(self, longest: int, ttl_ms: int | None):
+    def __init__(self, longest: int | None, ttl_ms: int | None):
         self.longest = longest
         self.ttl_ms = ttl_ms
 
@@ -110,10 +110,11 @@ class WholePlaceholders(StatefulProcessor):
         pass
 
 
-def whole_placeholders(chunks: DataFrame, longest: int, ttl_ms: int | None = TTL_MS) -> DataFrame:
+def whole_placeholders(chunks: DataFrame, longest: int | None = None, ttl_ms: int | None = TTL_MS) -> DataFrame:
     """Stream of pieces without cut placeholders, from a stream of (session_id, seq, data, eof).
 
-    A session that stays silent for `ttl_ms` is flushed; with None it waits for its last chunk.
+    What is held back has the shape of a placeholder's beginning; `longest` bounds it where the names are known. A
+    session that stays silent for `ttl_ms` is flushed; with None it waits for its last chunk.
     """
     chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return chunks.groupBy("session_id").transformWithStateInPandas(
@@ -137,7 +138,7 @@ def restore_pieces(pieces: DataFrame, mappings: DataFrame) -> DataFrame:
 
 def restore_stream(
     chunks: DataFrame,
-    mappings: DataFrame,
+    mappings: DataFrame | Callable[[], DataFrame],
     output: str,
     checkpoint: str,
     ttl_ms: int | None = TTL_MS,
@@ -145,14 +146,17 @@ def restore_stream(
 ) -> StreamingQuery:
     """Restore a stream of chunks and append (session_id, seq, data) to a Parquet folder.
 
-    The state holds a few characters per session; the mappings stay a table and are joined batch by batch. A run
-    over what is available now sets no timers, which would keep it from ending; open sessions wait for the next.
+    The state holds a few characters per session; the mappings stay a table and are joined batch by batch. Where they
+    grow while the stream runs, give a function: it opens the table for every batch, so a mapping counts from the batch
+    after it was written. A run over what is available now sets no timers, which would keep it from ending; open
+    sessions wait for the next.
     """
-    pieces = whole_placeholders(chunks, longest_placeholder(mappings), None if available_now else ttl_ms)
+    pieces = whole_placeholders(chunks, ttl_ms=None if available_now else ttl_ms)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        known = mappings() if callable(mappings) else mappings
         # The stateful step runs once; everything after it reads what it left.
-        restored = restore_pieces(written(batch, "pieces"), mappings)
+        restored = restore_pieces(written(batch, "pieces"), known)
         # One folder per batch: a batch that is run again replaces what it wrote before.
         restored.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 

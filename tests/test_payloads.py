@@ -4,9 +4,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from maskwright.functions import detectors as det
 from maskwright.functions.jsontext import string_values
-from maskwright.operators.jsonmask import sanitize_body, sanitize_json, should_sanitize
-from maskwright.operators.masking import restore, sanitize_conversations
+from maskwright.functions.spans import SPAN
+from maskwright.operators.jsonmask import json_texts, sanitize_body, sanitize_json, should_sanitize
+from maskwright.operators.masking import restore, sanitize, sanitize_conversations
 from maskwright.operators.skew import broadcast_if_small, hot_split_join, rank_in_order
 from maskwright.streaming.sanitize import mask_requests
 
@@ -180,3 +182,62 @@ def test_requests_that_are_not_masked(spark):
     assert done[0]["masked"] == done[0]["request_body_preview"] == '{"text":"[EMAIL_1]"}'
     assert {r["request_body_preview"] for r in done[1:]} == {""}
     assert all(r["masked"] == r["body"] and not r["items"] for r in done[1:])
+
+
+ENTITIES = "type string, start int, end int, score double"
+
+
+def test_model_spans_in_texts(spark):
+    df = spark.createDataFrame([(1, "John Smith wrote john@x.com today"), (2, "no names in this one"), (3, None)], "id int, t string")
+    found = [(1, "PERSON", 0, 10, 0.9), (1, "PERSON", 17, 21, 0.99), (1, "LOC", 28, 400, 0.9), (3, "LOC", 0, 2, 0.9)]
+    table = spark.createDataFrame(found, f"id int, {ENTITIES}")
+    rows = sanitize(df, "t", entities=table, key="id").orderBy("id").collect()
+    assert [r["masked"] for r in rows] == ["[PERSON_1] wrote [EMAIL_1] today", "no names in this one", None]
+    one_only = sanitize(df, "t", entities=table, key="id", max_replacements=1).orderBy("id").first()
+    assert one_only["masked"] == "[PERSON_1] wrote john@x.com today"
+
+
+def test_model_spans_in_json(spark):
+    first = '{"messages":[{"content":"My \\"name\\" is John Smith"},{"role":"x","content":["ok","Jo@x.com in New York now"]}]}'
+    df = bodies(spark, first, "plain text by Ann Lee of Rome", '{"n":1}')
+    texts = [(r["id"], r["leaf"], r["text"]) for r in json_texts(df, "id").orderBy("id", "leaf").collect()]
+    assert texts == [
+        (0, 0, 'My "name" is John Smith'), (0, 1, "ok"), (0, 2, "Jo@x.com in New York now"),
+        (1, 0, "plain text by Ann Lee of Rome"),
+    ]
+    found = [
+        (0, 0, "PERSON", 13, 23, 0.9), (0, 2, "LOC", 12, 20, 0.9), (0, 2, "PERSON", 0, 2, 0.99), (0, 7, "LOC", 0, 2, 0.9),
+        (0, 0, "MISC", 0, 2, 0.1), (1, 0, "PERSON", 14, 21, 0.8), (2, 0, "LOC", 0, 2, 0.9), (0, -1, "LOC", 0, 2, 0.9),
+    ]
+    table = spark.createDataFrame(found, f"id long, leaf int, {ENTITIES}")
+    rows = sanitize_body(df, entities=table, key="id").orderBy("id").collect()
+    assert rows[0]["masked"] == first.replace("John Smith", "[PERSON_1]").replace("Jo@x.com", "[EMAIL_1]").replace("New York", "[LOC_1]")
+    assert [r["masked"] for r in rows[1:]] == ["plain text by [PERSON_1] of Rome", '{"n":1}']
+    rows = sanitize_json(df, entities=table, key="id").orderBy("id").collect()
+    assert [r["is_json"] for r in rows] == [True, False, True] and rows[1]["masked"] == "plain text by Ann Lee of Rome"
+
+
+def test_model_spans_in_conversations(spark):
+    rows = [("c", 0, "Ann Lee asks about x"), ("c", 1, "a@x.com is of Ann Lee now"), (None, 0, "mail a@x.com to me")]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, text string")
+    found = spark.createDataFrame([("c", 0, "PERSON", 0, 7, 0.9), ("c", 1, "PERSON", 14, 21, 0.9)], f"conv_id string, turn int, {ENTITIES}")
+    masked, mappings = sanitize_conversations(df, entities=found)
+    got = [r["masked"] for r in masked.orderBy(F.col("conv_id").desc_nulls_last(), "turn").collect()]
+    assert got == ["[PERSON_1] asks about x", "[EMAIL_1] is of [PERSON_1] now", "mail [EMAIL_1] to me"]
+    assert mappings.count() == 3
+
+
+def test_custom_detectors_in_json(spark):
+    def ssn(text):
+        value = F.regexp_extract(text, r"\d{3}-\d{2}-\d{4}", 0)
+        at = (F.locate("-", text) - 4).cast("int")
+        span = F.struct(F.lit("us-ssn"), value, at, (at + 11).cast("int"), F.lit(0.9), F.lit("regex"))
+        return F.filter(F.array(span).cast(f"array<{SPAN}>"), lambda s: s["value"] != "")
+
+    det.register_detector("us-ssn", ssn)
+    try:
+        row = one(spark, '{"content":["is 123-45-6789.","a@x.com",""]}', types=["us-ssn", "email"])
+        assert row["masked"] == '{"content":["is [US_SSN_1].","[EMAIL_1]",""]}'
+        assert one(spark, "is 123-45-6789.", sanitize_body, types=["us-ssn"])["masked"] == "is [US_SSN_1]."
+    finally:
+        det.unregister_detector("us-ssn")

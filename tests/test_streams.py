@@ -19,6 +19,7 @@ def test_split_held():
     assert split_held("a [x", 9) == ("a [x", "")
     assert split_held("a [ABCDEFGHIJ", 9) == ("a [ABCDEFGHIJ", "")
     assert split_held("[EMAIL_1]", 9) == ("[EMAIL_1]", "")
+    assert split_held("a [ABCDEFGHIJ") == ("a ", "[ABCDEFGHIJ")
 
 
 def sessions(seed):
@@ -82,6 +83,28 @@ def test_a_silent_session_gives_up_what_it_holds(spark, tmp_path):
     assert joined(spark.read.parquet(out).collect(), "seq") == {"s": "to a@x.com and [EM late"}
 
 
+def test_mappings_that_arrive_while_the_stream_runs(spark, tmp_path):
+    known, source, out = str(tmp_path / "known"), str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "session_id string, placeholder string, original string"
+    spark.createDataFrame([], schema).write.parquet(known)
+    spark.createDataFrame([], CHUNKS).write.json(source)
+    stream = spark.readStream.schema(CHUNKS).json(source)
+    query = restore_stream(stream, lambda: spark.read.schema(schema).parquet(known), out, str(tmp_path / "cp"))
+    try:
+        spark.createDataFrame([("s", "[EMAIL_1]", "a@x.com")], schema).write.mode("append").parquet(known)
+        rows = [("s", 0, "to [EMA", False), ("s", 1, "IL_1] done", True)]
+        spark.createDataFrame(rows, CHUNKS).coalesce(1).write.mode("append").json(source)
+        for _ in range(60):
+            time.sleep(1)
+            if len(list((tmp_path / "out").glob("batch_id=*/*.parquet"))) and "done" in joined(
+                spark.read.parquet(out).collect(), "seq"
+            ).get("s", ""):
+                break
+    finally:
+        query.stop()
+    assert joined(spark.read.parquet(out).collect(), "seq") == {"s": "to a@x.com done"}
+
+
 def test_requests_as_a_stream(spark, tmp_path):
     body = '{"messages":[{"role":"user","content":"mail a@x.com"}]}'
     rows = [(i, "POST", "api.openai.com:443", "/v1", "application/json", len(body), body) for i in range(3)]
