@@ -47,8 +47,8 @@ def policy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def policy_rules_table(spark: SparkSession, folder: str) -> DataFrame:
-    """One rule per host of every third page, more than fit one expression, read from a rules file."""
-    listed = _clean_hosts(spark, folder).filter("page_id % 3 = 1").groupBy("host").agg(F.min("page_id").alias("ord"))
+    """One rule per host, more than fit one expression, read from a rules file."""
+    listed = _clean_hosts(spark, folder).groupBy("host").agg(F.min("page_id").alias("ord"))
     part = F.substring_index("host", ".", 1)
     rule = F.struct(
         F.concat(F.lit("p"), "ord").alias("id"),
@@ -112,7 +112,7 @@ def key_filter(spark: SparkSession, folder: str) -> DataFrame:
     return keys.groupBy("key").agg(F.count("*").alias("n")).withColumn("masked", should_sanitize(F.col("key")))
 
 
-def _body_parts(df: DataFrame) -> DataFrame:
+def _body_parts(df: DataFrame, *more: str) -> DataFrame:
     part = lambda path: F.get_json_object("masked", path)
     return df.select(
         "request_id",
@@ -120,12 +120,14 @@ def _body_parts(df: DataFrame) -> DataFrame:
         part("$.input[0]").alias("input"),
         part("$.token").alias("token"),
         F.size("items").cast("bigint").alias("n_items"),
+        *more,
     )
 
 
 def json_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    only_json = tables.requests(spark, folder).filter("request_id % 3 <> 0")
-    return _body_parts(sanitize_json(only_json, types=["email"]))
+    """All bodies; those that are not JSON stay as they are."""
+    masked = sanitize_json(tables.requests(spark, folder), types=["email"])
+    return _body_parts(masked, "is_json")
 
 
 def bodies(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,7 +226,7 @@ _DECIDED = "SELECT page_id, host, " + _first_rule(
 _RULES_TABLE = f"""SELECT ord, 'p' || ord AS id, CASE WHEN ord % 2 = 0 THEN host ELSE '' END AS exact,
   CASE WHEN ord % 2 = 1 THEN string_split(host, '.')[1] || '.' ELSE '' END AS part,
   CASE WHEN ord % 4 = 0 THEN 'block' ELSE 'allow' END AS action
-  FROM (SELECT host, min(page_id) AS ord FROM ({_CLEAN}) WHERE page_id % 3 = 1 GROUP BY host)"""
+  FROM (SELECT host, min(page_id) AS ord FROM ({_CLEAN}) GROUP BY host)"""
 
 _MENTIONS = "contains(lower(content_type), '{}')".format
 _NEWLINE = "chr(10)"
@@ -276,7 +278,11 @@ ORACLES = {
     f"THEN replace(left(content, 512), {_NEWLINE}, '') ELSE '' END AS preview FROM ({tables.REQUESTS_SQL})",
     "key_filter": "SELECT key, count(*) AS n, lower(key) IN ('content', 'parts') AS masked FROM (SELECT "
     "unnest([role, upper(role), 'Content', 'token', 'X-API-Key', 'parts']) AS key FROM conversations) GROUP BY key",
-    "sanitize_json": f"{_masked_bodies('request_id % 3 <> 0')} SELECT {_JSON_COLUMNS} FROM masked",
+    "sanitize_json": f"{_masked_bodies()}, cut AS (SELECT {_JSON_COLUMNS} FROM masked) "
+    "SELECT c.request_id, c.request_id % 3 <> 0 AS is_json, "
+    "CASE WHEN c.request_id % 3 = 0 THEN s.text ELSE c.content END AS content, c.input, c.token, "
+    "CASE WHEN c.request_id % 3 = 0 THEN 0 ELSE c.n_items END AS n_items "
+    "FROM cut c JOIN src s ON s.request_id = c.request_id",
     "sanitize_body": f"{_masked_bodies()} SELECT {_JSON_COLUMNS} FROM masked",
     "audit_record": f"{_masked_bodies()} SELECT s.request_id, s.method, "
     "CASE WHEN s.skip_reason = 'blocked' OR (s.request_id // 100) % 5 = 0 THEN 'api.blocked.example' "
