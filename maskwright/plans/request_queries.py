@@ -47,7 +47,7 @@ def policy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def policy_rules_table(spark: SparkSession, folder: str) -> DataFrame:
-    """One rule per host, more than fit one expression, read from a rules file."""
+    """One rule per host, read from a rules file; more than 100 hosts take the form of equi-joins."""
     listed = _clean_hosts(spark, folder).groupBy("host").agg(F.min("page_id").alias("ord"))
     part = F.substring_index("host", ".", 1)
     rule = F.struct(
