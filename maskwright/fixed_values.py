@@ -56,6 +56,7 @@ PREVIEW_LENGTH = 512
 TRACE_SAMPLE_RATE = 0.1
 TOP_DOMAINS = 5
 RECENT_REQUESTS = 20
+FOLLOW_TAIL = 20
 SHARE_STEPS = 20
 
 # Entity model: gate, score, sequence limits, special pieces, label names.

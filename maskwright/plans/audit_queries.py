@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from maskwright.functions.labels import masked_label, unique_types
 from maskwright.operators import stats, traffic
 from maskwright.plans import tables
 from maskwright.session import scratch_dir
-from maskwright.sources.audit import follow_audit, read_audit, write_audit
-from maskwright.streaming.stats import watch_stats
+from maskwright.sources.audit import audit_tail, follow_audit, read_audit, write_audit
+from maskwright.streaming.stats import watch_counts, watch_stats
 
 LOG_ORDER = ["timestamp", "event_id"]
 _ROW = [
@@ -80,8 +82,12 @@ def audit_follow(spark: SparkSession, folder: str) -> DataFrame:
     return _rows(spark.read.parquet(output))
 
 
-def watched_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """The per-minute statistics of the followed log; the last state of every minute."""
+def tail_of_log(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_tail(_rows(read_audit(spark, _written(spark, folder, "audit-tail"))), _ROW)
+
+
+def _watched(spark: SparkSession, folder: str, watch: Callable[[DataFrame, str | None], DataFrame], keys: list[str]) -> DataFrame:
+    """The last state of every key of a watched log. The log is finite, so nothing in it counts as late."""
     source = _written(spark, folder, "audit-watch")
     output, checkpoint = scratch_dir(spark, "watched"), scratch_dir(spark, "checkpoint")
 
@@ -89,7 +95,7 @@ def watched_stats(spark: SparkSession, folder: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     query = (
-        watch_stats(follow_audit(spark, source))
+        watch(follow_audit(spark, source), None)
         .writeStream.outputMode("update")
         .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
@@ -98,11 +104,20 @@ def watched_stats(spark: SparkSession, folder: str) -> DataFrame:
     )
     query.awaitTermination()
     states = spark.read.parquet(output)
-    last = states.groupBy("minute").agg(F.max_by(F.struct("requests", "masked_items", "total_ms"), "batch_id").alias("s"))
+    values = [c for c in states.columns if c not in [*keys, "batch_id"]]
+    last = states.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("s"))
     utc = F.date_format(F.to_utc_timestamp("minute", F.current_timezone()), "yyyy-MM-dd HH:mm")
-    return last.select(
-        utc.alias("minute"), "s.requests", "s.masked_items", F.round("s.total_ms", 6).alias("total_ms")
-    )
+    return last.select(utc.alias("minute"), *[k for k in keys if k != "minute"], *[f"s.{v}" for v in values])
+
+
+def watched_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The per-minute statistics of the followed log."""
+    return _watched(spark, folder, watch_stats, ["minute"]).withColumn("total_ms", F.round("total_ms", 6))
+
+
+def watched_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Hosts and types per minute of the followed log."""
+    return _watched(spark, folder, watch_counts, ["minute", "what", "name"])
 
 
 def _now(audit: DataFrame):
@@ -254,7 +269,9 @@ QUERIES = {
     "audit_read": audit_read,
     "audit_write": audit_write,
     "audit_follow": audit_follow,
+    "audit_tail": tail_of_log,
     "watch_stats": watched_stats,
+    "watch_counts": watched_counts,
     "stats_totals": stats_totals,
     "stats_by_type": stats_by_type,
     "stats_latency": stats_latency,
@@ -296,6 +313,10 @@ ORACLES = {
     "CAST(sum(len(list_filter(types, lambda x: trim(x) <> ''))) AS BIGINT) AS masked_items, "
     "round(coalesce(avg(CASE WHEN total_latency_ms > 0 THEN total_latency_ms END), 0), 6) AS total_ms "
     f"FROM ({tables.AUDIT_SQL}) GROUP BY 1",
+    "audit_tail": f"SELECT * FROM ({_ROWS_SQL}) ORDER BY {', '.join(f'"{c}" DESC' for c in _ROW)} LIMIT 20",
+    "watch_counts": "SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, what, name, count(*) AS n FROM ("
+    f"SELECT ts, 'host' AS what, trim(host) AS name FROM ({tables.AUDIT_SQL}) UNION ALL "
+    f"SELECT ts, 'type' AS what, upper(trim(unnest(types))) AS name FROM ({tables.AUDIT_SQL})) WHERE name <> '' GROUP BY ALL",
     "trace_sample": "SELECT id FROM (SELECT event_id AS id FROM events) "
     "WHERE CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % 1000000 < 100000",
     "stats_totals": f"SELECT count(*) AS requests, (SELECT count(*) FROM ({_TYPES})) AS masked_items FROM events",

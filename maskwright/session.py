@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +31,34 @@ def build_session(master: str = "local[*]", app_name: str = "maskwright", **sett
     return builder.getOrCreate()
 
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end, also after an error, the scratch tables that were made inside.
+
+    They may hold originals. A result that reads them has to be written or collected before the scope ends. Scopes may be
+    nested; each deletes its own. Threads don't share a scope.
+    """
+    paths: list[str] = []
+    outer = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(outer)
+        for path in paths:
+            delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store its path names; one that isn't there is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one the cluster names in spark.checkpoint.dir.
+    """A fresh folder below the one the cluster names in spark.checkpoint.dir; an open `scratch_scope` deletes it.
 
     Only a local session, as in tests, falls back to a folder of this machine.
     """
@@ -39,7 +68,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         base = tempfile.mkdtemp(prefix="maskwright-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/maskwright/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/maskwright/{name}-{uuid.uuid4().hex}"
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
+    return path
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -57,7 +90,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table, computed once into the shared scratch folder and read from there.
 
-    For a result that several later steps need: they then read it, and a lost executor costs no earlier work.
+    For a result that several later steps need: they then read it, and a lost executor costs no earlier work. It
+    stays until the `scratch_scope` around the call ends, or for whoever clears the folder if there is none.
     """
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.fixed_values import FOLLOW_TAIL
 
 AUDIT_SCHEMA = (
     "timestamp string, method string, host string, path string, status_code int, decision string, reason string, "
@@ -76,8 +77,16 @@ def write_audit(df: DataFrame, path: str, stamp: bool = True) -> None:
     _compact(df.select(*[c for c in known if c in df.columns])).write.mode("append").json(path)
 
 
+def audit_tail(audit: DataFrame, order: list[str], n: int = FOLLOW_TAIL) -> DataFrame:
+    """The last rows of a log, oldest first: what is shown before it is followed. `order` names the columns of the log order.
+
+    Each task keeps its own last rows, so only those meet.
+    """
+    return audit.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
+
+
 def follow_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """The audit rows of new files in a folder, as a stream."""
+    """The audit rows of new files in a folder, as a stream; `audit_tail` of `read_audit` gives what came before."""
     return parse_audit(spark.readStream.text(folder))
 
 

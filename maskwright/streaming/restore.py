@@ -18,7 +18,7 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 from maskwright.fixed_values import PLACEHOLDER_PATTERN
 from maskwright.operators.masking import restore
 from maskwright.operators.skew import running_total
-from maskwright.session import ROCKSDB, written
+from maskwright.session import ROCKSDB, scratch_scope, written
 
 _OPEN_TAIL = re.compile(r"\[[A-Z0-9_]*\Z")
 TTL_MS = 600_000
@@ -155,10 +155,11 @@ def restore_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         known = mappings() if callable(mappings) else mappings
-        # The stateful step runs once; everything after it reads what it left.
-        restored = restore_pieces(written(batch, "pieces"), known)
-        # One folder per batch: a batch that is run again replaces what it wrote before.
-        restored.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        with scratch_scope(batch.sparkSession):
+            # The stateful step runs once; everything after it reads what it left.
+            restored = restore_pieces(written(batch, "pieces"), known)
+            # One folder per batch: a batch that is run again replaces what it wrote before.
+            restored.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     writer = pieces.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -14,6 +14,7 @@ from maskwright.operators.jsonmask import sanitize_body
 from maskwright.operators.masking import build_mappings
 from maskwright.operators.policy import evaluate_policy
 from maskwright.operators.traffic import audit_record, body_preview, request_skip_reason
+from maskwright.session import scratch_scope, written
 
 
 def mask_requests(
@@ -61,20 +62,21 @@ def sanitize_stream(
 ) -> StreamingQuery:
     """Mask a stream of requests into the folders `masked`, `mappings` and `audit` below `output`.
 
-    The masked rows of a batch are written first, with their items, and the other two are made from what was
-    written: the detectors run once, and a batch that is run again replaces what it wrote before.
+    The masked rows of a batch are written to the scratch folder first, with their items, and all three are made from
+    what was written: the detectors run once. The scratch table holds originals and is deleted with the batch. A batch
+    that is run again replaces what it wrote before.
     """
     rules = list(rules)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        folder = f"batch_id={batch_id}"
-        mask_requests(batch, rules, types).write.mode("overwrite").parquet(f"{output}/work/{folder}")
-        done = batch.sparkSession.read.parquet(f"{output}/work/{folder}")
-        done.select("request_id", "masked", "skip_reason").write.mode("overwrite").parquet(
-            f"{output}/masked/{folder}"
-        )
-        build_mappings(done, "request_id").write.mode("overwrite").parquet(f"{output}/mappings/{folder}")
-        audit_record(done).write.mode("overwrite").parquet(f"{output}/audit/{folder}")
+        def put(df: DataFrame, name: str) -> None:
+            df.write.mode("overwrite").parquet(f"{output}/{name}/batch_id={batch_id}")
+
+        with scratch_scope(batch.sparkSession):
+            done = written(mask_requests(batch, rules, types), "requests")
+            put(done.select("request_id", "masked", "skip_reason"), "masked")
+            put(build_mappings(done, "request_id"), "mappings")
+            put(audit_record(done), "audit")
 
     writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

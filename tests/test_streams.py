@@ -4,14 +4,17 @@ import random
 import re
 import time
 from collections import defaultdict
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskwright.fixed_values import PLACEHOLDER_PATTERN
-from maskwright.sources.audit import AUDIT_SCHEMA, follow_audit, write_audit
+from maskwright.session import scratch_scope, written
+from maskwright.sources.audit import AUDIT_SCHEMA, audit_tail, follow_audit, read_audit, write_audit
 from maskwright.streaming.restore import restore_chunks, restore_stream, split_held
 from maskwright.streaming.sanitize import sanitize_stream
-from maskwright.streaming.stats import watch_stats
+from maskwright.streaming.stats import watch_counts, watch_stats
 
 
 def test_split_held():
@@ -105,6 +108,53 @@ def test_mappings_that_arrive_while_the_stream_runs(spark, tmp_path):
     assert joined(spark.read.parquet(out).collect(), "seq") == {"s": "to a@x.com done"}
 
 
+def scratch_folder(spark):
+    written(spark.range(1), "probe")
+    return Path(spark.conf.get("spark.checkpoint.dir")) / "maskwright"
+
+
+def test_a_scope_deletes_its_scratch_tables(spark):
+    folder = scratch_folder(spark)
+    with scratch_scope(spark):
+        outer = written(spark.range(3), "outer-scope")
+        with scratch_scope(spark):
+            assert written(spark.range(2), "inner-scope").count() == 2
+        assert not list(folder.glob("inner-scope-*"))
+        assert outer.count() == 3
+    assert not list(folder.glob("outer-scope-*"))
+    with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+        written(spark.range(2), "failed-scope")
+        1 / 0
+    assert not list(folder.glob("failed-scope-*"))
+    assert list(folder.glob("probe-*"))
+
+
+def test_the_end_of_a_log(spark, tmp_path):
+    rows = [(f"2024-01-01T00:{m:02}:10Z", "POST", f"h{m}", "allow", "r") for m in range(30)]
+    names = "timestamp string, method string, host string, decision string, reason string"
+    write_audit(spark.createDataFrame(rows, names).repartition(3), str(tmp_path / "log"), stamp=False)
+    log = read_audit(spark, str(tmp_path / "log"))
+    assert [r["host"] for r in audit_tail(log, ["timestamp"]).collect()] == [f"h{m}" for m in range(10, 30)]
+    assert [r["host"] for r in audit_tail(log, ["timestamp"], 2).collect()] == ["h28", "h29"]
+    assert audit_tail(read_audit(spark, str(tmp_path / "none")), ["timestamp"]).count() == 0
+
+
+def test_hosts_and_types_by_minute(spark):
+    def row(minute, host, *types):
+        items = [(t, "[X_1]") for t in types]
+        return (f"2024-01-01T00:0{minute}:10Z", "POST", host, None, 200, "allow", "r", 0.0, 0.0, 1.0, None, None, None, items)
+
+    rows = [row(1, " a ", "email", " Email", " "), row(1, "a"), row(2, "", "phone"), row(2, None), ("no time", *row(1, "b")[1:])]
+    rows.append((*row(2, "c")[:-1], None))
+    got = watch_counts(spark.createDataFrame(rows, AUDIT_SCHEMA), None).collect()
+    assert {(str(r["minute"])[14:16], r["what"], r["name"], r["n"]) for r in got} == {
+        ("01", "host", "a", 2),
+        ("01", "type", "EMAIL", 2),
+        ("02", "type", "PHONE", 1),
+        ("02", "host", "c", 1),
+    }
+
+
 def test_requests_as_a_stream(spark, tmp_path):
     body = '{"messages":[{"role":"user","content":"mail a@x.com"}]}'
     rows = [(i, "POST", "api.openai.com:443", "/v1", "application/json", len(body), body) for i in range(3)]
@@ -123,6 +173,8 @@ def test_requests_as_a_stream(spark, tmp_path):
     audit = spark.read.parquet(f"{out}/audit")
     assert audit.filter("sanitized").count() == 3
     assert audit.filter(F.to_json(F.struct("*")).contains("@x.com")).count() == 0
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"masked", "mappings", "audit"}
+    assert not list(scratch_folder(spark).glob("requests-*"))
 
 
 def test_followed_log_is_counted_by_minute(spark, tmp_path):
