@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.arrays import empty, fresh, let, quoted, running_sums
 from maskwright.functions.spans import NO_SPANS, rebuild, regex_spans, resolve_first_longest
+from maskwright.operators.skew import hot_split_join
 from maskwright.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -146,6 +147,7 @@ def find_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
             *keep,
             F.xxhash64("__whole").alias("__d1"),
             F.xxhash64(F.lit(1), "__whole").alias("__d2"),
+            F.monotonically_increasing_id().alias("__at"),
             F.expr(_numbered("__base")).alias("base"),
             F.expr(
                 f"transform(filter(__seen, t -> t.context <> ''), t -> struct(t.start, t.end, t.context, "
@@ -166,7 +168,8 @@ def find_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
         .groupBy(*key)
         .agg(F.collect_set(F.struct("k", "t.start", "t.end")).alias("__added"))
     )
-    joined = rows.join(added, key, "left")
+    # A text may have any number of copies: those of a frequent one are dealt out by their place in the written table.
+    joined = hot_split_join(rows, added, key, ["__at"])
     none = F.expr(f"cast(array() as {SPANS})")
     spans = F.array_sort(F.concat("base", F.coalesce("__added", none)))
     return joined.select(*keep, "base", spans.alias("spans"))

@@ -114,6 +114,17 @@ def test_contexts_of_seeds_find_more(spark):
     assert all(spans[i] == "email:14:28" for i in range(20, 25)) and spans[25] == spans[26] == ""
 
 
+def test_copies_of_one_text_beyond_a_share_get_the_same_added_spans(spark):
+    seeds = [f"dial +4930 1234 {i:04} now" for i in range(40)]
+    texts = [*seeds, *["dial 030-1234-9999 now"] * 1500, *[None] * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = personal_data.summarise(personal_data.find_spans(df, ["doc_id"]), ["doc_id"])
+    rows = {r.doc_id: r.spans for r in found.collect()}
+    assert len(rows) == len(texts)
+    assert {rows[i] for i in range(40, 1540)} == {"phone:5:18"}
+    assert {rows[i] for i in range(1540, 1543)} == {""}
+
+
 def test_tokens_and_back(spark, odd_texts):
     draw = random.Random(3)
     texts = odd_texts + ["".join(draw.choice("ab  \n\t\r1'sd²Ⅷ\x1c\x85 　.!😀'll") for _ in range(40)) for _ in range(500)]
