@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.arrays import empty, fresh, let, quoted, running_sums
+from maskwright.functions.arrays import empty, fresh, let, quoted, running_sums, scan
 from maskwright.functions.spans import NO_SPANS, rebuild, regex_spans, resolve_first_longest
 from maskwright.operators.skew import hot_split_join
 from maskwright.session import written
@@ -36,8 +36,9 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"
 _CARD = rf"[0-9][0-9{_GAP}]+"
 _PHONE = r"\+[0-9][ ().0-9\-]+[0-9]"
 _DIGITS = "regexp_replace({}, '[^0-9]', '')"
-# One word of context, if there is one, and a token that holds a digit or a blanked span.
-_TOKEN = rf"(?<!\S)(?:\S++\s+)?[^\s0-9{_MARKS}]*+[0-9{_MARKS}]\S*"
+# A token that holds a digit or a blanked span, with the word before it unless that is such a token, and so a hit, itself.
+_TOKEN = rf"(?<!\S)(?:[^\s0-9{_MARKS}]++\s++)?[^\s0-9{_MARKS}]*+[0-9{_MARKS}]\S*+"
+_WORD = rf"^([^\s0-9{_MARKS}]++)\s++"
 # Shapes that a token found by its context must have.
 _SHAPES = {
     "email": r"^[^\s@]{2,}(?:@|\(at\)|\[at\])[^\s@]{3,}$",
@@ -100,25 +101,43 @@ def _replaced(text: str, spans: str, put: str) -> str:
 
 
 def _instances(blank: str) -> str:
-    """Tokens with digits, and blanked spans, each with the word before it: start, end, context, value."""
+    """Tokens with digits, and blanked spans, each with the token before it: start, end, context, value.
+
+    A token before it that is a blanked span counts by its kind. Tokens that follow each other and have a shape or are spans
+    are a list: each but the first is given a second time, with the word before the list.
+    """
     hit, i = fresh("hit"), fresh("i")
+    word = f"lower(regexp_extract({hit}, {quoted(_WORD)}, 1))"
+    value = f"regexp_replace({hit}, {quoted(_WORD)}, '')"
+    named = f"'[{_MARKS}]|" + quoted("|".join(_SHAPES.values()))[1:]
+
+    def opener(state: str, part: str) -> tuple[str, str]:
+        kept = f"if({part}.word <> '', {part}.word, if({state}.listed, {state}.word, ''))"
+        after = f"named_struct('word', {kept}, 'listed', {part}.value rlike {named})"
+        return after, f"array(if({part}.word <> '', '', {kept}))"
 
     def build(hits: str) -> str:
         gap = fresh("gap")
         gaps = f"slice(split({blank}, {quoted(_TOKEN)}, -1), 1, size({hits}))"
         sizes = f"transform({gaps}, ({gap}, {i}) -> char_length({gap}) + char_length(get({hits}, {i})))"
+        parts = f"transform({hits}, {hit} -> named_struct('word', {word}, 'value', {value}))"
 
-        def at(ends: str) -> str:
-            value = f"regexp_extract({hit}, {quoted(r'(\S+)$')}, 1)"
-            context = f"lower(trim(regexp_extract({hit}, {quoted(r'^(\S+)\s')}, 1)))"
+        def at(parts: str, ends: str, openers: str) -> str:
+            part, context = fresh("part"), fresh("context")
             end = f"get({ends}, {i})"
+            before = f"lower(regexp_replace(coalesce(get({parts}, {i} - 1).value, ''), {quoted(f'([{_MARKS}])\\1++')}, '$1'))"
+            contexts = f"array(if({part}.word <> '', {part}.word, {before}), get({openers}, {i}))"
             return (
-                f"transform({hits}, ({hit}, {i}) -> named_struct('start', {end} - char_length({value}), 'end', {end}, "
-                f"'context', {context}, 'value', {value}))"
+                f"flatten(transform({parts}, ({part}, {i}) -> transform(filter({contexts}, ({context}, at) -> at = 0 or "
+                f"{context} <> ''), {context} -> named_struct('start', {end} - char_length({part}.value), 'end', {end}, "
+                f"'context', {context}, 'value', {part}.value))))"
             )
 
-        made = let(running_sums(sizes), at)
-        return f"if(size({hits}) > 0, {made}, {empty('struct<start:int,end:int,context:string,value:string>')})"
+        def listed(parts: str) -> str:
+            words = scan(parts, "named_struct('word', '', 'listed', false)", "struct<word:string,listed:boolean>", "string", opener)
+            return let(running_sums(sizes), lambda ends: let(words, lambda openers: at(parts, ends, openers)))
+
+        return f"if(size({hits}) > 0, {let(parts, listed)}, {empty('struct<start:int,end:int,context:string,value:string>')})"
 
     return let(f"regexp_extract_all({blank}, {quoted(_TOKEN)}, 0)", build)
 

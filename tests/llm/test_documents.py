@@ -114,6 +114,15 @@ def test_contexts_of_seeds_find_more(spark):
     assert all(spans[i] == "email:14:28" for i in range(20, 25)) and spans[25] == spans[26] == ""
 
 
+def test_neighbouring_identifiers_are_all_seen(spark):
+    texts = [f"phone +4930 1234 {i:04} now" for i in range(20)] + ["phone 030-1111-2222 030-3333-4444 end"]
+    texts += [f"so a{i}@x.org b{i}@y.org end" for i in range(20)] + ["ask c@z.org bob1@localhost end"]
+    texts += [f"see tel2 +4930 4321 {i:04} now" for i in range(20)] + ["see tel2 030-5555-6666 now"]
+    rows = personal_data.summarise(personal_data.find_spans(frame(spark, texts), ["doc_id"]), ["doc_id"]).collect()
+    spans = {r.doc_id: r.spans for r in rows}
+    assert spans[20] == "phone:6:19,phone:20:33" and spans[41] == "email:4:11,email:12:26" and spans[62] == "phone:9:22"
+
+
 def test_copies_of_one_text_beyond_a_share_get_the_same_added_spans(spark):
     seeds = [f"dial +4930 1234 {i:04} now" for i in range(40)]
     texts = [*seeds, *["dial 030-1234-9999 now"] * 1500, *[None] * 3]
