@@ -36,15 +36,25 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"
 _CARD = rf"[0-9][0-9{_GAP}]+"
 _PHONE = r"\+[0-9][ ().0-9\-]+[0-9]"
 _DIGITS = "regexp_replace({}, '[^0-9]', '')"
-# A token that holds a digit or a blanked span, with the word before it unless that is such a token, and so a hit, itself.
-_TOKEN = rf"(?<!\S)(?:[^\s0-9{_MARKS}]++\s++)?[^\s0-9{_MARKS}]*+[0-9{_MARKS}]\S*+"
-_WORD = rf"^([^\s0-9{_MARKS}]++)\s++"
-# Shapes that a token found by its context must have.
+# Punctuation that may stand around a value; a bracket around an area code is part of it.
+_OPEN = r"[\"'<\[{,;:=«»“”„‘’]*+"
+_CLOSE = r".,;!?)\]}>\"'…«»”“’"
+_LEAD = rf"^{_OPEN}(?:\((?![^()\s]{{1,8}}\) ?[0-9A-Za-z]){_OPEN}){{0,3}}"
+_TRAIL = rf"(?<![{_CLOSE}:]):[{_CLOSE}]*+\z|(?<![{_CLOSE}])[{_CLOSE}]++\z"
+# A number in groups with one space between them. None of its groups without a separator has a shape of its own.
+_SPACED = (
+    rf"[(\"'<\[{{]*+\(?[0-9]{{1,6}}\)?(?: (?:[\-/] )?\(?[0-9]{{2,6}}\)?(?:[\-./][0-9]{{2,6}})?){{1,10}}[{_CLOSE}:]*+(?!\S)"
+)
+# A token that holds a digit, a blanked span or an at sign, and the word before it unless that is such a token itself.
+_HAS = rf"[^\s0-9{_MARKS}@]*+[0-9{_MARKS}@]|\S*?[(\[]at[)\]]"
+_TOKEN = rf"(?<!\S)(?:(?!{_HAS})\S++\s++)?(?:{_SPACED}|(?={_HAS})\S++)"
+_WORD = rf"^((?!{_HAS})\S++)\s++"
+# Shapes that a token found by its context must have; one may have several.
 _SHAPES = {
-    "email": r"^[^\s@]{2,}(?:@|\(at\)|\[at\])[^\s@]{3,}$",
-    "ip": r"^[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{0,4}){3,7}$",
-    "card": r"^[0-9]{12,19}$",
-    "phone": r"^[0-9(][0-9().\-/]{5,17}[0-9]$",
+    "email": r"^[^\s@]{2,}(?:@|\(at\)|\[at\])[^\s@]{3,}\z",
+    "ip": r"^[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{0,4}){3,7}\z",
+    "card": r"^[0-9](?:[ \-]?[0-9]){11,18}\z",
+    "phone": r"^[0-9(][0-9().\-/ ]{5,17}[0-9]\z",
 }
 
 
@@ -100,44 +110,87 @@ def _replaced(text: str, spans: str, put: str) -> str:
     return rebuild(text, placed)
 
 
+def _bare(token: str) -> str:
+    """SQL for the value in a token, `skip` characters from its beginning: the first blanked span, or all but punctuation."""
+    first = f"regexp_extract({token}, {quoted(rf'([{_MARKS}])\1*+')}, 0)"
+    before = f"char_length(regexp_extract({token}, {quoted(f'^[^{_MARKS}]*+')}, 0))"
+    span = f"named_struct('value', {first}, 'skip', {before}, 'known', true)"
+    known = quoted("|".join(_SHAPES.values()))
+
+    def bare(led: str) -> str:
+        made = let(
+            f"regexp_replace({led}, {quoted(_TRAIL)}, '')",
+            lambda v: f"named_struct('value', {v}, 'skip', char_length({token}) - char_length({led}), 'known', {v} rlike {known})",
+        )
+        return made
+
+    return f"if({token} rlike '[{_MARKS}]', {span}, {let(f'regexp_replace({token}, {quoted(_LEAD)}, {quoted("")})', bare)})"
+
+
 def _instances(blank: str) -> str:
-    """Tokens with digits, and blanked spans, each with the token before it: start, end, context, value.
+    """Tokens with digits, of the e-mail shape, and blanked spans, each with the token before it: start, end, context, value.
 
-    A token before it that is a blanked span counts by its kind. Tokens that follow each other and have a shape or are spans
-    are a list: each but the first is given a second time, with the word before the list.
+    The value is without the punctuation around it. A token before it that is a blanked span counts by its kind. Tokens that
+    follow each other and have a shape or are spans are a list: each but the first is given a second time, with the word
+    before the list. A number in groups is one value if it has a shape; its groups are values of their own if they have one.
     """
     hit, i = fresh("hit"), fresh("i")
     word = f"lower(regexp_extract({hit}, {quoted(_WORD)}, 1))"
-    value = f"regexp_replace({hit}, {quoted(_WORD)}, '')"
-    named = f"'[{_MARKS}]|" + quoted("|".join(_SHAPES.values()))[1:]
+    token = f"regexp_replace({hit}, {quoted(_WORD)}, '')"
+    squeezed = f"lower(regexp_replace({{}}, {quoted(rf'([{_MARKS}])\1++')}, '$1'))"
 
     def opener(state: str, part: str) -> tuple[str, str]:
         kept = f"if({part}.word <> '', {part}.word, if({state}.listed, {state}.word, ''))"
-        after = f"named_struct('word', {kept}, 'listed', {part}.value rlike {named})"
+        after = f"named_struct('word', {kept}, 'listed', {part}.bare.known)"
         return after, f"array(if({part}.word <> '', '', {kept}))"
 
+    def groups(part: str, start: str, context: str) -> str:
+        """The groups of a number with spaces, at most 21; those that stand for themselves if the whole has a shape."""
+        group, j, n, x, y = (fresh(v) for v in "gjnxy")
+
+        def placed(all_: str) -> str:
+            at = f"{start} + aggregate(slice({all_}, 1, {j}), 0, ({n}, {y}) -> {n} + char_length({y}) + 1)"
+            before = f"if({j} = 0, {context}, lower(get({all_}, {j} - 1)))"
+            made = let(
+                _bare(group),
+                lambda b: f"named_struct('start', {at} + {b}.skip, 'end', {at} + {b}.skip + char_length({b}.value), "
+                f"'context', {before}, 'value', {b}.value, 'known', {b}.known)",
+            )
+            kept = f"{x}.known or (not {part}.bare.known and {x}.value rlike '[0-9]')"
+            return f"filter(transform({all_}, ({group}, {j}) -> {made}), {x} -> {kept})"
+
+        return let(f"split({part}.token, ' ')", placed)
+
     def build(hits: str) -> str:
         gap = fresh("gap")
         gaps = f"slice(split({blank}, {quoted(_TOKEN)}, -1), 1, size({hits}))"
         sizes = f"transform({gaps}, ({gap}, {i}) -> char_length({gap}) + char_length(get({hits}, {i})))"
-        parts = f"transform({hits}, {hit} -> named_struct('word', {word}, 'value', {value}))"
+        made = let(token, lambda t: f"named_struct('word', {word}, 'token', {t}, 'bare', {_bare(t)})")
+        parts = f"transform({hits}, {hit} -> {made})"
 
         def at(parts: str, ends: str, openers: str) -> str:
             part, context = fresh("part"), fresh("context")
-            end = f"get({ends}, {i})"
-            before = f"lower(regexp_replace(coalesce(get({parts}, {i} - 1).value, ''), {quoted(f'([{_MARKS}])\\1++')}, '$1'))"
-            contexts = f"array(if({part}.word <> '', {part}.word, {before}), get({openers}, {i}))"
-            return (
-                f"flatten(transform({parts}, ({part}, {i}) -> transform(filter({contexts}, ({context}, at) -> at = 0 or "
-                f"{context} <> ''), {context} -> named_struct('start', {end} - char_length({part}.value), 'end', {end}, "
-                f"'context', {context}, 'value', {part}.value))))"
+            start = f"(get({ends}, {i}) - char_length({part}.token))"
+            before = squeezed.format(f"substring_index(coalesce(get({parts}, {i} - 1).token, ''), ' ', -1)")
+            first = f"if({part}.word <> '', {part}.word, {before})"
+            whole = (
+                f"named_struct('start', {start} + {part}.bare.skip, 'end', {start} + {part}.bare.skip + "
+                f"char_length({part}.bare.value), 'context', {context}, 'value', {part}.bare.value, 'known', {part}.bare.known)"
             )
+            n = fresh("n")
+            contexts = f"filter(array({first}, get({openers}, {i})), ({context}, {n}) -> {n} = 0 or {context} <> '')"
+            one = f"transform({contexts}, {context} -> {whole})"
+            none = empty("struct<start:int,end:int,context:string,value:string,known:boolean>")
+            kept = f"if({part}.bare.known or ({part}.token rlike '[0-9]' and not contains({part}.token, ' ')), {one}, {none})"
+            split = f"if(contains({part}.token, ' '), {groups(part, start, first)}, {none})"
+            return f"flatten(transform({parts}, ({part}, {i}) -> concat({kept}, {split})))"
 
         def listed(parts: str) -> str:
             words = scan(parts, "named_struct('word', '', 'listed', false)", "struct<word:string,listed:boolean>", "string", opener)
             return let(running_sums(sizes), lambda ends: let(words, lambda openers: at(parts, ends, openers)))
 
-        return f"if(size({hits}) > 0, {let(parts, listed)}, {empty('struct<start:int,end:int,context:string,value:string>')})"
+        none = empty("struct<start:int,end:int,context:string,value:string,known:boolean>")
+        return f"if(size({hits}) > 0, {let(parts, listed)}, {none})"
 
     return let(f"regexp_extract_all({blank}, {quoted(_TOKEN)}, 0)", build)
 
@@ -169,7 +222,7 @@ def find_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
             F.monotonically_increasing_id().alias("__at"),
             F.expr(_numbered("__base")).alias("base"),
             F.expr(
-                f"transform(filter(__seen, t -> t.context <> ''), t -> struct(t.start, t.end, t.context, "
+                f"transform(__seen, t -> struct(t.start, t.end, t.context, "
                 f"if(t.value rlike '[{_MARKS}]', substr(__whole, t.start + 1, t.end - t.start), t.value) as value, "
                 f"instr({quoted(''.join(chr(ord(_MARK) + i) for i in range(4)))}, regexp_extract(t.value, "
                 f"'[{_MARKS}]', 0)) - if(t.value rlike '[{_MARKS}]', 1, 2) as seed))"
@@ -196,14 +249,15 @@ def find_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
 
 def _bootstrap(rows: DataFrame) -> DataFrame:
     """Values believed to be of a kind, `value` and `k`: rounds of scoring over the graph of patterns and instances."""
-    seen = rows.select(F.explode("seen").alias("t")).select("t.context", "t.value", "t.seed")
-    shape = "case " + " ".join(f"when value rlike {quoted(p)} then {i}" for i, p in enumerate(_SHAPES.values())) + " end"
-    edges = seen.withColumn("k", F.expr(f"case when seed >= 0 then cast(seed as int) else {shape} end"))
+    seen = rows.select(F.explode("seen").alias("t")).filter("t.context <> ''").select("t.context", "t.value", "t.seed")
+    fits = ", ".join(f"if(value rlike {quoted(p)}, {i}, null)" for i, p in enumerate(_SHAPES.values()))
+    kinds = f"if(seed >= 0, array(cast(seed as int)), array_compact(array({fits})))"
+    edges = seen.select("context", "value", "seed", F.expr(f"explode_outer({kinds})").alias("k"))
     # Tokens of no shape only speak against a pattern; how many distinct ones it has is all that counts.
     graph = written(
         edges.groupBy("context", "value", "k").agg(F.max((F.col("seed") >= 0).cast("int")).alias("seed")), "pattern-graph"
     )
-    sizes = graph.groupBy("context").agg(F.count("*").alias("n"))
+    sizes = graph.select("context", "value").distinct().groupBy("context").agg(F.count("*").alias("n"))
     believed = graph.filter("seed = 1").select("value", "k", F.lit(1.0).alias("certainty")).distinct()
     for _ in range(ROUNDS):
         support = (

@@ -123,6 +123,23 @@ def test_neighbouring_identifiers_are_all_seen(spark):
     assert spans[20] == "phone:6:19,phone:20:33" and spans[41] == "email:4:11,email:12:26" and spans[62] == "phone:9:22"
 
 
+def test_forms_of_unseen_identifiers(spark):
+    texts = [f"phone +4930 1234 {i:04} now" for i in range(20)] + [f"write q{i}@m.org now" for i in range(20)]
+    texts += [f"card {n} x" for n in range(5500000000000000, 5500000000000200) if brute.luhn(str(n))]
+    forms = [
+        ("phone 030-1234-9999, or", "phone:6:19"), ("phone 030-1234-9998.", "phone:6:19"), ("phone 030-1234-9999", "phone:6:19"),
+        ("phone (030)1234-9997).", "phone:6:20"), ("phone (030-1234-9996)", "phone:7:20"), ("phone 030 1234 9995.", "phone:6:19"),
+        ("phone (030) 1234-9994, x", "phone:6:21"), ("phone 123456789012.", "phone:6:18"), ("030-1234-9998", "phone:0:13"),
+        ("write john(at)example.com.", "email:6:25"), ("write bob@localhost, x", "email:6:19"), ("write (al[at]host)", "email:7:17"),
+        ("card 4111-1111-1111-1112.", "card:5:24"), ("card 4111 1111 1111 1113, x", "card:5:24"), ("card 4111111111111114", "card:5:21"),
+        ("é😀 phone 030 1234 9993; x", "phone:9:22"), ("at 030 1234 9993, 12 34", "phone:3:16"), ("phone @home", ""),
+    ]
+    df = frame(spark, texts + [t for t, _ in forms])
+    rows = personal_data.summarise(personal_data.find_spans(df, ["doc_id"]), ["doc_id"]).collect()
+    spans = {r.doc_id: r.spans for r in rows}
+    assert [(t, spans[len(texts) + i]) for i, (t, _) in enumerate(forms)] == forms
+
+
 def test_copies_of_one_text_beyond_a_share_get_the_same_added_spans(spark):
     seeds = [f"dial +4930 1234 {i:04} now" for i in range(40)]
     texts = [*seeds, *["dial 030-1234-9999 now"] * 1500, *[None] * 3]
