@@ -3,7 +3,8 @@
 The fixed forms (e-mail, IP, card and phone) give the base spans, which are also the seeds. The words before a seed are
 a lexical pattern. Patterns and the tokens they stand before make a graph over the whole corpus: a pattern is as sure of
 a kind as the share of its instances that are believed to be of the kind, an instance of fitting shape as sure as its
-patterns together. After some rounds the instances that reach the wanted certainty are added as spans of their kind.
+patterns together. This is repeated until nothing changes; the instances that reach the wanted certainty are added as spans
+of their kind.
 
 A text is searched in a copy of the same length in which separators that stand between two digits, or dots between two
 labels, are one reserved character each. So every form is a run of one character class, and the cost stays in proportion
@@ -21,7 +22,7 @@ from maskwright.operators.skew import hot_split_join
 from maskwright.session import written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+MAX_ROUNDS = 100
 MIN_SEEDS = 3
 MIN_CERTAINTY = 0.6
 SPANS = "array<struct<k:int,start:int,end:int>>"
@@ -258,13 +259,15 @@ def _bootstrap(rows: DataFrame) -> DataFrame:
         edges.groupBy("context", "value", "k").agg(F.max((F.col("seed") >= 0).cast("int")).alias("seed")), "pattern-graph"
     )
     sizes = graph.select("context", "value").distinct().groupBy("context").agg(F.count("*").alias("n"))
-    believed = graph.filter("seed = 1").select("value", "k", F.lit(1.0).alias("certainty")).distinct()
-    for _ in range(ROUNDS):
+    # Certainties are whole thousandths, rounded down, and only grow from round to round: the rounds come to an end.
+    seeds = graph.filter("seed = 1").select("value", "k", F.lit(1000).cast("long").alias("certainty")).distinct()
+    believed, before = seeds, None
+    for _ in range(MAX_ROUNDS):
         support = (
             graph.filter("k is not null")
             .join(believed, ["value", "k"])
             .groupBy("context", "k")
-            .agg(F.sum("certainty").alias("sure"), F.count("*").alias("m"))
+            .agg((F.sum("certainty") / 1000).alias("sure"), F.count("*").alias("m"))
             .filter(F.col("m") >= MIN_SEEDS)
         )
         patterns = (
@@ -273,15 +276,22 @@ def _bootstrap(rows: DataFrame) -> DataFrame:
             .filter(F.col("p") >= MIN_CERTAINTY / 2)
             .select("context", "k", "p")
         )
+        together = 1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))
         scored = (
             graph.filter("seed = 0 and k is not null")
             .join(patterns, ["context", "k"])
             .groupBy("value", "k")
-            .agg((1 - F.exp(F.sum(F.log(1 - F.least("p", F.lit(0.999)))))).alias("certainty"))
-            .filter(F.col("certainty") >= MIN_CERTAINTY)
+            .agg(F.floor(F.round(together, 9) * 1000).alias("certainty"))
+            .filter(F.col("certainty") >= int(MIN_CERTAINTY * 1000))
         )
-        seeds = graph.filter("seed = 1").select("value", "k", F.lit(1.0).alias("certainty")).distinct()
         believed = written(seeds.unionByName(scored).groupBy("value", "k").agg(F.max("certainty").alias("certainty")), "believed")
+        hashed = F.xxhash64("value", "k", "certainty").cast("decimal(38,0)")
+        state = tuple(believed.agg(F.count("*"), F.sum(hashed)).first())
+        if state == before:
+            break
+        before = state
+    else:
+        raise RuntimeError(f"the certainties have not settled in {MAX_ROUNDS} rounds")
     known = graph.filter("seed = 1").select("value", "k").distinct()
     return believed.select("value", "k").join(known, ["value", "k"], "left_anti")
 

@@ -140,6 +140,23 @@ def test_forms_of_unseen_identifiers(spark):
     assert [(t, spans[len(texts) + i]) for i, (t, _) in enumerate(forms)] == forms
 
 
+def test_contexts_that_support_each_other_in_a_chain(spark):
+    texts = [f"alpha +4930 1234 {i:04} now" for i in range(324)]
+    unseen = [[f"030-{k}000-{i:04}" for i in range(n)] for k, n in enumerate((108, 36, 12, 4), 1)]
+    for word, values in zip(("alpha", "beta", "gamma", "delta"), unseen):
+        texts += [f"{word} {v} now" for v in values]
+    for word, values in zip(("beta", "gamma", "delta"), unseen):
+        texts += [f"{word} {v} now" for v in values]
+    rows = personal_data.find_spans(frame(spark, texts), ["doc_id"]).collect()
+    assert all(len(r.spans) == 1 for r in rows)
+
+
+def test_certainties_that_do_not_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(personal_data, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        personal_data.find_spans(frame(spark, [f"dial +4930 1234 {i:04} now" for i in range(5)]), ["doc_id"])
+
+
 def test_copies_of_one_text_beyond_a_share_get_the_same_added_spans(spark):
     seeds = [f"dial +4930 1234 {i:04} now" for i in range(40)]
     texts = [*seeds, *["dial 030-1234-9999 now"] * 1500, *[None] * 3]
