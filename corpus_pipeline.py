@@ -27,9 +27,16 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id. Documents without an id stay."""
-    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"))
-    return docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates the row with the smallest id, one without an id only if none has one.
+
+    Rows are linked under a number of their own: rows without an id and rows that repeat one are judged by their texts too.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    parts = rows.select("__row", "doc_id").join(found.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("least")
+    kept = parts.groupBy("component_id").agg(least).select("least.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

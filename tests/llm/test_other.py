@@ -122,6 +122,14 @@ def test_native_operators_run_no_python(spark):
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    one, other = " ".join(f"one{i}" for i in range(40)), " ".join(f"other{i}" for i in range(40))
+    rows = [(None, one), (7, one), (7, one), (3, one + " more"), (None, other), (None, other), (5, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.remove_near_duplicates(spark, docs, SMALL).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(3, one + " more"), (None, other), (5, None), (None, "")]))
+
+
 def test_pipeline(spark):
     docs = table(spark, SMALL, "documents")
     columns = docs.columns
