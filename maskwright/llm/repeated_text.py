@@ -6,9 +6,12 @@ windows of one trigger, with the text they cover; phrases overlap by what the wi
 it. The dictionary holds each distinct phrase once, filed under the text that follows its trigger.
 
 A phrase that occurs twice is repeated as a whole. A phrase whose following text occurs nowhere else has no repeated
-window. Only the rest is looked into: the distinct phrases under one text are ordered together, suffix by suffix, down to
-the asked length, and windows that fall together are repeated. Text is compared by 64-bit fingerprints of rolling hashes;
-two windows are only ever taken for equal if the fingerprints of the text after the trigger agree as well.
+window. Only the rest is looked into: the windows of the distinct phrases under one text are counted by their fingerprints,
+and those that occur twice are repeated. Text is compared by 64-bit fingerprints of rolling hashes; two windows are only ever
+taken for equal if the fingerprints of the text after the trigger agree as well.
+
+Counting equal windows takes the place of the suffix array of the dictionary and that of the parse, of which there is none:
+equal windows always meet under one text, and only equality to one length is asked, not the order of suffixes.
 """
 
 from __future__ import annotations
