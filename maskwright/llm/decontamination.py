@@ -1,9 +1,10 @@
 """Benchmark decontamination with a positional inverted index, kept document by document.
 
 The postings of a document are the positions of every term that the benchmark uses, term after term. They are written
-once. A benchmark window is looked up from its rarest terms over the whole corpus: the posting list of the rarest one,
-moved back by its place in the window, is intersected with the moved lists of the next rarest, and so on. What is left
-are the places where the whole window stands. Terms that occur near the rarest one give proximity matches.
+once. For the look-up those of a batch of documents are written back into word order, an array of terms by place. A benchmark
+window is looked up from its rarest term over the whole corpus: at each place of that one, the next rarest are tested by their
+offset, and so on; this gives the same places as lists moved and intersected. What is left are the places where the whole
+window stands. Terms that occur near the rarest one give proximity matches.
 
 The benchmark is worked through in blocks of bounded size; each block is looked up in all documents.
 """
@@ -116,7 +117,7 @@ def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
 
 
 class Lookup:
-    """Windows filed under their rarest term, with the order in which their terms are intersected."""
+    """Windows filed under their rarest term, with the order in which their terms are tested."""
 
     def __init__(self, windows: Windows, frequency: np.ndarray):
         n, size = windows.terms.shape
@@ -146,7 +147,7 @@ class Lookup:
             at = until
 
     def phrases(self, spoken: np.ndarray, places: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and windows that stand there word for word: the moved posting lists intersected one after another."""
+        """Starts and windows that stand there word for word: terms are tested by offset, one after another."""
         starts = places - self.offsets[which, 0]
         for k in range(1, self.wanted.shape[1]):
             wanted = self.wanted[which, k]
