@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from maskwright.functions.numbers import softmax
 from maskwright.operators import entities
 from maskwright.operators.masking import findings, sanitize
-from maskwright.operators.wordpiece import encode_corpus, wordpiece
+from maskwright.operators.wordpiece import encode_corpus, special_ids, wordpiece
 from maskwright.plans import oracle, tables
-from maskwright.session import scratch_dir
-from maskwright.sources.model_files import load_labels, load_vocab
+from maskwright.session import scratch_dir, written
+from maskwright.sources.model_files import load_labels
 
 NAMES = "[A-Z][a-z]+ [A-Z][a-z]+|[A-Z][a-z]{7,}"
 
@@ -103,17 +103,11 @@ def model_labels(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.groupBy("label").agg(F.count("*").alias("n"))
 
 
-def _vocab_file(spark: SparkSession, folder: str) -> DataFrame:
-    path = scratch_dir(spark, "vocab")
-    pieces = F.map_from_entries(F.collect_list(F.struct("piece", "id"))).alias("vocab")
-    # A tokenizer file is one document; it has one entry per piece.
-    one = tables.vocabulary(spark, folder).agg(F.to_json(F.struct(F.struct(pieces).alias("model"))).alias("value"))
-    one.coalesce(1).write.text(path)
-    return load_vocab(spark, path)[0]
-
-
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return _vocab_file(spark, folder).select("piece", F.col("id").cast("bigint").alias("id"))
+    """The pieces as a table, one a row; the special ones must be there."""
+    vocab = written(tables.vocabulary(spark, folder), "vocab")
+    special_ids(vocab)
+    return vocab.select("piece", F.col("id").cast("bigint").alias("id"))
 
 
 def word_pieces(spark: SparkSession, folder: str) -> DataFrame:

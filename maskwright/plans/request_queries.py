@@ -10,8 +10,7 @@ from maskwright.operators import traffic
 from maskwright.operators.jsonmask import sanitize_body, sanitize_json, should_sanitize
 from maskwright.operators.policy import evaluate_policy, intercept_scope
 from maskwright.plans import oracle, tables
-from maskwright.session import scratch_dir
-from maskwright.sources.rules import load_rules
+from maskwright.session import scratch_dir, written
 from maskwright.streaming.sanitize import mask_requests, sanitize_stream
 
 RULES = [
@@ -47,22 +46,18 @@ def policy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def policy_rules_table(spark: SparkSession, folder: str) -> DataFrame:
-    """One rule per host, read from a rules file; more than 100 hosts take the form of equi-joins."""
+    """One rule per host, as a table; more than 100 hosts take the form of equi-joins."""
     listed = _clean_hosts(spark, folder).groupBy("host").agg(F.min("page_id").alias("ord"))
     part = F.substring_index("host", ".", 1)
-    rule = F.struct(
-        F.concat(F.lit("p"), "ord").alias("id"),
-        F.struct(
-            F.when(F.col("ord") % 2 == 0, F.col("host")).otherwise("").alias("host"),
-            F.when(F.col("ord") % 2 == 1, F.concat(part, F.lit("."))).otherwise("").alias("host_contains"),
-        ).alias("match"),
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rules = listed.select(
+        "ord",
+        text(F.concat(F.lit("p"), "ord")).alias("id"),
+        text(F.when(F.col("ord") % 2 == 0, F.col("host"))).alias("host"),
+        text(F.when(F.col("ord") % 2 == 1, F.concat(part, F.lit(".")))).alias("host_contains"),
         F.when(F.col("ord") % 4 == 0, F.lit("block")).otherwise("allow").alias("action"),
     )
-    path = scratch_dir(spark, "rules")
-    # A rules file is one document; there is one rule per host.
-    one = listed.agg(F.array_sort(F.collect_list(F.struct("ord", rule.alias("rule")))).alias("rows"))
-    one.select(F.col("rows")["rule"].alias("rules")).write.json(path)
-    decided = evaluate_policy(_clean_hosts(spark, folder), load_rules(spark, path))
+    decided = evaluate_policy(_clean_hosts(spark, folder), written(rules, "rules"))
     return decided.select("page_id", "decision", "rule_id")
 
 

@@ -38,3 +38,20 @@ def test_masking_needs_no_shuffle_on_an_input_in_many_pieces(spark, tmp_path):
     path = str(tmp_path / "docs")
     spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(8).write.parquet(path)
     assert "Exchange" not in plan_of(sanitize(spark.read.parquet(path)))
+
+
+@pytest.mark.parametrize("name, source", [("policy_rules_table", "pages"), ("vocabulary", "benchmark")])
+def test_derived_rules_and_pieces_are_tables(spark, monkeypatch, name, source):
+    import duckdb
+    from pyspark.sql import functions
+
+    import __spark_entry__ as entry
+
+    monkeypatch.delattr(functions, "collect_list")
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view {source} as select * from '{folder}/{source}.parquet'")
+    theirs = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in theirs.description]
+    ours = entry.queries()[name](spark, folder).select(*names).collect()
+    assert sorted(map(repr, map(tuple, ours))) == sorted(map(repr, theirs.fetchall()))
