@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import byte_bpe, decontamination, near_duplicates, personal_data, quality, repeated_text, token_counts, toxicity, url_rules, vector_links
+from maskwright.llm import (
+    byte_bpe,
+    decontamination,
+    near_duplicates,
+    personal_data,
+    quality,
+    ranked_search,
+    repeated_text,
+    token_counts,
+    toxicity,
+    url_rules,
+    vector_links,
+)
 from maskwright.llm.common import hashed_remainder, table
 from maskwright.session import written
 
@@ -100,6 +112,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (hashed_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_hits")
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ranked_search.rank_documents(docs, table(spark, folder, "benchmark"), k=10)
+
+
 _HOST = "coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = "coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '')"
 _RULE = """CASE WHEN ends_with('.' || host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -153,6 +170,25 @@ SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(root, v.vec_id) AS componen
 FROM embeddings v LEFT JOIN counts ON counts.a = v.vec_id LEFT JOIN roots ON roots.start = v.vec_id
 """
 
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+OP12_SQL = f"""
+WITH said AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents),
+tfs AS (SELECT doc_id, t, count(*) AS tf FROM said GROUP BY 1, 2),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY 1),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY 1, 2),
+weights AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tfs, whole WHERE t IN (SELECT t FROM asked) GROUP BY t, docs),
+parts AS (
+  SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS part
+  FROM tfs JOIN weights USING (t) JOIN sizes USING (doc_id), whole),
+scores AS (SELECT item_id, doc_id, sum(times * part)::BIGINT AS score FROM asked JOIN parts USING (t) GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_ranking": op2_quality_ranking,
@@ -164,5 +200,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_vector_links": op9_vector_links,
     "op10_toxicity": op10_toxicity,
+    "op12_ranked_search": op12_ranked_search,
 }
-ORACLES = {"op1_near_duplicates": OP1_SQL, "op7_url_rules": OP7_SQL, "op9_vector_links": OP9_SQL}
+ORACLES = {"op1_near_duplicates": OP1_SQL, "op7_url_rules": OP7_SQL, "op9_vector_links": OP9_SQL, "op12_ranked_search": OP12_SQL}
