@@ -18,9 +18,10 @@ from maskwright.llm import (
     toxicity,
     url_rules,
     vector_links,
+    warc,
 )
 from maskwright.llm.common import hashed_remainder, table
-from maskwright.session import written
+from maskwright.session import scratch_dir, written
 
 TOKEN_LIMIT = 4096
 REPEATED_BYTES = 400
@@ -117,6 +118,18 @@ def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.rank_documents(docs, table(spark, folder, "benchmark"), k=10)
 
 
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = scratch_dir(spark, "warc-archive")
+    warc.write_archive(table(spark, folder, "pages"), archive)
+    return warc.read_archive(spark, archive).select(
+        warc.record_key("id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("kind").alias("record_type"),
+        warc.record_key("refers").alias("refers_to"),
+    )
+
+
 _HOST = "coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _PATH = "coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '')"
 _RULE = """CASE WHEN ends_with('.' || host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -189,6 +202,15 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 FROM scores WHERE score > 0 QUALIFY rank <= 10
 """
 
+OP13_SQL = """
+WITH said AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM said),
+marked AS (SELECT *, payload_bytes >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM firsts)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to
+FROM marked
+"""
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_ranking": op2_quality_ranking,
@@ -201,5 +223,6 @@ QUERIES = {
     "op9_vector_links": op9_vector_links,
     "op10_toxicity": op10_toxicity,
     "op12_ranked_search": op12_ranked_search,
+    "op13_warc": op13_warc,
 }
-ORACLES = {"op1_near_duplicates": OP1_SQL, "op7_url_rules": OP7_SQL, "op9_vector_links": OP9_SQL, "op12_ranked_search": OP12_SQL}
+ORACLES = {"op1_near_duplicates": OP1_SQL, "op7_url_rules": OP7_SQL, "op9_vector_links": OP9_SQL, "op12_ranked_search": OP12_SQL, "op13_warc": OP13_SQL}
