@@ -14,6 +14,7 @@ from maskwright.llm import (
     quality,
     ranked_search,
     repeated_text,
+    spelling_variants,
     token_counts,
     toxicity,
     url_rules,
@@ -113,6 +114,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (hashed_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_hits")
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.group_variants(spelling_variants.count_words(table(spark, folder, "documents")))
+
+
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return ranked_search.rank_documents(docs, table(spark, folder, "benchmark"), k=10)
@@ -183,6 +188,35 @@ SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(root, v.vec_id) AS componen
 FROM embeddings v LEFT JOIN counts ON counts.a = v.vec_id LEFT JOIN roots ON roots.start = v.vec_id
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE said AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{C0}-\x{FF}]+')) AS r FROM documents),
+counted AS (SELECT doc_id, r, count(*) AS n FROM said WHERE length(r) >= 6 GROUP BY 1, 2),
+bits AS (
+  SELECT doc_id, r, n, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(1, 2 * strlen(coalesce(doc_id::VARCHAR, '') || ':' || r), 2),
+      lambda i: ('0x' || substr(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)), i, 2))::UBIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))) AS c FROM counted),
+hashed AS (SELECT r, n, xor(c, 4294967295::UBIGINT) AS h FROM bits),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+cut AS (SELECT word, unnest(range(0, length(word))) AS i FROM words),
+keys AS (SELECT word, word AS k FROM words UNION SELECT word, substr(word, 1, i::INT) || substr(word, i::INT + 2) FROM cut),
+pairs AS (SELECT DISTINCT x.word, y.word AS other FROM keys x JOIN keys y USING (k) WHERE x.word <> y.word),
+near AS (SELECT word, other FROM pairs WHERE levenshtein(word, other) = 1),
+best AS (
+  SELECT near.word, count(*) AS n_near, first(o.word ORDER BY o.n DESC, o.word) AS other, max(o.n) AS top
+  FROM near JOIN words o ON o.word = near.other GROUP BY 1),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN other END AS form,
+    CASE WHEN top >= 5 * w.n THEN top END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS here, 0 AS d FROM forms UNION ALL SELECT c.word, f.form, d + 1 FROM chain c JOIN forms f ON f.word = c.here WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(here, d) AS root FROM chain GROUP BY 1)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
 _TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 OP12_SQL = f"""
@@ -222,7 +256,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_vector_links": op9_vector_links,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_ranked_search": op12_ranked_search,
     "op13_warc": op13_warc,
 }
-ORACLES = {"op1_near_duplicates": OP1_SQL, "op7_url_rules": OP7_SQL, "op9_vector_links": OP9_SQL, "op12_ranked_search": OP12_SQL, "op13_warc": OP13_SQL}
+ORACLES = {"op1_near_duplicates": OP1_SQL, "op7_url_rules": OP7_SQL, "op9_vector_links": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_warc": OP13_SQL}
