@@ -203,9 +203,11 @@ hashed AS (SELECT r, n, xor(c, 4294967295::UBIGINT) AS h FROM bits),
 made AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, n FROM hashed),
 words AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
 cut AS (SELECT word, unnest(range(0, length(word))) AS i FROM words),
-keys AS (SELECT word, word AS k FROM words UNION SELECT word, substr(word, 1, i::INT) || substr(word, i::INT + 2) FROM cut),
-pairs AS (SELECT DISTINCT x.word, y.word AS other FROM keys x JOIN keys y USING (k) WHERE x.word <> y.word),
-near AS (SELECT word, other FROM pairs WHERE levenshtein(word, other) = 1),
+keys AS (SELECT word, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS k FROM cut),
+shorter AS (SELECT DISTINCT keys.word, o.word AS other FROM keys JOIN words o ON o.word = k),
+near AS (
+  SELECT word, other FROM shorter UNION ALL SELECT other, word FROM shorter
+  UNION ALL SELECT x.word, y.word FROM keys x JOIN keys y ON x.k = y.k AND x.i = y.i AND x.word <> y.word),
 best AS (
   SELECT near.word, count(*) AS n_near, first(o.word ORDER BY o.n DESC, o.word) AS other, max(o.n) AS top
   FROM near JOIN words o ON o.word = near.other GROUP BY 1),
