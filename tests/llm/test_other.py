@@ -20,7 +20,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_every_query_is_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert [int(n[2:].split("_")[0]) for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
