@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.labels import masked_label, unique_types
 from maskwright.operators import stats, traffic
 from maskwright.plans import tables
 from maskwright.session import scratch_dir
-from maskwright.sources.audit import audit_tail, follow_audit, read_audit, write_audit
+from maskwright.sources.appended import store_of
+from maskwright.sources.audit import audit_tail, follow_appended, follow_audit, read_audit, write_audit
 from maskwright.streaming.stats import watch_counts, watch_stats
 
 LOG_ORDER = ["timestamp", "event_id"]
@@ -82,6 +85,53 @@ def audit_follow(spark: SparkSession, folder: str) -> DataFrame:
     return _rows(spark.read.parquet(output))
 
 
+FILES, ROUNDS = 8, 3
+
+
+def _grown(lines: DataFrame, log: str, upto: int) -> None:
+    """The log's files as they are once the lines of the rounds before `upto` have come; half a line stands behind them.
+
+    A file is made anew under another name and moved into place, so a task that is repeated does no harm.
+    """
+
+    def write(rows: Iterator[Row]) -> None:
+        store, folder = store_of(log)
+        store.create_dir(folder)
+        for number, own in groupby(rows, key=lambda r: r["file"]):
+            made, left = f"{folder}/_{number}-{uuid.uuid4().hex}", b""
+            with store.open_output_stream(made) as out:
+                for row in own:
+                    line = row["value"].encode() + b"\n"
+                    if row["round"] < upto:
+                        out.write(line)
+                    else:
+                        left = left or line[: len(line) // 2]
+                out.write(left)
+            store.move(made, f"{folder}/audit-{number}.log")
+
+    lines.repartition(FILES, "file").sortWithinPartitions("file", "round", "value").foreachPartition(write)
+
+
+def follow_growing(spark: SparkSession, folder: str) -> DataFrame:
+    """A log whose files grow between the runs of a stream, which goes on from its checkpoint each time."""
+    lines = spark.read.text(_written(spark, folder, "audit-grows"))
+    mixed = F.xxhash64("value")
+    lines = lines.withColumns({"file": F.pmod(mixed, F.lit(FILES)), "round": F.pmod(F.shiftright(mixed, 16), F.lit(ROUNDS))})
+    log, output, checkpoint = (scratch_dir(spark, name) for name in ("growing-log", "audit-followed", "checkpoint"))
+    for upto in range(1, ROUNDS + 1):
+        _grown(lines, log, upto)
+        query = (
+            follow_appended(spark, log)
+            .writeStream.format("parquet")
+            .option("path", output)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    return _rows(spark.read.parquet(output))
+
+
 def tail_of_log(spark: SparkSession, folder: str) -> DataFrame:
     return audit_tail(_rows(read_audit(spark, _written(spark, folder, "audit-tail"))), _ROW)
 
@@ -269,6 +319,7 @@ QUERIES = {
     "audit_read": audit_read,
     "audit_write": audit_write,
     "audit_follow": audit_follow,
+    "audit_follow_appended": follow_growing,
     "audit_tail": tail_of_log,
     "watch_stats": watched_stats,
     "watch_counts": watched_counts,
@@ -309,6 +360,7 @@ ORACLES = {
         ]
     ),
     "audit_follow": _ROWS_SQL,
+    "audit_follow_appended": _ROWS_SQL,
     "watch_stats": "SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, count(*) AS requests, "
     "CAST(sum(len(list_filter(types, lambda x: trim(x) <> ''))) AS BIGINT) AS masked_items, "
     "round(coalesce(avg(CASE WHEN total_latency_ms > 0 THEN total_latency_ms END), 0), 6) AS total_ms "

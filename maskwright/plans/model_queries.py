@@ -11,7 +11,7 @@ from maskwright.operators.masking import findings, sanitize
 from maskwright.operators.wordpiece import encode_corpus, special_ids, wordpiece
 from maskwright.plans import oracle, tables
 from maskwright.session import scratch_dir, written
-from maskwright.sources.model_files import load_labels
+from maskwright.sources.model_files import load_labels, load_vocab
 
 NAMES = "[A-Z][a-z]+ [A-Z][a-z]+|[A-Z][a-z]{7,}"
 
@@ -110,6 +110,20 @@ def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return vocab.select("piece", F.col("id").cast("bigint").alias("id"))
 
 
+def wordpiece_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Words cut by a tokenizer file of the shortest pieces, of which an alphabet has few."""
+    path, entry = scratch_dir(spark, "tokenizer"), F.struct("piece", "id")
+    short = tables.vocabulary(spark, folder).filter(_SHORT)
+    model = F.struct(F.map_from_entries(F.collect_list(entry)).alias("vocab"))
+    config = F.struct(model.alias("model"), F.struct(F.lit(True).alias("lowercase")).alias("normalizer"))
+    short.agg(F.to_json(config).alias("value")).coalesce(1).write.text(path)
+    vocab, lowercase = load_vocab(spark, path)
+    docs = tables.documents(spark, folder)
+    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))).alias("word"))
+    cut = wordpiece(found, vocab, lowercase=lowercase)
+    return cut.select("word", F.array_join(F.col("pieces").cast("array<string>"), ",").alias("pieces"))
+
+
 def word_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = tables.documents(spark, folder)
     found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))).alias("word"))
@@ -128,6 +142,8 @@ def encoded(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_SHORT = "length(replace(piece, '##', '')) = 1 OR piece IN ('[UNK]', '[CLS]', '[SEP]')"
+
 QUERIES = {
     "words": words,
     "ner_gate": ner_gate,
@@ -139,6 +155,7 @@ QUERIES = {
     "model_labels": model_labels,
     "vocabulary": vocabulary,
     "wordpiece": word_pieces,
+    "wordpiece_file": wordpiece_file,
     "encode_corpus": encoded,
 }
 
@@ -195,6 +212,11 @@ walk(form, pos, ids) AS (
 cut AS (SELECT forms.form, coalesce(d.ids, [CAST(1 AS BIGINT)]) AS ids FROM forms
   LEFT JOIN (SELECT form, ids FROM walk WHERE pos = length(form)) d ON d.form = forms.form)"""
 
+_CUT = (
+    "SELECT word, array_to_string(ids, ',') AS pieces FROM (SELECT DISTINCT w AS word FROM "
+    f"(SELECT unnest(regexp_extract_all(text, {_P})) AS w FROM documents)) JOIN cut ON form = lower(word)"
+)
+
 ORACLES = {
     "words": "SELECT doc_id, count(*) AS n_words, CAST(sum((e - length(hit)) * (i + 1)) AS BIGINT) AS starts, "
     "CAST(sum(e * (i + 1)) AS BIGINT) AS ends, max(length(hit)) AS longest, arg_max(hit, i) AS last_word "
@@ -211,8 +233,8 @@ ORACLES = {
     "sanitize_hybrid": f"{_HYBRID}, {oracle.masked_sql('doc_id')} SELECT doc_id, masked, n_items FROM masked",
     "model_labels": f"SELECT label, count(*) AS n FROM ({_DECODED}) GROUP BY label",
     "vocabulary": tables.VOCAB_SQL,
-    "wordpiece": f"{_PIECES} SELECT word, array_to_string(ids, ',') AS pieces FROM (SELECT DISTINCT w AS word FROM "
-    f"(SELECT unnest(regexp_extract_all(text, {_P})) AS w FROM documents)) JOIN cut ON form = lower(word)",
+    "wordpiece": f"{_PIECES} {_CUT}",
+    "wordpiece_file": _PIECES.replace(tables.VOCAB_SQL, f"SELECT * FROM ({tables.VOCAB_SQL}) WHERE {_SHORT}") + f" {_CUT}",
     "encode_corpus": f"""{_PIECES},
 words AS (SELECT doc_id, unnest(m) AS word, unnest(range(len(m))) AS i FROM (
   SELECT doc_id, regexp_extract_all(text, {_P}) AS m FROM documents)),

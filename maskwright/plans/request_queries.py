@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from maskwright.operators.jsonmask import sanitize_body, sanitize_json, should_s
 from maskwright.operators.policy import evaluate_policy, intercept_scope
 from maskwright.plans import oracle, tables
 from maskwright.session import scratch_dir, written
+from maskwright.sources.rules import load_rules
 from maskwright.streaming.sanitize import mask_requests, sanitize_stream
 
 RULES = [
@@ -45,6 +48,15 @@ def policy(spark: SparkSession, folder: str) -> DataFrame:
     return decided.select("page_id", "decision", "reason", "rule_id")
 
 
+def policy_rules_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules written as a configuration file and loaded from there."""
+    path = scratch_dir(spark, "rules-file")
+    named = [{"id": r["id"], "match": {k: v for k, v in r.items() if k.startswith("host")}, "action": r["action"]} for r in RULES]
+    spark.range(1).select(F.lit(json.dumps({"rules": named}, indent=1)).alias("value")).write.text(path)
+    decided = evaluate_policy(_clean_hosts(spark, folder), load_rules(spark, path))
+    return decided.select("page_id", "decision", "reason", "rule_id")
+
+
 def policy_rules_table(spark: SparkSession, folder: str) -> DataFrame:
     """One rule per host, as a table; more than 100 hosts take the form of equi-joins."""
     listed = _clean_hosts(spark, folder).groupBy("host").agg(F.min("page_id").alias("ord"))
@@ -175,6 +187,7 @@ QUERIES = {
     "connect_target": connect,
     "classify_host": classify,
     "policy": policy,
+    "policy_rules_file": policy_rules_file,
     "policy_rules_table": policy_rules_table,
     "intercept_scope": scope,
     "request_eligibility": request_eligibility,
@@ -257,6 +270,7 @@ ORACLES = {
     "WHEN contains(lower(host), 'anthropic.com') THEN 'LLM_ANTHROPIC' ELSE 'UNKNOWN' END AS category "
     f"FROM ({tables.HOSTS_SQL})",
     "policy": f"SELECT page_id, decision, reason, rule_id FROM ({_DECIDED})",
+    "policy_rules_file": f"SELECT page_id, decision, reason, rule_id FROM ({_DECIDED})",
     "policy_rules_table": "SELECT page_id, coalesce(action, 'allow') AS decision, coalesce(id, 'default') AS rule_id "
     f"FROM (SELECT h.page_id, arg_min(r.action, r.ord) AS action, arg_min(r.id, r.ord) AS id FROM ({_CLEAN}) h "
     f"LEFT JOIN ({_RULES_TABLE}) r ON (r.exact <> '' AND lower(h.host) = lower(r.exact)) "

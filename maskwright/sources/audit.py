@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.fixed_values import FOLLOW_TAIL
+from maskwright.sources.appended import follow_lines
 
 AUDIT_SCHEMA = (
     "timestamp string, method string, host string, path string, status_code int, decision string, reason string, "
@@ -90,6 +91,12 @@ def follow_audit(spark: SparkSession, folder: str) -> DataFrame:
     return parse_audit(spark.readStream.text(folder))
 
 
+def follow_appended(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The audit rows of lines as they are appended to a log, or to the logs of a folder, as a stream; each line once, also
+    after a restart or when the log is rotated. Options as in `sources.appended`."""
+    return parse_audit(follow_lines(spark, path, **options))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Write the recent-requests report as CSV with a header."""
     report.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
