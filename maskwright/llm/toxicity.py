@@ -89,11 +89,24 @@ def strength(folded: str, automaton) -> tuple[float, int]:
         else:
             hits[start] = max(weight, hits.get(start, 0.0))
     if excused:
-        hits = {at: w for at, w in hits.items() if not any(a <= at < b for a, b in excused)}
+        hits = _outside(hits, excused)
     words = folded.count(" ") - 1
     return sum(hits.values()) / (1 + math.log1p(max(0, words) / 50)), len(hits)
 
 
+def _outside(hits: dict[int, float], spans: list[tuple[int, int]]) -> dict[int, float]:
+    """The hits that begin in none of the spans, in one sweep over both in order."""
+    spans.sort()
+    out, i, until = {}, 0, -1
+    for at in sorted(hits):
+        while i < len(spans) and spans[i][0] <= at:
+            until = max(until, spans[i][1])
+            i += 1
+        if at >= until:
+            out[at] = hits[at]
+    return out
+
+
 def _entries(folded: str) -> set[str]:
     words = set(folded.split())
     found = {f" {w} " for w in words if len(w) > 2}
@@ -130,7 +143,8 @@ def fit_lexicon(
     """Learn entries, weights and the curve from rows with a label of 0 or 1.
 
     At most `per_class` rows of each label are used, the ones with the lowest hash of the key, and at most MAX_ENTRIES
-    entries kept, the heaviest. Without toxic rows the lexicon is empty and every text scores below one half.
+    entries kept, the heaviest. Without toxic rows, or too few to learn an entry from, the lexicon is empty and every text scores
+    below one half.
     """
     known = labelled.filter(F.col(label).isin(0, 1))
 
@@ -158,6 +172,8 @@ def fit_lexicon(
         if not any(weighed[entry] <= chosen.get(entry[:n], -1.0) + 0.7 for n in range(2, len(entry))):
             chosen[entry] = weighed[entry]
     kept = sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES]
+    if not kept:
+        return Lexicon((), exceptions, 1.0, -5.0)
     lexicon = Lexicon(tuple(sorted(kept)), exceptions)
     points = [
         np.array([r[0] for r in score_texts(rows, lexicon, text).select("strength").collect()], float)
