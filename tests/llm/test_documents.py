@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import numpy as np
 import pytest
 import sentencepiece
 import tiktoken
@@ -168,20 +169,45 @@ def test_copies_of_one_text_beyond_a_share_get_the_same_added_spans(spark):
     assert {rows[i] for i in range(1540, 1543)} == {""}
 
 
-def test_tokens_and_back(spark, odd_texts):
+@pytest.mark.parametrize("bound", [None, 300])
+def test_tokens_and_back(spark, odd_texts, monkeypatch, bound):
+    if bound:
+        monkeypatch.setattr(byte_bpe, "TOGETHER", bound)
+        monkeypatch.setattr(byte_bpe, "SLICE_BYTES", bound)
     draw = random.Random(3)
     texts = odd_texts + ["".join(draw.choice("ab  \n\t\r1'sd²Ⅷ\x1c\x85 　.!😀'll") for _ in range(40)) for _ in range(500)]
-    texts += ["a" * 30_000, "ab" * 20_000, " " * 500, "x " + " " * 30 + "\n"]
-    bpe = byte_bpe.loaded(BPE, public_tokenizers.PATTERN)
+    texts += ["a" * 30_000, "ab" * 20_000, " " * 500, "x " + " " * 30 + "\n", "abababab aaaaaaa ababa", "the " * 9]
+    bpe = byte_bpe.loaded(BPE, public_tokenizers.PATTERN, "test")
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
     got = {r.doc_id: r for r in byte_bpe.token_digests(frame(spark, texts), BPE, public_tokenizers.PATTERN).collect()}
     for i, text in enumerate(texts):
         ids = library.encode_ordinary(text or "")
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), brute.sha(",".join(map(str, ids)))), text
         assert got[i].decoded_sha256 == brute.sha(text or "")
-    assert [r.ids for r in byte_bpe.encode_texts(frame(spark, ["a b"]), BPE, public_tokenizers.PATTERN).collect()] == [
-        library.encode_ordinary("a b")
-    ]
+    back = byte_bpe.encode_texts(frame(spark, texts), BPE, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: r.ids for r in back} == {i: library.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    assert all(r.decoded.decode() == (r.text or "") and r.text == texts[r.doc_id] for r in back)
+    empty = frame(spark, ["a"]).limit(0)
+    assert byte_bpe.encode_texts(empty, BPE, public_tokenizers.PATTERN).count() == 0
+    assert byte_bpe.token_digests(empty, BPE, public_tokenizers.PATTERN).count() == 0
+
+
+def test_pre_tokens_merged_together():
+    """The joint queue against the library on random pre-tokens, and memory that forgets."""
+    draw = random.Random(8)
+    bpe = byte_bpe.ByteBPE.from_file(BPE, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    pieces = ["".join(draw.choice("abéthein") for _ in range(draw.randrange(1, 25))) for _ in range(3000)]
+    pieces += ["".join(draw.choice("ab") for _ in range(draw.randrange(1, 40))) for _ in range(500)]
+    made = bpe.encode_short([p.encode() for p in pieces])
+    assert [np.frombuffer(m, "<i4").tolist() for m in made] == [library.encode_ordinary(p) for p in pieces]
+    bpe.pieces, bpe.chunks = byte_bpe.Memo(2000), byte_bpe.Memo(2000)
+    texts = [" ".join(draw.choices(pieces, k=30)) for _ in range(60)] * 2
+    got = [r for i in range(0, 120, 7) for r in bpe.digests(texts[i : i + 7])]
+    expected = [library.encode_ordinary(t) for t in texts]
+    assert [(n, ids) for n, ids, _ in got] == [(len(e), brute.sha(",".join(map(str, e)))) for e in expected]
+    assert all(d == brute.sha(t) for (_, _, d), t in zip(got, texts, strict=True))
+    assert len(bpe.chunks.new) < 30 and len(bpe.pieces.old) < 30
 
 
 def test_counts_of_spliced_chunks(spark, odd_texts):

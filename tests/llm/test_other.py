@@ -1,10 +1,14 @@
 """Vectors, URLs, learned scores, registered queries and the pipeline."""
 
 import random
+import time
+from functools import reduce
+from operator import or_
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -130,6 +134,32 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(3, one + " more"), (None, other), (5, None), (None, "")]))
 
 
+def test_columns_of_the_user_come_through_the_pipeline(spark):
+    names = ["k1", "k2", "score", "predicted", "n_hits", "strength", "base", "spans", "__row", "__text", "__doc", "none", "id", "a.b"]
+    docs = table(spark, SMALL, "documents").drop("n_chars")
+    docs = docs.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SMALL), name)
+    assert docs.columns == ["doc_id", "text", "lang", "source", *names]
+    wrong = [F.col(f"`{n}`") != F.concat(F.lit(n), "doc_id") for n in names]
+    assert docs.count() > 100
+    assert docs.filter(reduce(or_, wrong)).count() == 0
+
+
+def test_hits_outside_exceptions_cost_one_sweep():
+    automaton = toxicity.Lexicon(((" moron ", 1.0), (" mor", 0.5)), ("trash can",)).matcher()
+
+    def seconds(n):
+        text = toxicity.fold("trash can moron " * n)
+        start = time.perf_counter()
+        assert toxicity.strength(text, automaton)[1] == n
+        return time.perf_counter() - start
+
+    assert toxicity._outside({1: 1.0, 5: 2.0, 9: 3.0, 12: 4.0}, [(4, 6), (0, 2), (4, 12)]) == {12: 4.0}
+    seconds(1000)
+    assert min(seconds(40_000) for _ in range(3)) < 4 * min(seconds(20_000) for _ in range(3))
+
+
 def test_pipeline(spark):
     docs = table(spark, SMALL, "documents")
     columns = docs.columns
