@@ -18,12 +18,21 @@ from maskwright.session import written
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """`text`, and the other columns as one, so that no name of theirs meets one that a stage gives."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__doc"))
+
+
+def _unpacked(packed: DataFrame, columns: list[str]) -> DataFrame:
+    return packed.select(*[F.col("text") if c == "text" else F.col(f"__doc.`{c}`") for c in columns])
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half; learned from the labelled ones outside the held-out fifth."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     known = docs.select("doc_id", "text").join(labels, "doc_id").filter(hashed_remainder("doc_id", 5) != 0)
-    scored = toxicity.score_texts(docs, toxicity.fit_lexicon(known), keep_text=True)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.score_texts(_packed(docs), toxicity.fit_lexicon(known), keep_text=True)
+    return _unpacked(scored.filter("predicted = 0"), docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +40,13 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Rows are linked under a number of their own: rows without an id and rows that repeat one are judged by their texts too.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = written(_packed(docs).withColumn("__row", F.monotonically_increasing_id()), "numbered")
     found = near_duplicates.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
-    parts = rows.select("__row", "doc_id").join(found.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("least")
+    numbers = rows.select("__row", F.col("__doc.doc_id").alias("id"))
+    parts = numbers.join(found.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("least")
     kept = parts.groupBy("component_id").agg(least).select("least.__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    return _unpacked(rows.join(kept, "__row", "left_semi"), docs.columns)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,19 +54,20 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts, not ids, decide: documents without an id are judged like any other.
     """
-    judged = docs.select("text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    digests = {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")}
+    judged = docs.select("text").withColumns(digests)
     found = decontamination.find_items(judged, table(spark, sf_dir, "benchmark"), ["k1", "k2"], near=0)
     bad = found.filter(decontamination.CONTAMINATED).select("k1", "k2").distinct()
-    named = docs.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
-    return named.join(bad, ["k1", "k2"], "left_anti").select(*docs.columns)
+    return _unpacked(_packed(docs).withColumns(digests).join(bad, ["k1", "k2"], "left_anti"), docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with what was found replaced by the name of its kind. NULL texts stay NULL."""
-    named = docs.withColumn("__text", F.col("text"))
-    found = personal_data.find_spans(named, [*[c for c in docs.columns if c != "text"], "__text"])
+    named = _packed(docs).withColumn("__text", F.col("text"))
+    found = personal_data.find_spans(named, ["__doc", "__text"])
     masked = F.when(F.col("__text").isNotNull(), F.expr(personal_data.mask("__text", "spans")))
-    return found.withColumn("text", masked).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    count = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
+    return _unpacked(found.withColumn("text", masked), docs.columns).withColumns(count)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
