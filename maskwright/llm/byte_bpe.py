@@ -17,7 +17,6 @@ import base64
 import functools
 import gc
 import hashlib
-import re
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -31,7 +30,7 @@ from pyspark.sql.types import StructType
 from maskwright.llm.common import _arrow_schema
 
 BITS = 64
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 64 << 20
 ENTRY_BYTES = 200
 SHORT = 48
 TOGETHER = 1 << 20
@@ -130,10 +129,13 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.tokens = {i: token for token, i in ranks.items()}
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.tokens[i] = token
+        self.names = [str(i) for i in range(len(self.tokens))]
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.pieces, self.chunks = Memo(), Memo()
+        self.pieces = Memo()
         self.size = len(self.queue.buckets) + 1
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {
@@ -300,74 +302,31 @@ class ByteBPE:
                 self.pieces.keep(name, ids, len(name) + len(ids))
         return made
 
-    def encode_chunks(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        """The packed ids of parts of texts. Their new pre-tokens are merged together."""
-        cut = {chunk: self.pattern.findall(chunk) for chunk in chunks}
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes of 32-bit integers. The new pre-tokens of all texts are merged together."""
+        cuts = [self.pattern.findall(text) for text in texts]
         new, recall = self.pieces.new.get, self.pieces.recall
-        known = {piece: new(piece) or recall(piece) for piece in set().union(*cut.values())}
+        known = {piece: new(piece) or recall(piece) for piece in set().union(*cuts)}
         known.update(self.encode_new([piece for piece, ids in known.items() if ids is None]))
         of = known.__getitem__
-        return {chunk: b"".join(map(of, pieces)) for chunk, pieces in cut.items()}
-
-    def _made(self, texts: list[str], make: Callable[[bytes], object], size: Callable[[object], int]) -> list[list]:
-        """For each text what `make` gives for the ids of its parts, remembered for parts that are short."""
-        cuts = [_cut(text) for text in texts]
-        memo = self.chunks
-        new, recall = memo.new.get, memo.recall
-        now = {chunk: new(chunk) or recall(chunk) for chunk in set().union(*cuts)}
-        for chunk, ids in self.encode_chunks([c for c, known in now.items() if known is None]).items():
-            now[chunk] = value = make(ids)
-            if len(chunk) <= SHORT:
-                memo.keep(chunk, value, len(chunk) + size(value))
-        of = now.__getitem__
-        return [list(map(of, chunks)) for chunks in cuts]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of 32-bit integers. A memory holds what one of the two methods needs, not both."""
-        return [b"".join(parts) for parts in self._made(texts, lambda ids: ids, len)]
-
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join(self.encode_chunks(_cut(text))[c] for c in _cut(text)), "<i4").tolist()
+        return [b"".join(map(of, pieces)) for pieces in cuts]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def _written_out(self, packed: bytes) -> tuple[int, str, bytes]:
-        ids = memoryview(packed).cast("i").tolist()
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
-
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids, SHA-256 of the ids written out and of the bytes they decode to, for each text.
-
-        A pre-token may begin with one space but not hold one after a letter, digit or sign. So a text falls apart
-        before every space that has no white space around it, and each part, which occurs again and again, is encoded
-        and decoded by itself.
-        """
+        """Number of ids, SHA-256 of the ids written out and of the bytes they decode to, for each text."""
         out = []
-        for parts in self._made(texts, self._written_out, lambda made: 100 + len(made[1]) + len(made[2])):
-            ids = hashlib.sha256(",".join([p[1] for p in parts]).encode())
-            decoded = hashlib.sha256(b"".join([p[2] for p in parts]))
-            out.append((sum(p[0] for p in parts), ids.hexdigest(), decoded.hexdigest()))
+        for packed in self.encode_all(texts):
+            ids = memoryview(packed).cast("i").tolist()
+            written = ",".join(map(self.names.__getitem__, ids)).encode()
+            out.append((len(ids), hashlib.sha256(written).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()))
         return out
 
 
-_LOOSE = re.compile(r"\s[ ]|[ ]\s|^ | $|[\x1c-\x1f]")
-_SPACE = regex.compile(r"(?<=[^\s\x1c-\x1f])(?= [^\s\x1c-\x1f])")
-
-
-def _cut(text: str) -> list[str]:
-    """The text in parts that begin with the spaces standing alone between other characters."""
-    if not text:
-        return []
-    if _LOOSE.search(text):
-        return _SPACE.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
-
-
 @functools.lru_cache(maxsize=2)
-def loaded(path: str, pattern: str, purpose: str) -> ByteBPE:
-    """The vocabulary, read once per worker and purpose. `path` must be there on every executor, as its library is."""
+def loaded(path: str, pattern: str) -> ByteBPE:
+    """The vocabulary, read once per worker. `path` must be there on every executor, as its library is."""
     return ByteBPE.from_file(path, pattern)
 
 
@@ -413,7 +372,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text: str = "text") ->
     """Adds `ids` (array of int) and `decoded` (binary). NULL counts as empty; the text column is kept."""
 
     def make(texts, values, types):
-        bpe = loaded(path, pattern, "ids")
+        bpe = loaded(path, pattern)
         packed = bpe.encode_all(texts)
         ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
         begins = np.cumsum([0, *[len(p) // 4 for p in packed]]).astype(np.int32)
@@ -431,7 +390,7 @@ def token_digests(df: DataFrame, path: str, pattern: str, text: str = "text") ->
     """
 
     def make(texts, values, types):
-        columns = zip(*loaded(path, pattern, "digests").digests(texts), strict=True)
+        columns = zip(*loaded(path, pattern).digests(texts), strict=True)
         return [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
 
     return _text_map(df, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
