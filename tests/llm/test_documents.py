@@ -177,7 +177,7 @@ def test_tokens_and_back(spark, odd_texts, monkeypatch, bound):
     draw = random.Random(3)
     texts = odd_texts + ["".join(draw.choice("ab  \n\t\r1'sd²Ⅷ\x1c\x85 　.!😀'll") for _ in range(40)) for _ in range(500)]
     texts += ["a" * 30_000, "ab" * 20_000, " " * 500, "x " + " " * 30 + "\n", "abababab aaaaaaa ababa", "the " * 9]
-    bpe = byte_bpe.loaded(BPE, public_tokenizers.PATTERN, "test")
+    bpe = byte_bpe.loaded(BPE, public_tokenizers.PATTERN)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
     got = {r.doc_id: r for r in byte_bpe.token_digests(frame(spark, texts), BPE, public_tokenizers.PATTERN).collect()}
     for i, text in enumerate(texts):
@@ -201,13 +201,13 @@ def test_pre_tokens_merged_together():
     pieces += ["".join(draw.choice("ab") for _ in range(draw.randrange(1, 40))) for _ in range(500)]
     made = bpe.encode_short([p.encode() for p in pieces])
     assert [np.frombuffer(m, "<i4").tolist() for m in made] == [library.encode_ordinary(p) for p in pieces]
-    bpe.pieces, bpe.chunks = byte_bpe.Memo(2000), byte_bpe.Memo(2000)
+    bpe.pieces = byte_bpe.Memo(2000)
     texts = [" ".join(draw.choices(pieces, k=30)) for _ in range(60)] * 2
     got = [r for i in range(0, 120, 7) for r in bpe.digests(texts[i : i + 7])]
     expected = [library.encode_ordinary(t) for t in texts]
     assert [(n, ids) for n, ids, _ in got] == [(len(e), brute.sha(",".join(map(str, e)))) for e in expected]
     assert all(d == brute.sha(t) for (_, _, d), t in zip(got, texts, strict=True))
-    assert len(bpe.chunks.new) < 30 and len(bpe.pieces.old) < 30
+    assert len(bpe.pieces.new) < 30 and len(bpe.pieces.old) < 30
 
 
 def test_counts_of_spliced_chunks(spark, odd_texts):
