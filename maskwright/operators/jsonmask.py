@@ -36,10 +36,8 @@ def _with_leaves(
     text_fallback: bool,
 ) -> DataFrame:
     """Add `is_json`, `__leaves`, the texts to mask with their places, and `__quoted`, whether they are literals."""
-    found = json_leaves(
-        F.expr(body), list(sanitize_keys or fixed.SANITIZE_KEYS), list(skip_keys or fixed.SKIP_KEYS)
-    )
-    df = df.withColumn("__json", found).withColumn("is_json", F.col("__json.is_json"))
+    found = json_leaves(body, list(sanitize_keys or fixed.SANITIZE_KEYS), list(skip_keys or fixed.SKIP_KEYS))
+    df = df.withColumn("__json", F.expr(found)).withColumn("is_json", F.col("__json.is_json"))
     leaves, quoted = "__json.leaves", "true"
     if text_fallback:
         whole = f"array(named_struct('start', 0, 'end', char_length({body}), 'value', {body}))"

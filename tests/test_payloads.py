@@ -1,11 +1,14 @@
 """Conversations, JSON bodies, hot keys."""
 
 import json
+import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
 from maskwright.functions import detectors as det
-from maskwright.functions.jsontext import string_values
+from maskwright.functions.jsontext import json_leaves
 from maskwright.functions.spans import SPAN
 from maskwright.operators.jsonmask import json_texts, sanitize_body, sanitize_json, should_sanitize
 from maskwright.operators.masking import restore, sanitize, sanitize_conversations
@@ -75,12 +78,94 @@ def test_not_json(spark):
     assert one(spark, "", sanitize_body)["masked"] == ""
 
 
-def test_string_values_of_odd_bodies():
-    keys, skip = frozenset({"text"}), frozenset()
-    assert string_values('{"a":NaN}', keys, skip)["is_json"] is False
-    assert string_values("[" * 100_000, keys, skip)["is_json"] is False
-    found = string_values('{"text":{"x":"1","text":["2",["3",{"text":"4"},"5"]]},"text":"6"}', keys, skip)
-    assert [leaf["value"] for leaf in found["leaves"]] == ["2", "3", "4", "5", "6"]
+_MARKS = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\],:]', re.DOTALL)
+
+
+def refuse(constant):
+    raise ValueError(constant)
+
+
+def plain_leaves(body, wanted, skipped):
+    """The same by a parser and a loop."""
+    if body is None:
+        return None, []
+    try:
+        json.loads(body, parse_constant=refuse, parse_int=str, parse_float=str)
+    except ValueError:
+        return False, []
+    leaves, containers, key, at_key = [], [], "", False
+    for mark in _MARKS.finditer(body):
+        token = mark.group()
+        if token in "{[":
+            containers.append((token == "{", key))
+            at_key = token == "{"
+        elif token in "}]":
+            _, key = containers.pop()
+            at_key = False
+        elif token == ",":
+            at_key, outer = containers[-1]
+            key = key if at_key else outer
+        elif token == ":":
+            at_key = False
+        elif at_key:
+            key = json.loads(token).lower()
+        elif key in wanted and key not in skipped:
+            value = json.loads(token).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+            leaves.append((mark.start(), mark.end(), value.replace("\ufffd", "?")))
+    return True, leaves
+
+
+ODD_BODIES = [
+    None, "", "null", " null ", '"x"', "5", "01", "-", "1.", "[.5]", "[+1]", "[1e999]", "tru", "[tru]", "[1,]", "[,]", "{,}", "[}",
+    "{]", "[]]", "[1 2]", '["a" "b"]', '{"a" 1}', '{"a":}', '{:1}', '{"a":1,}', '{"a":1} x', '{"a":1}{', '{"a":NaN}', "{'a':1}",
+    '{"text":"b"} // c', '\ufeff{"text":"b"}', "[1]\x00", "\x0b[1]", '{"text":"\t"}', '{"text":"\\x"}', '{"text":"\\u12g4"}', '"\\', '"abc',
+    'a\\"', "\\n", '{"text":"1","text":["2"],"TOKEN":"3"}', '{"text":"bad \\ud83d \\ud83d\\ude00"}', '{"\\u0074ext":"hit","te\\u0058t":"hit"}',
+    '{"text":{"x":"1","text":["2",["3",{"text":"4"},"5"]]},"text":"6"}', "[" * 1000 + '{"text":"deep"}' + "]" * 1000, "[" * 1001 + "]" * 1000,
+]
+
+
+def test_leaves_of_odd_and_random_bodies(spark):
+    draw = random.Random(4)
+
+    def value(depth=0):
+        kind = draw.randrange(8 if depth < 4 else 5)
+        if kind == 0:
+            return draw.choice([True, False, None, 1, -0.5, 1e30, 0])
+        if kind < 5:
+            return draw.choice(["a@x.com", 'é\n"q"\\', "x,y:[{}]", "", "\u2028😀/", "tab\t\x01"])
+        if kind == 5:
+            return [value(depth + 1) for _ in range(draw.randrange(4))]
+        return {draw.choice(["text", "Content", 'to"ken', "role", "o"]): value(depth + 1) for _ in range(draw.randrange(4))}
+
+    texts = list(ODD_BODIES)
+    for _ in range(300):
+        whole = json.dumps(value(), ensure_ascii=draw.random() < 0.5, indent=draw.choice([None, None, 2]))
+        at = draw.randrange(len(whole))
+        texts += [whole, whole[:at] + draw.choice(["", ",", '"', "\\", "}", " ", "1"]) + whole[at + 1 :]]
+    found = bodies(spark, *texts).select("id", F.expr(json_leaves("body", ["Text", "content", "o"], ["O"])).alias("j"))
+    for row in found.collect():
+        got = row.j.is_json, [tuple(leaf) for leaf in row.j.leaves]
+        assert got == plain_leaves(texts[row.id], {"text", "content", "o"}, {"o"}), texts[row.id]
+
+
+def test_json_costs_in_proportion_to_its_length(spark):
+    def seconds(n):
+        turns_of = ",".join('{"role":"user","content":"mail a@x.com, \\"q\\" n"}' for _ in range(n))
+        texts = ['{"messages":[' + turns_of + "]}", '{"text":"' + "a\\n" * 10 * n + '"}']
+        df = bodies(spark, *texts).select(F.expr(json_leaves("body", ["content", "text"], [])).alias("j"))
+        start = time.perf_counter()
+        sizes = [len(r.j.leaves) for r in df.collect()]
+        assert sizes == [n, 1]
+        return time.perf_counter() - start
+
+    seconds(2000)
+    assert min(seconds(16_000) for _ in range(2)) < 3 * min(seconds(8_000) for _ in range(2))
+
+
+def test_masking_json_stays_in_the_jvm(spark):
+    for function in (sanitize_json, sanitize_body):
+        plan = function(bodies(spark, "{}"))._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Arrow|Pandas", plan)
 
 
 def test_should_sanitize(spark):
