@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from maskwright.fixed_values import DEFAULT_RULES
 from maskwright.functions.hosts import normalize_host
 from maskwright.functions.labels import trimmed
+from maskwright.operators.skew import hot_split_join
+from maskwright.session import written
 
 MAX_INLINE = 100
+GRAM = 4
 ACTIONS = ["block", "allow", "mitm"]
 
 
@@ -51,9 +54,43 @@ def _inline(df: DataFrame, rules: list[Mapping], host: str) -> DataFrame:
     return df.withColumn("__decision", result)
 
 
+def _grams(text: str, sizes: list[int]) -> str:
+    """All pieces of a text that are as long as one of the sizes, each once."""
+    pieces = [
+        f"if(char_length({text}) >= {n}, transform(sequence(1, greatest(1, char_length({text}) - {n - 1})), "
+        f"i -> substr({text}, i, {n})), cast(array() as array<string>))"
+        for n in sizes
+    ]
+    return f"explode(array_distinct(concat({', '.join(pieces)})))"
+
+
+def _containing(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """The first rule for each host (`__name`) of those whose `part` it contains, by an index of the rules.
+
+    Each part is filed under that piece of `GRAM` characters that the fewest hosts have, or under itself if it is
+    shorter. A host looks up its own pieces, in proportion to its length, and only what is filed there is compared.
+    """
+    parts = rules.filter("part <> ''").groupBy("part").agg(F.min(F.struct("ord", "id", "action")).alias("rule"))
+    parts = written(parts, "policy-parts")
+    # Which lengths below GRAM there are: GRAM - 1 numbers at most.
+    short = parts.select(F.char_length("part").alias("n")).filter(F.col("n") < GRAM).distinct().collect()
+    sizes = sorted(r["n"] for r in short)
+    looked_up = written(hosts.select("__name", F.expr(_grams("__name", [*sizes, GRAM])).alias("gram")), "policy-grams")
+    common = looked_up.groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.expr(_grams("part", [GRAM]))
+    pieces = parts.filter(F.char_length("part") >= GRAM).select("part", own.alias("gram"))
+    # A piece that no host has leads nowhere, so its rule may go.
+    known = pieces.join(common, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    filed = known.filter("least.n > 0").select("part", F.col("least.gram").alias("gram"))
+    filed = filed.unionByName(parts.filter(F.char_length("part") < GRAM).select("part", F.col("part").alias("gram")))
+    filed = written(filed.join(parts, "part"), "policy-filed")
+    asked = written(looked_up.join(filed.select("gram").distinct(), "gram", "left_semi"), "policy-asked")
+    candidates = hot_split_join(asked, filed, ["gram"], ["__name"], how="inner")
+    return candidates.filter(F.contains("__name", "part")).groupBy("__name").agg(F.min("rule").alias("rule"))
+
+
 def _joined(df: DataFrame, rules: DataFrame, host: str) -> DataFrame:
-    """Any number of rules by equi-joins on the distinct hosts: whole names, and the parts of a host that are as
-    long as some rule's part.
+    """Any number of rules by equi-joins on the distinct hosts: whole names, and parts by way of an index.
 
     Rows of one host may be alike in everything, so a host with a large part of the rows is left to the skew join
     of adaptive execution, which splits by where rows were written and not by what is in them.
@@ -65,33 +102,19 @@ def _joined(df: DataFrame, rules: DataFrame, host: str) -> DataFrame:
         F.lower(F.coalesce("host_contains", F.lit(""))).alias("part"),
         F.coalesce("action", F.lit("")).alias("action"),
     )
-    hosts = df.select(F.lower(host).alias("__name")).distinct()
-    exact = hosts.join(
-        clean.filter("exact <> ''").groupBy(F.col("exact").alias("__name")).agg(F.min("ord").alias("ord")), "__name"
-    )
-    parts = clean.filter("part <> ''").groupBy(F.col("part").alias("__piece")).agg(F.min("ord").alias("ord"))
-    # One number per distinct length of a part, not per rule.
-    lengths = [r[0] for r in parts.select(F.char_length("__piece")).distinct().collect()]
-    pieces = (
-        hosts.select("__name", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n"))
-        .filter(F.char_length("__name") >= F.col("n"))
-        .select(
-            "__name",
-            F.explode(
-                F.expr("transform(sequence(1, char_length(__name) - n + 1), i -> substr(__name, i, n))")
-            ).alias("__piece"),
-        )
-    )
-    contained = pieces.join(parts, "__piece").select("__name", "ord")
-    first_of_all = clean.filter("exact = '' and part = ''").agg(F.min("ord")).scalar()
-    best = exact.unionByName(contained).groupBy("__name").agg(F.min("ord").alias("ord"))
-    chosen = hosts.join(best, "__name", "left").withColumn("ord", F.least("ord", first_of_all))
-    outcome = chosen.join(clean.select("ord", "id", "action"), "ord", "left").select(
-        "__name",
-        F.when(F.col("ord").isNull(), _default()).otherwise(_decision(F.col("action"), F.col("id"))).alias(
-            "__decision"
-        ),
-    )
+    hosts = written(df.select(F.lower(host).alias("__name")).distinct(), "policy-hosts")
+    rule = F.struct("ord", "id", "action")
+    exact = clean.filter("exact <> ''").groupBy(F.col("exact").alias("__name")).agg(F.min(rule).alias("rule"))
+    found = hosts.join(exact, "__name").unionByName(_containing(hosts, clean))
+    every = clean.filter("exact = '' and part = ''").orderBy("ord").limit(1).collect()
+    best = F.min("rule").alias("rule")
+    chosen = hosts.join(found.groupBy("__name").agg(best), "__name", "left")
+    for first in every:
+        whole = F.struct(*[F.lit(first[c]).alias(c) for c in ("ord", "id", "action")])
+        whole = whole.cast(found.schema["rule"].dataType)
+        chosen = chosen.withColumn("rule", F.least(F.coalesce("rule", whole), whole))
+    decision = _decision(F.col("rule.action"), F.col("rule.id"))
+    outcome = chosen.select("__name", F.when(F.col("rule").isNull(), _default()).otherwise(decision).alias("__decision"))
     named = df.withColumn("__host", F.lower(host))
     return named.join(outcome, F.col("__host").eqNullSafe(F.col("__name")), "left").drop("__host", "__name")
 
@@ -100,7 +123,8 @@ def evaluate_policy(df: DataFrame, rules: Iterable[Mapping] | DataFrame, host: s
     """Add `decision`, `reason` and `rule_id` of the first rule, in order, that matches the host.
 
     A rule matches by whole name or by part, case-blind, and every host if it names neither. Few rules become
-    one CASE expression; more than that, or a large rules table, become equi-joins.
+    one CASE expression; more than that, or a large rules table, become equi-joins, which write tables between steps
+    to the shared folder when called. A NULL host matches the rules that name nothing.
     """
     if isinstance(rules, DataFrame):
         few = rules.orderBy("ord").limit(MAX_INLINE + 1).collect()

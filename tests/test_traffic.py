@@ -1,6 +1,8 @@
 """Hosts, rules, eligibility, audit log and statistics."""
 
 import json
+import random
+import re
 from pathlib import Path
 
 import pytest
@@ -53,6 +55,37 @@ def test_policy_first_rule_wins(spark, extra):
     assert (last["decision"], last["rule_id"]) == ("mitm", "all")
 
 
+def test_a_hundred_thousand_rules_of_many_lengths(spark):
+    draw = random.Random(6)
+    names = ["".join(draw.choice("abcdefgh.-") for _ in range(draw.randrange(1, 240))) + ".example.com" for _ in range(150)]
+    names += ["a", "", "www.example.com", names[0].upper()]
+    rules = []
+    for i in range(100_000):
+        n = 1 + i % 200
+        part = "".join(draw.choice("abcdefgh.-") for _ in range(n)) if n > 3 else "zq" + str(n)
+        rules.append((i, f"r{i}", "", part, "block"))
+    for i in range(100_000, 100_300):
+        name = draw.choice([n for n in names if n])
+        at = draw.randrange(len(name))
+        rules.append((i, f"r{i}", name if i % 9 == 0 else "", name[at : at + draw.randrange(1, 200)].upper(), draw.choice(["allow", "MITM", "odd"])))
+    rules += [(100_300, "common", None, ".example.com", "allow"), (100_301, "b", "", "b", "allow")]
+    schema = "ord int, id string, host string, host_contains string, action string"
+    table = spark.createDataFrame(rules, schema).repartition(4)
+    hosts = spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "host string").repartition(3)
+    decided = evaluate_policy(hosts, table)
+    assert not re.search(r"transform\(array\(1, 2, 3", decided._jdf.queryExecution().analyzed().toString())
+    got = {r["host"]: r["rule_id"] for r in decided.collect()}
+    lowered = [(i, (h or "").lower(), p.lower()) for _, i, h, p, _ in rules]
+    for name in names:
+        low = name.lower()
+        first = next((i for i, h, p in lowered if (h and low == h) or (p and p in low)), "default")
+        assert got[name] == first, name
+    assert got[None] == "default" and decided.count() == 2 * len(names) + 1
+    everything = table.unionByName(spark.createDataFrame([(100_299, "all", "", "", "mitm")], schema))
+    last = {r["host"]: r["rule_id"] for r in evaluate_policy(hosts, everything).collect()}
+    assert last[""] == last[None] == "all" and last["www.example.com"] == "all"
+
+
 def test_rules_from_a_file_and_none(spark, tmp_path):
     file = tmp_path / "rules.json"
     file.write_text(json.dumps({"rules": [{"id": "x", "match": {"host_contains": "h"}, "action": "block"}, {"id": "y", "action": "allow"}]}))
