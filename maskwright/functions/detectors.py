@@ -67,13 +67,15 @@ def _secret_detector(rule: SecretRule) -> Detector:
         tests = []
         if rule.exact_length is not None:
             tests.append(f"char_length({value}) = {rule.exact_length}")
+        if rule.holds is not None:
+            tests.append(f"{value} rlike {quoted(rule.holds)}")
         if rule.letter_and_digit:
             tests.append(has_alpha_num(value))
         if rule.min_entropy is not None:
             tests.append(f"{shannon_entropy(value)} >= {rule.min_entropy}")
         return f"({' and '.join(tests)})"
 
-    tested = rule.exact_length is not None or rule.letter_and_digit or rule.min_entropy is not None
+    tested = rule.letter_and_digit or any(x is not None for x in (rule.exact_length, rule.holds, rule.min_entropy))
 
     def hint(text: str) -> str:
         where = f"lower({text})" if rule.case_blind else text

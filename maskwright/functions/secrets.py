@@ -1,6 +1,9 @@
 """Secret detectors, from the public key formats of the vendors.
 
 `any_of` is a cheap test for texts worth scanning, `in_run` tells that only long runs are, `lead` is the part of a match that is not secret.
+
+A pattern that has to look far ahead would do so again from every repeated beginning of a hopeless text. Such a pattern has a
+second branch, which takes a hopeless stretch as a whole: as far as no match can begin in it. `holds` tells real matches.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ class SecretRule:
     exact_length: int | None = None
     min_entropy: float | None = None
     letter_and_digit: bool = False
+    holds: str | None = None
     score: float = 0.99
 
 
@@ -28,6 +32,8 @@ def _assigned(name: str) -> str:
     return rf"(?i:{name})[\"']?[{SPACE}]*[=:][{SPACE}]*[\"']?"
 
 
+_DB_SCHEME = r"(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)"
+
 SECRET_RULES = [
     SecretRule("aws_access_key", f"{BOUNDARY}(?:AKIA|ASIA)[A-Z0-9]{{16}}{BOUNDARY}", any_of=("AKIA", "ASIA")),
     SecretRule(
@@ -58,19 +64,22 @@ SECRET_RULES = [
     ),
     SecretRule(
         "azure_sas_token",
-        rf"sv=\d{{4}}-\d{{2}}-\d{{2}}&[^{SPACE}\"'<>]*sig=[A-Za-z0-9%+/=]+",
+        # without a signature in the rest of the run, none of its beginnings has one
+        rf"sv=\d{{4}}-\d{{2}}-\d{{2}}&(?:[^{SPACE}\"'<>]*sig=[A-Za-z0-9%+/=]+|[^{SPACE}\"'<>]*+)",
         any_of=("sig=",),
+        holds=r"sig=[A-Za-z0-9%+/=]+\z",
     ),
     SecretRule(
         "private_key",
-        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----)?",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----)?",
         any_of=("PRIVATE KEY-----",),
     ),
     SecretRule(
         "db_url",
-        r"(?i)(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://"
-        rf"[^{SPACE}:/@\"']*:[^{SPACE}@\"']+@[^{SPACE}\"'<>]+",
+        # up to a sign that no password has, unless that is an @ with a host, there is no match
+        rf"(?i){_DB_SCHEME}://(?:[^{SPACE}:/@\"']*:[^{SPACE}@\"']++@[^{SPACE}\"'<>]+|[^{SPACE}@\"']*+(?!@[^{SPACE}\"'<>]))",
         any_of=("://",),
+        holds="@",
     ),
     SecretRule(
         "high_entropy",

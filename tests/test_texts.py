@@ -1,6 +1,8 @@
 """Finding, resolving, masking and restoring single texts."""
 
+import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -265,3 +267,62 @@ def test_private_keys_without_an_end_cost_in_proportion(spark):
 
     seconds(10)
     assert seconds(8000) < 20
+
+
+BEGINNINGS = {
+    "email": ["a@", "a@b.", "a.b%"],
+    "phone": ["+1 2", "1-", "12345 x"],
+    "api_key": ["abc-", "a1_", "x" * 19 + " "],
+    "jwt": ["eyJ.", "abc.def.", "a-"],
+    "aws_access_key": ["AKIA", "AKIAABCDEFGH"],
+    "aws_secret_key": ["aws_secret_access_key=", "aws_secret_access_key  "],
+    "aws_session_token": ["aws_session_token=", "aws_session_token = 'ab"],
+    "gcp_api_key": ["AIza", "AIza-_-"],
+    "gcp_service_account": ['"type" : ', '"type":"service_account'],
+    "azure_connection_string": ["DefaultEndpointsProtocol=http;AccountName=", "DefaultEndpointsProtocol=https;AccountName=a;AccountKey;"],
+    "azure_sas_token": ["sv=2020-01-01&", "sv=2020-01-01&sig=&", "sv=2020-01-01&sig="],
+    "private_key": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----a-b", "-----BEGIN A "],
+    "db_url": ["postgres://u:", "mysql://", "redis://u:@", "amqp://u/", "mongodb://u:p@ "],
+    "high_entropy": ["aB3+/=", "a" * 21],
+    "hex_secret": ["0f", "deadbeef" * 4 + "g"],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(BEGINNINGS))
+def test_repeated_beginnings_cost_in_proportion(spark, kind):
+    """Nothing is tried again from each of many hopeless places."""
+    finder = F.expr(det.find_spans("t", [kind]))
+
+    def seconds(n):
+        texts = [(b * n + end,) for b in BEGINNINGS[kind] for end in ("", "@ ", "\n", ".")]
+        df = spark.createDataFrame(texts, "t string").coalesce(1)
+        start = time.perf_counter()
+        df.select(F.size(finder).alias("n")).agg(F.sum("n")).collect()
+        return time.perf_counter() - start
+
+    seconds(2_000)
+    small, large = (min(seconds(n) for _ in range(2)) for n in (8_000, 32_000))
+    # twice four is room for a busy machine; a square would be sixteen
+    assert large < 8 * small + 1
+
+
+def test_hopeless_stretches_hide_no_match(spark):
+    """The second branches of patterns against the plain patterns, on random texts made of their parts."""
+    draw = random.Random(11)
+    space = r"\t\n\f\r "
+    plain = {
+        "db_url": rf"(?i)(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^{space}:/@\"']*:[^{space}@\"']+@[^{space}\"'<>]+",
+        "azure_sas_token": rf"sv=\d{{4}}-\d{{2}}-\d{{2}}&[^{space}\"'<>]*sig=[A-Za-z0-9%+/=]+",
+        "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----)?",
+    }
+    parts = {
+        "db_url": ["postgres://", "Redis://", "u", ":", "p", "@", "h", "/", " ", '"', "<"],
+        "azure_sas_token": ["sv=2020-01-01&", "sig=", "a", "&", " ", "%2", "<", "sv=20"],
+        "private_key": ["-----BEGIN PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-", "x", "-----", "--", "\n"],
+    }
+    for kind, pattern in plain.items():
+        texts = ["".join(draw.choices(parts[kind], k=draw.randrange(1, 30))) for _ in range(1500)]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        for row in df.select("i", F.expr(det.find_spans("t", [kind])).alias("s")).collect():
+            expected = [(m.start(), m.end()) for m in re.finditer(pattern, texts[row.i])]
+            assert [(s.start, s.end) for s in row.s] == expected, texts[row.i]
