@@ -7,7 +7,8 @@ it. The dictionary holds each distinct phrase once, filed under the text that fo
 
 A phrase that occurs twice is repeated as a whole. A phrase whose following text occurs nowhere else has no repeated
 window. Only the rest is looked into: the windows of the distinct phrases under one text are counted by their fingerprints,
-and those that occur twice are repeated. Text is compared by 64-bit fingerprints of rolling hashes; two windows are only ever
+and those that occur twice are repeated. Where too many distinct phrases meet under one text, they are filed again under longer
+stretches, until few are left or all are equal. Text is compared by 64-bit fingerprints of rolling hashes; two windows are only ever
 taken for equal if the fingerprints of the text after the trigger agree as well.
 
 Counting equal windows takes the place of the suffix array of the dictionary and that of the parse, of which there is none:
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm.common import MASK, mixed
+from maskwright.operators.skew import hot_split_join
 from maskwright.session import written
 
 GRAM = 16
@@ -169,10 +171,12 @@ def _cut_out(wanted: DataFrame, named: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _window_prints(data: bytes, lead: int, length: int) -> np.ndarray:
-    """Fingerprints of all windows of a phrase, each with its distance to the trigger."""
-    start = np.arange(len(data) - length + 1)
-    return mixed(Fingerprints(data).of(start, start + length) + (lead - start).astype(np.uint64))
+def _window_prints(data: bytes, lead: int, lo: int, hi: int, length: int) -> tuple[int, np.ndarray]:
+    """The first of a phrase's windows that begin `lo` to `hi` bytes before its trigger, and the fingerprints of these, each
+    with its distance to the trigger."""
+    begin = max(0, lead - hi)
+    start = np.arange(begin, min(len(data) - length, lead - lo) + 1)
+    return begin, mixed(Fingerprints(data).of(start, start + length) + (lead - start).astype(np.uint64))
 
 
 _STARTS = "k1 long, k2 long, begin int, end int"
@@ -186,18 +190,19 @@ def _starts_batch(k1: list, k2: list, begin: list, end: list) -> pa.RecordBatch:
 
 
 def _repeated_among(entries: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated window starts in phrases that occur once, found among all phrases with the same text behind."""
-    together = entries.repartition("behind").sortWithinPartitions("behind")
+    """Runs of repeated window starts in phrases that occur once, found among all phrases filed under one key."""
+    together = entries.repartition("key").sortWithinPartitions("key")
 
     def group(rows: list[tuple]) -> pa.RecordBatch | None:
         if len(rows) < 2:
             return None
-        prints = [_window_prints(data, lead, length) for _, _, _, _, lead, data in rows]
-        _, where, counts = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+        found = [_window_prints(data, lead, lo, hi, length) for lo, hi, _, _, _, _, lead, data in rows]
+        _, where, counts = np.unique(np.concatenate([p for _, p in found]), return_inverse=True, return_counts=True)
         repeated = counts[where] > 1
         made: tuple[list, list, list, list] = ([], [], [], [])
         at = 0
-        for (single, k1, k2, first, _, _), own in zip(rows, prints, strict=True):
+        for (_, _, single, k1, k2, first, _, _), (skipped, own) in zip(rows, found, strict=True):
+            first += skipped
             part = repeated[at : at + len(own)]
             at += len(own)
             if single and part.any():
@@ -210,45 +215,72 @@ def _repeated_among(entries: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
         for batch in batches:
-            for behind, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if behind != held:
+            for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != held:
                     if (made := group(rows)) is not None:
                         yield made
-                    held, rows = behind, []
+                    held, rows = key, []
                 rows.append(tuple(row))
         if (made := group(rows)) is not None:
             yield made
 
-    return together.select("behind", "single", "k1", "k2", "first", "lead", "data").mapInArrow(run, _STARTS)
+    return together.select(*_FILED).mapInArrow(run, _STARTS)
 
 
-def _repeated_of_hot(entries: DataFrame, length: int) -> DataFrame:
-    """The same for texts with so many phrases that they can't meet in one task: windows are counted one by one."""
+_FILED = ["key", "lo", "hi", "single", "k1", "k2", "first", "lead", "data"]
+_PLACE = ["k1", "k2", "first"]
+
+
+def _halved(entries: DataFrame, length: int) -> DataFrame:
+    """Each phrase under both halves of its range of distances, with `key`, the fingerprint of what all windows of a half cover,
+    and `full`, that of all that the phrase's own windows of it cover, which lie from `low` to `high`."""
+    schema = "key long, full long, low int, high int, lo int, hi int, single boolean, k1 long, k2 long, first int, lead int, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for behind, single, k1, k2, first, lead, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                prints = _window_prints(data, lead, length).view(np.int64)
-                n = len(prints)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([behind] * n, pa.int64()),
-                        pa.array(prints),
-                        pa.array([single] * n, pa.bool_()),
-                        pa.array([k1] * n, pa.int64()),
-                        pa.array([k2] * n, pa.int64()),
-                        pa.array(np.arange(first, first + n, dtype=np.int32)),
-                    ],
-                    names=["behind", "print", "single", "k1", "k2", "begin"],
-                )
-
-    schema = "behind long, print long, single boolean, k1 long, k2 long, begin int"
-    columns = ["behind", "single", "k1", "k2", "first", "lead", "data"]
-    windows = entries.select(*columns).mapInArrow(run, schema)
-    twice = windows.groupBy("behind", "print").count().filter("count > 1").select("behind", "print")
-    return windows.filter("single").join(twice, ["behind", "print"], "left_semi").select(
-        "k1", "k2", "begin", F.col("begin").alias("end")
-    )
+            rows = []
+            for _, lo, hi, single, k1, k2, first, lead, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                prints, middle = Fingerprints(data), (lo + hi) // 2
+                for a, b in ((lo, middle), (middle + 1, hi)):
+                    low, high = max(a, lead + length - len(data)), min(b, lead)
+                    if a > b or low > high:
+                        continue
+                    at = np.array([[lead - a, lead + length - b], [lead - high, lead + length - low]], np.int64)
+                    key, full = mixed(prints.of(at[:, 0], at[:, 1]) + np.array([a << 20 | b, low << 20 | high], np.uint64)).view(np.int64)
+                    rows.append((int(key), int(full), low, high, a, b, single, k1, k2, first, lead, data))
+            columns = zip(*rows, strict=True) if rows else [[]] * 12
+            types = [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.bool_()] + [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary()]
+            names = [f.split()[0] for f in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return entries.select(*_FILED).mapInArrow(run, schema)
+
+
+def _repeated_of_hot(entries: DataFrame, length: int, together: int) -> DataFrame:
+    """The same for keys with so many phrases that they can't meet in one task.
+
+    Their windows are told apart by how far before the trigger they begin, and the range of these distances is halved: all
+    windows of a half cover a longer stretch, which becomes the key. Phrases whose windows of a half are all equal have
+    repeated windows there; one of them goes on for the rest. So a passage that many phrases share is done with as soon as a
+    half lies in it, and only its two edges are halved further, down to one distance, where a key is a window.
+    """
+    starts = None
+    while not entries.isEmpty():
+        halves = written(_halved(entries, length), "halves")
+        one = F.min(F.struct(*_PLACE)).alias("one")
+        classes = written(halves.groupBy("key", "full").agg(F.count("*").alias("n"), one), "classes")
+        sizes = classes.groupBy("key").agg(F.count("*").alias("m"))
+        known = written(hot_split_join(halves, classes, ["key", "full"], _PLACE, "inner"), "halves-known")
+        first = F.col("first") + F.col("lead")
+        same = known.filter("n > 1 and single").select(
+            "k1", "k2", (first - F.col("high")).alias("begin"), (first - F.col("low")).alias("end")
+        )
+        going = known.filter(F.struct(*_PLACE) == F.col("one")).withColumn("single", F.expr("single and n = 1"))
+        going = written(hot_split_join(going.select(*_FILED), sizes.filter("m > 1"), ["key"], _PLACE, "inner"), "halves-going")
+        found = same.unionByName(_repeated_among(going.filter(F.col("m") <= together), length))
+        starts = found if starts is None else starts.unionByName(found)
+        entries = going.filter(F.col("m") > together)
+    return starts
 
 
 def remove_repeats(
@@ -277,12 +309,16 @@ def remove_repeats(
     whole = repeated.filter("n > 1").select("k1", "k2", F.col("first").alias("begin"), F.col("last").alias("end"))
     own = F.struct("k1", "k2", "at") == F.col("chosen")
     wanted = repeated.filter((F.col("distinct") > 1) & own).withColumn("single", F.col("n") == 1)
+
+    def filed(some: DataFrame) -> DataFrame:
+        """The phrases under the text behind their trigger, with all distances that windows may have to it."""
+        cut = _cut_out(some, named, length).withColumnRenamed("behind", "key")
+        return cut.withColumns({"lo": F.lit(0), "hi": F.lit(_reach(length) - 1)})
+
     hot = wanted.filter(F.col("distinct") > together)
-    starts = whole.unionByName(
-        _repeated_among(_cut_out(wanted.filter(F.col("distinct") <= together), named, length), length)
-    )
+    starts = whole.unionByName(_repeated_among(filed(wanted.filter(F.col("distinct") <= together)), length))
     if not hot.isEmpty():
-        starts = starts.unionByName(_repeated_of_hot(written(_cut_out(hot, named, length), "hot-phrases"), length))
+        starts = starts.unionByName(_repeated_of_hot(written(filed(hot), "hot-phrases"), length, together))
     lists = starts.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("starts"))
     joined = named.select(*keep, "k1", "k2", "__text").join(lists, ["k1", "k2"], "left").select(*keep, "__text", "starts")
     return _removed(joined, keep, length)
