@@ -78,6 +78,34 @@ def test_repeated_text(spark, together, length):
     assert got == dict(enumerate(brute.repeats(texts, length)))
 
 
+@pytest.mark.parametrize("together", [1000, 4])
+def test_planted_passages(spark, together):
+    """Passages just below, at and above the length, in many documents and in two; every planted byte that counts is found."""
+    draw = random.Random(together)
+
+    def noise(n):
+        return "".join(draw.choice("abcdefghij klm\n") for _ in range(n))
+
+    passages = {n: noise(n) for n in (399, 400, 401, 520, 1200)}
+    texts, planted = [], []
+    for n, passage in passages.items():
+        for i in range(40 if n > 400 else 6):
+            # the byte before a passage differs, so that it doesn't make the short one longer
+            before = noise(draw.randrange(60)) + "ABCDEF"[i % 6]
+            # half of them have the same few bytes around the passage, so that phrases agree to different depths
+            edge = "" if n < 400 else draw.choice(["", "same edge ", "the same edge "])
+            texts.append(before + edge + passage + edge[::-1] + "UVWXYZ"[i % 6] + noise(draw.randrange(60)))
+            planted.append((n, before + edge, passage))
+    found = repeated_text.remove_repeats(frame(spark, texts), ["doc_id"], together=together).collect()
+    got = {r.doc_id: (r.n_bytes, len(r.begins), bytes(r.kept)) for r in found}
+    assert got == dict(enumerate(brute.repeats(texts, 400)))
+    for r in found:
+        n, before, passage = planted[r.doc_id]
+        assert (passage.encode() in bytes(r.kept)) == (n < 400)
+        if n >= 400:
+            assert any(a <= len(before) and b >= len(before) + n for a, b in zip(r.begins, r.ends, strict=True))
+
+
 def test_benchmark_items(spark, odd_texts):
     items = [(1, odd_texts[6]), (2, "ONE two"), (3, ""), (4, None), (5, odd_texts[7]), (6, odd_texts[7])]
     bench = spark.createDataFrame(items, "item_id long, text string")
