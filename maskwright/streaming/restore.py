@@ -21,7 +21,9 @@ from maskwright.operators.skew import running_total
 from maskwright.session import ROCKSDB, scratch_scope, written
 
 _OPEN_TAIL = re.compile(r"\[[A-Z0-9_]*\Z")
+_PLACEHOLDER = re.compile(PLACEHOLDER_PATTERN)
 TTL_MS = 600_000
+KEEP_MS = 24 * 3600 * 1000
 PIECES = "session_id string, seq bigint, piece string"
 
 
@@ -39,92 +41,185 @@ def _text(data: object) -> str:
 
 
 class WholePlaceholders(StatefulProcessor):
-    """Per session: the next chunk number, the text held back, and chunks that came too early."""
+    """Per session: the next chunk number, the text held back, chunks that came too early, and the numbers given up on.
 
-    def __init__(self, longest: int | None, ttl_ms: int | None):
+    The place stays when a session ends or falls silent, so that a chunk that is sent again is known, one that comes late
+    leaves at once, and one that goes on goes on. With `keep_ms` the state of a session that is not heard of goes by itself.
+    """
+
+    def __init__(self, longest: int | None, ttl_ms: int | None, keep_ms: int | None = None):
         self.longest = longest
         self.ttl_ms = ttl_ms
+        self.keep_ms = None if ttl_ms is None else keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next bigint, held string, expires bigint")
-        self.early = handle.getMapState("early", "seq bigint", "data string, eof boolean")
+        self.place = handle.getValueState("place", "next bigint, held string, expires bigint", self.keep_ms)
+        self.early = handle.getMapState("early", "seq bigint", "data string, eof boolean", self.keep_ms)
+        self.missing = handle.getMapState("missing", "seq bigint", "open boolean", self.keep_ms)
+
+    def whole(self, text: str) -> str:
+        """What leaves for a text that holds only whole placeholders."""
+        return text
 
     def handleInputRows(  # noqa: N802
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues  # noqa: N803
     ) -> Iterator[pd.DataFrame]:
         at, held, expires = self.place.get() if self.place.exists() else (0, "", 0)
-        out, done = [], False
+        out, ended = [], False
 
         def take(data: str, eof: bool) -> None:
-            nonlocal at, held, done
+            nonlocal at, held, ended
             ready, held = (held + data, "") if eof else split_held(held + data, self.longest)
-            out.append((key[0], at, ready))
-            at, done = at + 1, eof
+            out.append((key[0], at, self.whole(ready)))
+            at, ended = at + 1, eof
 
         for batch in rows:
             for seq, data, eof in sorted(zip(batch["seq"], map(_text, batch["data"]), batch["eof"].fillna(False), strict=True)):
-                if seq == at and not done:
+                if seq == at:
                     take(data, bool(eof))
                 elif seq > at:
                     self.early.updateValue((int(seq),), (data, bool(eof)))
-            while not done and self.early.containsKey((at,)):
+                elif self.missing.containsKey((int(seq),)):
+                    self.missing.removeKey((int(seq),))
+                    out.append((key[0], int(seq), self.whole(data)))
+            while self.early.containsKey((at,)):
                 waiting = self.early.getValue((at,))
                 self.early.removeKey((at,))
                 take(*waiting)
             yield self._rows(out)
             out.clear()
-        if done:
-            if expires:
-                self.handle.deleteTimer(expires)
-            self.place.clear()
-            self.early.clear()
-        else:
-            self._keep_alive(at, held, expires, timerValues)
+        self._keep(at, held, expires, timerValues, ended and not held)
 
     @staticmethod
     def _rows(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["session_id", "seq", "piece"])
 
-    def _keep_alive(self, at: int, held: str, expires: int, timerValues: TimerValues) -> None:
+    def _keep(self, at: int, held: str, expires: int, timerValues: TimerValues, quiet: bool) -> None:
+        """The place, with a timer unless nothing can come of one."""
         if self.ttl_ms is None:
             self.place.update((at, held, 0))
             return
-        now = timerValues.getCurrentProcessingTimeInMs()
         if expires:
             self.handle.deleteTimer(expires)
-        self.handle.registerTimer(now + self.ttl_ms)
-        self.place.update((at, held, now + self.ttl_ms))
+        soon = 0
+        if not quiet or next(iter(self.early.keys()), None) is not None:
+            soon = timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms
+            self.handle.registerTimer(soon)
+        self.place.update((at, held, soon))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """A session that fell silent gives up what it holds, early chunks in their order."""
+        """A session that fell silent gives up what it holds and waits for: early chunks leave in their order, each under its
+        own number, and the numbers between them are written down as missing."""
         at, held, _ = self.place.get() if self.place.exists() else (0, "", 0)
-        rest = sorted((k[0], v[0]) for k, v in self.early.iterator())
-        text = held + "".join(data for _, data in rest)
-        self.place.clear()
+        out = []
+        for seq, (data, eof) in sorted((k[0], v) for k, v in self.early.iterator()):
+            if seq > at:
+                if held:
+                    out.append((key[0], at, self.whole(held)))
+                for number in range(at, seq):
+                    self.missing.updateValue((number,), (True,))
+                held = ""
+            ready, held = (held + data, "") if eof else split_held(held + data, self.longest)
+            out.append((key[0], seq, self.whole(ready)))
+            at = seq + 1
+        if held:
+            out.append((key[0], at, self.whole(held)))
         self.early.clear()
-        seq = at if held or not rest else rest[0][0]
-        yield self._rows([(key[0], seq, text)] if text else [])
+        self.place.update((at, "", 0))
+        yield self._rows(out)
 
     def close(self) -> None:
         pass
 
 
-def whole_placeholders(chunks: DataFrame, longest: int | None = None, ttl_ms: int | None = TTL_MS) -> DataFrame:
-    """Stream of pieces without cut placeholders, from a stream of (session_id, seq, data, eof).
+class RestoredSessions(WholePlaceholders):
+    """The same with the mappings of each session in its state, where they are looked up when a text leaves.
 
-    What is held back has the shape of a placeholder's beginning; `longest` bounds it where the names are known. A
-    session that stays silent for `ttl_ms` is flushed; with None it waits for its last chunk.
+    They come as the initial state, or among the input rows as `placeholder` and `original`; those of a batch count for
+    all of its chunks.
     """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.known = handle.getMapState("known", "placeholder string", "original string", self.keep_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
+        for placeholder, original in zip(initialState["placeholder"], initialState["original"], strict=True):
+            self._learn(placeholder, original)
+
+    def _learn(self, placeholder: object, original: object) -> None:
+        if isinstance(placeholder, str) and isinstance(original, str):
+            self.known.updateValue((placeholder,), (original,))
+
+    def _original(self, hit: re.Match) -> str:
+        found = (hit.group(),)
+        return self.known.getValue(found)[0] if self.known.containsKey(found) else hit.group()
+
+    def whole(self, text: str) -> str:
+        return _PLACEHOLDER.sub(self._original, text) if "[" in text else text
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # Mappings may stand behind the chunks of their batch, so chunks wait in the state until all rows were seen.
+        mixed, at = False, self.place.get()[0] if self.place.exists() else 0
+
+        def chunks() -> Iterator[pd.DataFrame]:
+            nonlocal mixed
+            for batch in rows:
+                if "placeholder" not in batch:
+                    yield batch
+                    continue
+                mixed = True
+                named = batch["placeholder"].notna()
+                for placeholder, original in zip(batch["placeholder"][named], batch["original"][named], strict=True):
+                    self._learn(placeholder, original)
+                late = batch[~named & (batch["seq"] < at)]
+                waiting.append(late[["seq", "data", "eof"]])
+                ahead = batch[~named & (batch["seq"] >= at)]
+                for seq, data, eof in zip(ahead["seq"], map(_text, ahead["data"]), ahead["eof"].fillna(False), strict=True):
+                    self.early.updateValue((int(seq),), (data, bool(eof)))
+            if mixed:
+                yield pd.concat(waiting)
+
+        waiting: list[pd.DataFrame] = []
+        yield from super().handleInputRows(key, chunks(), timerValues)
+
+
+def _sessions(chunks: DataFrame, ttl_ms: int | None, processor: StatefulProcessor, known: DataFrame | None = None) -> DataFrame:
     chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return chunks.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=WholePlaceholders(longest, ttl_ms),
+        statefulProcessor=processor,
         outputStructType=PIECES,
         outputMode="append",
         timeMode="none" if ttl_ms is None else "processingtime",
+        initialState=None if known is None else known.groupBy("session_id"),
     )
 
 
+def whole_placeholders(
+    chunks: DataFrame, longest: int | None = None, ttl_ms: int | None = TTL_MS, keep_ms: int = KEEP_MS
+) -> DataFrame:
+    """Stream of pieces without cut placeholders, from a stream of (session_id, seq, data, eof).
+
+    What is held back has the shape of a placeholder's beginning; `longest` bounds it where the names are known. A
+    session that stays silent for `ttl_ms` is flushed; with None it waits for its last chunk. Its place is kept for `keep_ms`.
+    """
+    return _sessions(chunks, ttl_ms, WholePlaceholders(longest, ttl_ms, keep_ms))
+
+
+def restored_sessions(
+    chunks: DataFrame, mappings: DataFrame, ttl_ms: int | None = TTL_MS, keep_ms: int = KEEP_MS
+) -> DataFrame:
+    """Stream of restored pieces (session_id, seq, piece). `mappings` is a table, read once when the stream first starts, or a
+    stream, whose rows count from their batch on, for `keep_ms` after they came."""
+    processor = RestoredSessions(None, ttl_ms, keep_ms)
+    named = mappings.select(F.col("session_id").cast("string"), "placeholder", "original")
+    if not mappings.isStreaming:
+        return _sessions(chunks, ttl_ms, processor, named)
+    both = chunks.select("session_id", "seq", "data", "eof").unionByName(named, allowMissingColumns=True)
+    return _sessions(both, ttl_ms, processor)
+
+
 def longest_placeholder(mappings: DataFrame) -> int:
     return mappings.agg(F.max(F.char_length("placeholder"))).first()[0] or 0
 
@@ -146,18 +241,22 @@ def restore_stream(
 ) -> StreamingQuery:
     """Restore a stream of chunks and append (session_id, seq, data) to a Parquet folder.
 
-    The state holds a few characters per session; the mappings stay a table and are joined batch by batch. Where they
-    grow while the stream runs, give a function: it opens the table for every batch, so a mapping counts from the batch
-    after it was written. A run over what is available now sets no timers, which would keep it from ending; open
-    sessions wait for the next.
+    `mappings` may be a table, which becomes the state of the sessions once, when the stream first starts; a stream, whose
+    rows go to the state of their session and count from their batch on; or a function that opens a table, which is read
+    and joined for every batch. A run over what is available now sets no timers, which would keep it from ending; open
+    sessions wait for the next. Rows of one number are in order of their batch: text that was held back at a silence, then
+    a chunk that came after it.
     """
-    pieces = whole_placeholders(chunks, ttl_ms=None if available_now else ttl_ms)
+    ttl_ms = None if available_now else ttl_ms
+    joined = callable(mappings)
+    pieces = whole_placeholders(chunks, ttl_ms=ttl_ms) if joined else restored_sessions(chunks, mappings, ttl_ms)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = mappings() if callable(mappings) else mappings
         with scratch_scope(batch.sparkSession):
             # The stateful step runs once; everything after it reads what it left.
-            restored = restore_pieces(written(batch, "pieces"), known)
+            restored = (
+                restore_pieces(written(batch, "pieces"), mappings()) if joined else batch.withColumnRenamed("piece", "data")
+            )
             # One folder per batch: a batch that is run again replaces what it wrote before.
             restored.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 

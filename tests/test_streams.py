@@ -108,6 +108,79 @@ def test_mappings_that_arrive_while_the_stream_runs(spark, tmp_path):
     assert joined(spark.read.parquet(out).collect(), "seq") == {"s": "to a@x.com done"}
 
 
+def told(path):
+    """The rows of every batch so far, by number and then by batch."""
+    import pyarrow.parquet as pq
+
+    rows = []
+    for folder in Path(path).glob("batch_id=*"):
+        for file in folder.glob("*.parquet"):
+            table = pq.read_table(file, partitioning=None).to_pylist()
+            rows += [(r["seq"], int(folder.name.split("=")[1]), r["data"]) for r in table if r["data"]]
+    return [(seq, data) for seq, _, data in sorted(rows)]
+
+
+def wait_for(path, n, seconds=90):
+    for _ in range(seconds * 2):
+        if len(told(path)) >= n:
+            break
+        time.sleep(0.5)
+    return told(path)
+
+
+def test_late_repeated_and_following_chunks_after_a_silence_and_an_end(spark, tmp_path):
+    """Each chunk leaves once, restored, as soon as its turn has come or passed."""
+    known = spark.createDataFrame([("s", "[EMAIL_1]", "a@x.com")], "session_id string, placeholder string, original string")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([], CHUNKS).write.json(source)
+
+    def send(*rows):
+        spark.createDataFrame([("s", *r) for r in rows], CHUNKS).coalesce(1).write.mode("append").json(source)
+
+    stream = spark.readStream.schema(CHUNKS).json(source)
+    query = restore_stream(stream, known, out, str(tmp_path / "cp"), ttl_ms=4000)
+    try:
+        send((0, "to [EMAIL_1] and [EM", False), (3, " three [EMAIL_", False), (4, "1] four [X", False))
+        flushed = [(0, "to a@x.com and "), (1, "[EM"), (3, " three "), (4, "a@x.com four "), (5, "[X")]
+        assert wait_for(out, 5) == flushed
+        send((2, "two [EMAIL_1]", False), (0, "again", False), (3, "again", False))
+        assert wait_for(out, 6) == [*flushed[:2], (2, "two a@x.com"), *flushed[2:]]
+        # what goes on goes on at once, and an end isn't the end of the session's place
+        start = time.perf_counter()
+        send((5, "five [EMAIL_1]", True))
+        assert wait_for(out, 7)[-1] == (5, "five a@x.com")
+        send((5, "five again", True), (2, "two again", False), (1, "AIL_1] late", False))
+        assert wait_for(out, 8)[2] == (1, "AIL_1] late")
+        send((6, "after the end [EMAIL_1]", False), (5, "five again", True))
+        assert wait_for(out, 9)[-1] == (6, "after the end a@x.com")
+        assert time.perf_counter() - start < 60
+        time.sleep(6)
+        assert len(told(out)) == 9
+    finally:
+        query.stop()
+
+
+def test_mappings_as_a_stream(spark, tmp_path):
+    """Mappings go to the state of their session: they count for the chunks of their batch and of later ones."""
+    schema = "session_id string, placeholder string, original string"
+    mappings, chunks, whole = sessions(9)
+    extra = [("new", "[EMAIL_1]", "n@x.com"), ("new", None, "x"), (None, "[EMAIL_1]", "none@x.com")]
+    spark.createDataFrame(mappings + extra, schema).repartition(3).write.json(str(tmp_path / "known"))
+    rows = [*chunks, ("new", 1, "IL_1] [EMAIL_2]", True), ("new", 0, "a [EMA", False)]
+    spark.createDataFrame(rows, CHUNKS).repartition(2).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(CHUNKS).json(str(tmp_path / "in"))
+    known = spark.readStream.schema(schema).json(str(tmp_path / "known"))
+    out = str(tmp_path / "out")
+    restore_stream(stream, known, out, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    expected = {**whole, "new": "a n@x.com [EMAIL_2]"}
+    assert joined(spark.read.parquet(out).collect(), "seq") == expected
+    # the next run knows them from its state
+    spark.createDataFrame([("new", 2, " and [EMAIL_1]", True)], CHUNKS).write.mode("append").json(str(tmp_path / "in"))
+    restore_stream(stream, known, out, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    expected["new"] += " and n@x.com"
+    assert joined(spark.read.parquet(out).collect(), "seq") == expected
+
+
 def scratch_folder(spark):
     written(spark.range(1), "probe")
     return Path(spark.conf.get("spark.checkpoint.dir")) / "maskwright"
@@ -165,6 +238,7 @@ def test_requests_as_a_stream(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
     out = str(tmp_path / "out")
+    before = set(scratch_folder(spark).glob("requests-*"))
     sanitize_stream(stream, out, str(tmp_path / "cp"), available_now=True).awaitTermination()
     masked = {r["request_id"]: r["masked"] for r in spark.read.parquet(f"{out}/masked").collect()}
     assert masked == {**dict.fromkeys(range(3), body.replace("a@x.com", "[EMAIL_1]")), 3: "b@x.com"}
@@ -174,7 +248,7 @@ def test_requests_as_a_stream(spark, tmp_path):
     assert audit.filter("sanitized").count() == 3
     assert audit.filter(F.to_json(F.struct("*")).contains("@x.com")).count() == 0
     assert {p.name for p in (tmp_path / "out").iterdir()} == {"masked", "mappings", "audit"}
-    assert not list(scratch_folder(spark).glob("requests-*"))
+    assert set(scratch_folder(spark).glob("requests-*")) == before
 
 
 def test_followed_log_is_counted_by_minute(spark, tmp_path):
