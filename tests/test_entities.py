@@ -2,12 +2,16 @@
 
 import json
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions.labels import ner_type
 from maskwright.functions.numbers import share_steps, softmax
+from maskwright.functions.wordtrie import PieceTrie
+from maskwright.operators import wordpiece as wordpieces
 from maskwright.operators.entities import decode_labels, hybrid_detect, merge_bio, ner_gate, words_with_offsets
 from maskwright.operators.wordpiece import encode_corpus, wordpiece
 from maskwright.sources.model_files import load_labels, load_vocab
@@ -137,3 +141,57 @@ def test_hybrid_masks_entities_and_mail(spark):
         ("email", "john@x.com", "regex"),
     ]
     assert rows[1].spans == [] and rows[2].spans == []
+
+
+def plain_cut(word, pieces):
+    """The longest known piece each time, by trying all lengths."""
+    at, ids = 0, []
+    while at < len(word):
+        marked = ["##" * (at > 0) + word[at:end] for end in range(len(word), at, -1)]
+        best = next((m for m in marked if m in pieces), None)
+        if best is None:
+            return None
+        ids.append(pieces[best])
+        at += len(best) - 2 * (at > 0)
+    return ids or None
+
+
+def test_trie_against_all_lengths():
+    draw = random.Random(2)
+    for _ in range(60):
+        pieces = {}
+        while len(pieces) < draw.randrange(2, 40):
+            piece = "".join(draw.choice("abé#") for _ in range(draw.randrange(1, 6)))
+            pieces[draw.choice(["", "##"]) + piece] = len(pieces) + 1
+        trie = PieceTrie(pieces)
+        for _ in range(150):
+            word = "".join(draw.choice("abé#x" if draw.random() < 0.1 else "abé") for _ in range(draw.randrange(12)))
+            assert trie.cut(word) == plain_cut(word, pieces), (word, pieces)
+
+
+def test_a_word_of_a_megabyte_costs_in_proportion(spark):
+    names = ["[UNK]", "[CLS]", "[SEP]", "a", "##a", "##" + "a" * 50 + "b"]
+    vocab = spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "piece string, id int")
+    for tail, size, last in (("", 1_000_000, 5), ("b", 999_951, 6), ("x", 1, 1)):
+        start = time.perf_counter()
+        (row,) = wordpiece(spark.createDataFrame([("a" * 1_000_000 + tail,)], "word string"), vocab).collect()
+        assert time.perf_counter() - start < 30
+        assert len(row.pieces) == size and row.pieces[-1] == last
+
+
+def test_joined_vocabulary_gives_the_same(spark, vocab, monkeypatch):
+    texts = ["John unhappiness", "", None, "hello works smithjohn é un" + "happiness" * 3, "hello " * 50, "John unhappiness"]
+    df = docs(spark, *texts)
+    words = spark.createDataFrame([(w,) for w in ("John", "john", "unhappiness", "x", "", None, "un" * 60)], "word string")
+    columns = ["doc_id", "input_ids", "word_index", "attention_mask", "token_type_ids"]
+    runs = []
+    for bound in (500_000, 0):
+        monkeypatch.setattr(wordpieces, "MAX_BROADCAST_PIECES", bound)
+        encoded = encode_corpus(df, vocab)
+        if bound:
+            assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+        rows = [sorted(map(tuple, encode_corpus(df, vocab, max_sequence=n).select(columns).collect()), key=repr) for n in (None, 5)]
+        cut = [sorted(map(tuple, wordpiece(words, vocab, max_length=n).collect()), key=repr) for n in (None, 100)]
+        runs.append((rows, cut, sorted(map(tuple, encoded.select(columns).collect()), key=repr)))
+    assert runs[0] == runs[1]
+    assert len(runs[0][2]) == len(texts)
