@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from maskwright.llm.common import row_map
 
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 OVERLAP = 256
 SPACE = "▁"
 MARK = SPACE.encode()
@@ -32,10 +32,11 @@ class PieceCounter:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.stable = not any(SPACE in p.lstrip(SPACE) for p in pieces)
 
-    def count(self, text: str | None) -> int:
+    def count(self, text: str | None) -> tuple[int, int]:
+        """The number of pieces, and at how many places chunks were spliced for it."""
         text = text or ""
         if len(text) <= 2 * self.chunk or not self.stable:
-            return len(self.model.encode(text))
+            return len(self.model.encode(text)), 0
         return self._spliced(text.encode("utf-8", "replace"))
 
     def _starts(self, data: bytes, begin: int, end: int) -> np.ndarray:
@@ -43,9 +44,9 @@ class PieceCounter:
         proto = self.model.encode(data[begin:end].decode("utf-8"), return_type="proto")
         return np.array([p.begin for p in proto.pieces], np.int64) + begin
 
-    def _spliced(self, data: bytes) -> int:
+    def _spliced(self, data: bytes) -> tuple[int, int]:
         """Pieces of the whole text, counted up to the last splice `at`; the rest of the chunk there is `left`."""
-        n, total, begin, at = len(data), 0, 0, 0
+        n, total, begin, at, splices = len(data), 0, 0, 0, 0
         end, wide = _character(data, self.chunk), self.overlap
         left = self._starts(data, 0, end)
         while end < n:
@@ -55,13 +56,14 @@ class PieceCounter:
             place = self._common(data, left, right, following, end)
             if place is not None:
                 total += int(((left >= at) & (left < place)).sum())
+                splices += 1
                 begin, end, at, left, wide = following, until, place, right, self.overlap
             elif following > at:
                 wide *= 2
             else:  # the overlap reaches back to the last splice: take in more text on the right
                 end = _character(data, min(n, end + (end - begin)))
                 left, wide = self._starts(data, begin, end), self.overlap
-        return total + int((left >= at).sum())
+        return total + int((left >= at).sum()), splices
 
     @staticmethod
     def _common(data: bytes, left: np.ndarray, right: np.ndarray, low: int, high: int) -> int | None:
@@ -86,7 +88,8 @@ def loaded(path: str, chunk: int, overlap: int) -> PieceCounter:
 def count_tokens(
     df: DataFrame, path: str, limit: int, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> DataFrame:
-    """Replaces the text by `n_bytes`, `n_tokens` and `over_limit` (more than `limit` tokens); one row for each row.
+    """Replaces the text by `n_bytes`, `n_tokens`, `over_limit` (more than `limit` tokens) and `n_splices`, at how many places
+    chunks were joined (0 for a text of at most two chunks); one row for each row.
 
     NULL counts as empty: no bytes, no tokens. Repeated rows stay; an empty table gives an empty one; other columns are
     kept, those with the names of the results replaced.
@@ -96,9 +99,9 @@ def count_tokens(
         counter = loaded(path, chunk, overlap)
 
         def one(value):
-            n = counter.count(value)
-            return len((value or "").encode("utf-8", "replace")), n, n > limit
+            n, splices = counter.count(value)
+            return len((value or "").encode("utf-8", "replace")), n, n > limit, splices
 
         return one
 
-    return row_map(df, text, "n_bytes long, n_tokens long, over_limit boolean", make)
+    return row_map(df, text, "n_bytes long, n_tokens long, over_limit boolean, n_splices long", make)
