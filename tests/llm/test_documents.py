@@ -246,3 +246,17 @@ def test_counts_of_spliced_chunks(spark, odd_texts):
         text = texts[r.doc_id] or ""
         n = len(model.encode(text))
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 100)
+    assert token_counts.count_tokens(frame(spark, ["a"]).limit(0), PIECES, 100).count() == 0
+
+
+def test_documents_of_the_table_are_spliced(spark):
+    """With the chunk as it is, and ten times as many of them with a small one; both as the library counts."""
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    long = [(r.doc_id, r.text) for r in rows if r.text and len(r.text) > 3000]
+    df = spark.createDataFrame(long, "doc_id long, text string").repartition(4)
+    expected = {i: len(model.encode(t)) for i, t in long}
+    for chunk, least in ((token_counts.CHUNK, 5), (512, 500)):
+        found = token_counts.count_tokens(df, PIECES, 4096, chunk=chunk).collect()
+        assert {r.doc_id: r.n_tokens for r in found} == expected
+        assert sum(r.n_splices for r in found) >= least
