@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.labels import masked_label, unique_types
-from maskwright.operators import stats, traffic
+from maskwright.operators import sketches, stats, traffic
 from maskwright.plans import tables
-from maskwright.session import scratch_dir
+from maskwright.session import scratch_dir, written
 from maskwright.sources.appended import store_of
 from maskwright.sources.audit import audit_tail, follow_appended, follow_audit, read_audit, write_audit
 from maskwright.streaming.stats import watch_counts, watch_stats
@@ -285,6 +285,38 @@ def stats_json(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PROBABILITIES = [0.5, 0.95, 0.99]
+
+
+def _sketched(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The log, and its sketches by minute, written and merged first by hour and then into one row."""
+    log = tables.audit(spark, folder)
+    minutes = written(sketches.minute_sketches(log), "minute-sketches")
+    hours = sketches.merge_sketches(minutes.withColumn("hour", F.date_trunc("hour", "minute")), ["hour"])
+    return log, sketches.merge_sketches(written(hours, "hour-sketches"))
+
+
+def latency_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each latency the quantiles of merged sketches: how many values, and whether the rank lies in the stated bounds.
+
+    The exact rank of an answer is the share of the log's values below it, or up to it.
+    """
+    log, merged = _sketched(spark, folder)
+    found = F.broadcast(sketches.quantiles(merged, PROBABILITIES))
+    columns = F.array(*[F.struct(F.lit(n).alias("what"), F.col(c).alias("v")) for n, c in sketches.LATENCIES.items()])
+    values = log.select(F.explode(columns).alias("x")).select("x.*").filter("v > 0")
+    ranks = values.join(found, "what").groupBy("what", "p", "n").agg(
+        F.avg((F.col("v") < F.col("value")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("value")).cast("int")).alias("upto")
+    )
+    error = sketches.rank_error()
+    within = (F.col("below") <= F.col("p") + error) & (F.col("upto") >= F.col("p") - error)
+    return ranks.select("what", "p", "n", within.alias("within"))
+
+
+def frequent_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.frequent_hosts(_sketched(spark, folder)[1], 5)
+
+
 def trace_durations(spark: SparkSession, folder: str) -> DataFrame:
     timed = traffic.trace_durations(tables.traces(spark, folder))
     return timed.select("id", *[c for c in timed.columns if c.endswith("_us")])
@@ -337,6 +369,8 @@ QUERIES = {
     "type_share": type_share,
     "stats_snapshot": stats_snapshot,
     "stats_json": stats_json,
+    "latency_quantiles": latency_quantiles,
+    "frequent_hosts": frequent_hosts,
     "trace_durations": trace_durations,
     "trace_sample": trace_sample,
 }
@@ -376,6 +410,12 @@ ORACLES = {
     "stats_latency": "SELECT "
     + ", ".join(_AVG(f"{n}_latency_ms", f"{n}_ms") for n in ("sanitize", "upstream", "total"))
     + f" FROM ({tables.AUDIT_SQL})",
+    "latency_quantiles": " UNION ALL ".join(
+        f"SELECT '{n}' AS what, unnest({PROBABILITIES})::DOUBLE AS p, count(*) AS n, true AS within FROM ({tables.AUDIT_SQL}) WHERE {c} > 0"
+        for n, c in sketches.LATENCIES.items()
+    ),
+    "frequent_hosts": f"SELECT trim(host) AS host, count(*) AS n FROM ({tables.AUDIT_SQL}) WHERE trim(host) <> '' "
+    "GROUP BY 1 ORDER BY n DESC, host LIMIT 5",
     "stats_last5": _LAST5,
     "stats_rate": f"SELECT sum(n) / 5.0::DOUBLE AS per_minute FROM ({_LAST5})",
     "stats_top_domains": _TOP,

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.hosts import classify_host, connect_target, normalize_host
 from maskwright.functions.labels import masked_counts, masked_label, unique_types
-from maskwright.operators import stats, traffic
+from maskwright.operators import sketches, stats, traffic
 from maskwright.operators.policy import evaluate_policy, intercept_scope
+from maskwright.session import written
 from maskwright.sources.audit import AUDIT_SCHEMA, read_audit, rfc3339, write_audit, write_report
 from maskwright.sources.rules import load_rules
 
@@ -233,3 +235,38 @@ def test_audit_rows_hold_no_originals(spark):
     row = traffic.audit_record(df).first()
     assert row["reason"] == "default allow (default)" and row["sanitized"]
     assert "a@x.com" not in str(row)
+
+
+def test_sketches_merge_as_if_they_had_seen_everything(spark):
+    """Quantiles and frequent hosts of minutes merged in two steps, against sorting and counting, with skewed hosts."""
+    draw = random.Random(12)
+    rows, values, hosts = [], [], []
+    for i in range(20_000):
+        value = draw.choice([draw.expovariate(1 / 200), 5.0, 0.0, None])
+        host = draw.choice(["big.example", " big.example", f"h{int(draw.expovariate(1 / 6))}", "", None])
+        rows.append((f"2024-01-01T0{i // 60 % 3}:{i % 60:02}:10Z" if i % 100 else "no time", host, value))
+        if i % 100:
+            values.append(value)
+            hosts.append((host or "").strip())
+    log = spark.createDataFrame(rows, "timestamp string, host string, total_latency_ms double").repartition(5)
+    log = log.withColumns({c: F.lit(0.0) for c in ("sanitize_latency_ms", "upstream_latency_ms")})
+    minutes = written(sketches.minute_sketches(log), "test-sketches")
+    assert minutes.count() == 180 and minutes.agg(F.sum("requests")).first()[0] == len(values)
+    hours = sketches.merge_sketches(minutes.withColumn("hour", F.date_trunc("hour", "minute")), ["hour"])
+    assert hours.count() == 3
+    merged = sketches.merge_sketches(hours)
+    known = sorted(v for v in values if v)
+    found = sketches.quantiles(merged, [0.0, 0.5, 0.9, 0.99, 1.0]).collect()
+    assert {r.what for r in found} == {"total_ms"} and len(found) == 5
+    for r in found:
+        below, upto = sum(v < r.value for v in known) / len(known), sum(v <= r.value for v in known) / len(known)
+        assert r.n == len(known) and below <= r.p + sketches.rank_error() and upto >= r.p - sketches.rank_error()
+    counts = sorted(Counter(h for h in hosts if h).items(), key=lambda x: (-x[1], x[0]))
+    assert [tuple(r) for r in sketches.frequent_hosts(merged, 7).orderBy(F.desc("n"), "host").collect()] == counts[:7]
+    # too few places for all hosts: the frequent ones stay, and no count is too high or far too low
+    small = sketches.merge_sketches(sketches.minute_sketches(log, tracked=64), tracked=64)
+    exact = dict(counts)
+    for r in sketches.frequent_hosts(small, 3).collect():
+        assert exact[r.host] - len(values) / 64 <= r.n <= exact[r.host]
+    none = sketches.merge_sketches(sketches.minute_sketches(log.limit(0)))
+    assert sketches.quantiles(none, [0.5]).count() == 0 and sketches.frequent_hosts(none, 3).count() == 0
