@@ -86,12 +86,13 @@ def restore(
 
     `key` is unique per response, `(session, placeholder)` per mapping, `enabled` a condition on the response.
     Only places travel to the mappings, by way of a table in the scratch folder; a response meets its own
-    originals again by `key`. One pass per text, so
-    an original that looks like a placeholder stays as it is, and so does a placeholder without a mapping.
+    originals again by `key`. A response without a bracket, or that is not to be restored, stays where it is. One pass
+    per text, so an original that looks like a placeholder stays as it is, and so does a placeholder without a mapping.
+    `responses` is read for each of these steps, so what is costly to compute should be a written table.
     """
-    active = f"coalesce({enabled}, false)"
+    active = F.expr(f"coalesce({enabled}, false) and coalesce(contains({text}, '['), false)")
     asked = written(
-        responses.filter(F.expr(f"{active} and contains({text}, '[')"))
+        responses.filter(active)
         .select(key, session, F.posexplode_outer(F.expr(placeholders_in(text))).alias("pos", "placeholder"))
         .filter(F.col("placeholder").isNotNull()),
         "asked",
@@ -101,11 +102,13 @@ def restore(
     value = F.coalesce("original", "placeholder").alias("value")
     originals = answered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", value))).alias("__found"))
     values = originals.select(key, F.expr("transform(__found, f -> f.value)").alias("__values"))
-    return (
-        responses.join(values, key, "left")
+    filled = (
+        responses.filter(active)
+        .join(values, key, "left")
         .withColumn(into, F.expr(f"if(__values is null, {text}, {put_back(text, '__values')})"))
         .drop("__values")
     )
+    return responses.filter(~active).withColumn(into, F.expr(text)).select(filled.columns).unionByName(filled)
 
 
 def number_placeholders(

@@ -326,3 +326,18 @@ def test_hopeless_stretches_hide_no_match(spark):
         for row in df.select("i", F.expr(det.find_spans("t", [kind])).alias("s")).collect():
             expected = [(m.start(), m.end()) for m in re.finditer(pattern, texts[row.i])]
             assert [(s.start, s.end) for s in row.s] == expected, texts[row.i]
+
+
+def test_texts_without_placeholders_stay_where_they_are(spark):
+    rows = [(1, "s", "to [EMAIL_1]"), (2, "s", "nothing here"), (3, "s", None), (4, "t", "[EMAIL_1] of another"), (5, "s", "[off EMAIL_1]")]
+    df = spark.createDataFrame(rows, "id long, session string, text string")
+    known = spark.createDataFrame([("s", "[EMAIL_1]", "a@x.com")], "session string, placeholder string, original string")
+    done = restore(df, known, "id", "session", enabled="id <> 1 or id = 1")
+    assert {r.id: r.restored for r in done.collect()} == {**{i: t for i, _, t in rows}, 1: "to a@x.com"}
+    off = restore(df, known, "id", "session", enabled="id > 1")
+    assert {r.id: r.restored for r in off.collect()} == {i: t for i, _, t in rows}
+    assert off.columns == [*df.columns, "restored"]
+    plan = done._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union"
+    stay = plan.children().apply(0).toString()
+    assert "Join" not in stay and "Aggregate" not in stay and "Join" in plan.children().apply(1).toString()
