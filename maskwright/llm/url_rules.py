@@ -11,9 +11,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from maskwright.operators.skew import broadcast_if_small
+
 BROADCAST_RULES = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -50,6 +52,41 @@ def _tokens(pattern: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+_LITERAL = "(?<=[^A-Za-z0-9*])[A-Za-z0-9]+(?=[^A-Za-z0-9*])"
+_FILED = "rule_id", "tokens", "action", "regex", "name", "size"
+
+
+def _listed(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """A list of rules as a table of literals."""
+    each = [
+        F.struct(*[F.lit(x).alias(n) for n, x in zip(_FILED, (i, list(r.tokens), r.action, r.regex, r.name, r.size), strict=True)])
+        for i, r in enumerate(rules)
+    ]
+    empty = F.expr("cast(array() as array<struct<rule_id:int,tokens:array<string>,action:string,regex:string,name:string,size:int>>)")
+    return spark.range(1).select(F.inline(F.array(*each) if each else empty))
+
+
+def _of_table(rules: DataFrame) -> DataFrame:
+    """Rules (`action`, `host`, `pattern`) as `host_rule` and `pattern_rule` make them: a row with a host is a host rule."""
+    named = F.col("host").isNotNull()
+    text = F.when(named, F.concat(F.lit("."), "host")).otherwise(F.col("pattern"))
+    # a host holds no wildcards; in a pattern all but these, letters and digits is escaped
+    plain = F.regexp_replace("text", r"([^A-Za-z0-9*^])", r"\\$1")
+    wild = F.replace(F.replace(plain, F.lit("^"), F.lit("(?:[^A-Za-z0-9]|$)")), F.lit("*"), F.lit(".*"))
+    literal = F.regexp_replace("text", r"([^A-Za-z0-9])", r"\\$1")
+    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(_LITERAL), F.lit(0)))
+    problem = F.raise_error(F.concat(F.lit("no token is bounded on both sides: "), F.coalesce("text", F.lit("NULL"))))
+    made = rules.select("action", F.col("host").alias("name"), text.alias("text"))
+    return made.select(
+        F.xxhash64("action", "text", F.col("name").isNull()).alias("rule_id"),
+        F.when(F.size(tokens) > 0, tokens).otherwise(problem.cast("array<string>")).alias("tokens"),
+        "action",
+        F.concat(F.lit("(?s)"), F.when(F.col("name").isNotNull(), F.concat(F.lit("^[^/]*"), literal)).otherwise(wild)).alias("regex"),
+        "name",
+        (F.char_length("text") - F.col("name").isNotNull().cast("int")).alias("size"),
+    )
+
+
 def host_of(url: str) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(F.col(url), PARTS, 1), F.lit("")), UPPER, LOWER)
 
@@ -58,21 +95,24 @@ def path_of(url: str) -> Column:
     return F.coalesce(F.regexp_extract(F.col(url), PARTS, 2), F.lit(""))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url", default: str = "allow") -> DataFrame:
-    """The `keep` columns of every row with `host`, `path`, `rule` and `verdict`.
+def judge_urls(
+    pages: DataFrame, rules: list[Rule] | DataFrame, keep: list[str], url: str = "url", default: str = "allow"
+) -> DataFrame:
+    """The `keep` columns of every row with `host`, `path`, `rule` and `verdict`. `rules` is a short list, or a table of any
+    size with `action`, `host` (as `example.com/en/`, or NULL) and `pattern` (where there is no host).
 
     Among the named rules that fit, the longest decides (then the first by name); without one the longest unnamed rule;
     without any, `default`, with a NULL rule. A NULL url, or one without `://`, has an empty host and path. Repeated rows
     and ties stay as they are; an empty table gives an empty one. Each distinct host and path is judged once.
     """
-    spark = pages.sparkSession
     parsed = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"))
     places = parsed.select("host", "path").distinct()
     spelled = places.withColumn("subject", F.concat(F.lit("."), "host", "path")).withColumn(
         "token", F.explode(F.array_distinct(F.split("subject", "[^A-Za-z0-9]+")))
     )
-    filed = _filed(spark, rules, spelled)
-    candidates = spelled.join(F.broadcast(filed) if len(rules) <= BROADCAST_RULES else filed, "token")
+    known = _of_table(rules).distinct() if isinstance(rules, DataFrame) else _listed(pages.sparkSession, rules)
+    filed = _filed(known, spelled)
+    candidates = spelled.join(broadcast_if_small(filed, BROADCAST_RULES)[0], "token")
     fitting = candidates.filter(F.expr("subject rlike regex"))
     best = fitting.groupBy("host", "path").agg(
         F.min(F.struct(F.col("name").isNull().alias("unnamed"), (-F.col("size")).alias("size"), "name", "action")).alias("best")
@@ -87,13 +127,11 @@ def judge_urls(pages: DataFrame, rules: list[Rule], keep: list[str], url: str =
     )
 
 
-def _filed(spark, rules: list[Rule], spelled: DataFrame) -> DataFrame:
+def _filed(rules: DataFrame, spelled: DataFrame) -> DataFrame:
     """Each rule under its rarest token."""
-    rows = [(i, t, r.action, r.regex, r.name, r.size) for i, r in enumerate(rules) for t in r.tokens]
-    tokens = spark.createDataFrame(rows, "rule_id int, token string, action string, regex string, name string, size int")
-    known = tokens.select("token").distinct()
-    asked = F.broadcast(known) if len(rules) <= BROADCAST_RULES else known
-    counts = spelled.select("token").join(asked, "token", "left_semi").groupBy("token").count()
+    tokens = rules.withColumn("token", F.explode("tokens")).drop("tokens")
+    counts = spelled.select("token").join(tokens.select("token").distinct(), "token", "left_semi").groupBy("token").count()
     order = Window.partitionBy("rule_id").orderBy(F.coalesce("count", F.lit(0)), "token")
     ranked = tokens.join(counts, "token", "left").withColumn("at", F.row_number().over(order))
-    return ranked.filter("at = 1").drop("at", "rule_id", "count")
+    # a token that no URL has leads nowhere
+    return ranked.filter("at = 1 and count is not null").drop("at", "rule_id", "count")
