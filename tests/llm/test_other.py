@@ -1,6 +1,7 @@
 """Vectors, URLs, learned scores, registered queries and the pipeline."""
 
 import random
+import re
 import time
 from functools import reduce
 from operator import or_
@@ -81,6 +82,42 @@ def test_urls(spark):
     assert {tuple(r) for r in got} == {(r[0], *r[2:]) for r in rows}
 
 
+def test_ten_thousand_url_rules_from_a_table(spark):
+    """Rules as a table against the same rules as regular expressions, each tried on each URL."""
+    draw = random.Random(7)
+    words = ["shop", "news", "cdn", "track", "ads", "img", "a1", "x"]
+    rows = []
+    for i in range(10_000):
+        if i % 3 == 0:
+            host = ".".join(draw.choices(words, k=draw.randrange(1, 4))) + draw.choice([".com/", ".net/", ".org/p/"])
+            rows.append((draw.choice(["allow", "block"]), host, None))
+        else:
+            rows.append((draw.choice(["allow", "block"]), None, f"{draw.choice('./-')}{draw.choice(words)}{i % 700}{draw.choice(['^', '/*x', '.'])}"))
+    # one verdict for each rule, as two rules of one text would tie
+    rows = list({(h, p): (a, h, p) for a, h, p in rows}.values())
+    urls = [None, "none", "http://com", "http://x.shop.com/"]
+    for _ in range(250):
+        host = ".".join(draw.choices(words, k=draw.randrange(1, 4))) + draw.choice([".com", ".net", ".org"])
+        urls.append(f"http://{host}/{draw.choice(words)}{draw.randrange(700)}{draw.choice(['', '/', '.x', '/yx', '-'])}?q")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 2)], "page_id long, url string")
+    table_of = spark.createDataFrame(rows, "action string, host string, pattern string").repartition(3)
+    judged = url_rules.judge_urls(pages, table_of, ["page_id"])
+    assert not re.search("Python|Arrow|ExistingRDD\\[action", judged.filter("page_id < 0").select("host")._jdf.queryExecution().executedPlan().toString())
+    listed = [url_rules.host_rule(a, h) if h else url_rules.pattern_rule(a, p) for a, h, p in rows]
+    compiled = [(re.compile(r.regex), r) for r in listed]
+    hits = 0
+    for row in judged.collect():
+        subject = "." + row.host + row.path
+        fitting = [r for expression, r in compiled if expression.search(subject)]
+        fitting.sort(key=lambda r: (r.name is None, -r.size, r.name or "", r.action))
+        best = fitting[0] if fitting else None
+        assert (row.rule, row.verdict) == ((best.name, best.action) if best else (None, "allow")), subject
+        hits += bool(best)
+    assert hits > 100
+    assert url_rules.judge_urls(pages, [], ["page_id"]).filter("verdict = 'allow'").count() == len(urls) * 2
+    assert url_rules.judge_urls(pages.limit(0), table_of, ["page_id"]).count() == 0
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("Y0u STуPID, 1d10t! 2024") == " you stypid idiot 2024 "
     lexicon = toxicity.Lexicon(((" trash ", 5.0), (" mor", 4.0)))
@@ -109,7 +146,7 @@ def test_learning_from_nothing(spark):
 @pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) & set(QUERIES)))
 def test_queries_agree_with_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     theirs = con.execute(entry.oracle_sql()[name])
     names = [c[0] for c in theirs.description]
