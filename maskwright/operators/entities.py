@@ -14,8 +14,11 @@ from maskwright.functions.labels import ner_type
 from maskwright.functions.numbers import softmax
 from maskwright.functions.patterns import UNICODE_SPACE, WORDS
 from maskwright.functions.spans import NO_SPANS, make_span, regex_spans, resolve, valid_spans
+from maskwright.operators.skew import null_safe_join
+from maskwright.session import written
 
 ENTITY_SOURCE = "onnx-ner"
+BIO_BLOCK = 1 << 16
 
 
 def words_with_offsets(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -67,28 +70,44 @@ def decode_labels(
     return named.select(sequence, token, label.alias("label"), "score")
 
 
-def merge_bio(tokens: DataFrame, document: str = "doc_id", token: str = "tok") -> DataFrame:
+def merge_bio(tokens: DataFrame, document: str = "doc_id", token: str = "tok", block: int = BIO_BLOCK) -> DataFrame:
     """Join labelled tokens to entities: B starts one, I goes on with its type, O closes it.
 
-    A label of another form neither goes on nor closes and is left out first. Score is the mean over the tokens.
+    A label of another form neither goes on nor closes and is left out first. Score is the mean over the tokens. A sequence
+    is worked on in blocks of `block` numbers of `token`, an integer; what a block hands on is the kind that is open at its
+    end and how many entities began in it, so a sequence of any length is spread over its blocks. Runs a job when called.
     """
     label = F.coalesce("label", F.lit(""))
     marked = tokens.withColumn("__label", F.when(label.isin("O", ""), F.lit("")).otherwise(label)).filter(
         (F.col("__label") == "") | F.col("__label").rlike("^[BI]-")
     )
-    kind = F.when(F.col("__label") != "", F.expr("substr(__label, 3)"))
-    order = Window.partitionBy(document).orderBy(token)
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = F.col("__kind").isNotNull() & (
-        F.col("__label").startswith("B-") | ~F.col("__kind").eqNullSafe(F.lag("__kind").over(order))
-    )
-    grouped = (
-        marked.withColumn("__kind", kind)
+    within = Window.partitionBy(document, "__block").orderBy(token)
+    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.col("__label").startswith("B-")
+    starts = F.col("__kind").isNotNull() & (begins | ~F.col("__kind").eqNullSafe(F.lag("__kind").over(within)))
+    # numbered within its block, as if nothing were open before it
+    rows = written(
+        marked.withColumn("__kind", F.when(F.col("__label") != "", F.expr("substr(__label, 3)")))
+        .withColumn("__block", F.floor(F.col(token) / block))
+        .withColumn("__begins", begins)
         .withColumn("__first", starts.cast("int"))
-        .withColumn("__entity", F.sum("__first").over(running))
-        .filter(F.col("__kind").isNotNull())
+        .withColumn("__n", F.sum("__first").over(running))
+        .select(document, token, "__block", "__kind", "__begins", "__first", "__n", "start", "end", "score"),
+        "bio-tokens",
+    )
+    edges = rows.groupBy(document, "__block").agg(
+        F.min_by(F.struct("__kind", "__begins"), token).alias("__head"),
+        F.max_by("__kind", token).alias("__last"),
+        F.sum("__first").alias("__starts"),
     )
-    return grouped.groupBy(document, "__entity").agg(
+    blocks = Window.partitionBy(document).orderBy("__block")
+    head = F.col("__head.__kind")
+    goes_on = head.isNotNull() & ~F.col("__head.__begins") & head.eqNullSafe(F.lag("__last").over(blocks))
+    linked = edges.withColumn("__on", F.coalesce(goes_on, F.lit(False)).cast("int"))
+    earlier = F.sum(F.col("__starts") - F.col("__on")).over(blocks.rowsBetween(Window.unboundedPreceding, -1))
+    carried = linked.select(document, "__block", (F.coalesce(earlier, F.lit(0)) - F.col("__on")).alias("__carry"))
+    joined = null_safe_join(rows.filter(F.col("__kind").isNotNull()), carried, [document, "__block"], "inner")
+    return joined.withColumn("__entity", F.col("__n") + F.col("__carry")).groupBy(document, "__entity").agg(
         ner_type(F.min("__kind")).alias("type"),
         F.min_by("start", token).alias("start"),
         F.max_by("end", token).alias("end"),

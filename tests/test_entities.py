@@ -75,6 +75,53 @@ def test_merge_bio(spark):
     ]
 
 
+def plain_bio(rows):
+    """The same by a loop over the tokens of each sequence."""
+    found, kept = [], {}
+    for doc, tok, start, end, label, score in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        if label in ("O", "", None) or label[:2] in ("B-", "I-"):
+            kept.setdefault(doc, []).append((start, end, label or "", score))
+    for doc, tokens in kept.items():
+        now = None
+        for start, end, label, score in [*tokens, (0, 0, "O", 0)]:
+            kind = label[2:] if label not in ("O", "") else None
+            if now and (kind is None or label[0] == "B" or kind != now[0]):
+                found.append((doc, now[0], now[1], now[2], round(sum(now[3]) / len(now[3]), 6)))
+                now = None
+            if kind is not None:
+                now = (kind, now[1] if now else start, end, [*(now[3] if now else []), score])
+    return sorted(found, key=repr)
+
+
+def test_sequences_are_merged_across_blocks(spark):
+    """Entities that go on over the edges of blocks, whole blocks inside one entity, missing numbers and malformed labels."""
+    draw = random.Random(3)
+    rows = []
+    for doc in [*range(6), None]:
+        for tok in range(-5, 120):
+            label = draw.choice(["I-A"] * 6 + ["B-A", "I-B", "O", "junk", "", None]) if doc != 5 else "I-A"
+            if draw.random() < 0.8:
+                rows.append((doc, tok, 10 * tok, 10 * tok + 8, label, draw.randrange(10) / 10))
+    df = spark.createDataFrame(rows, "doc_id int, tok long, start long, end long, label string, score double").repartition(4)
+    expected = plain_bio(rows)
+    for block in (1, 3, 40, 1 << 16):
+        got = merge_bio(df, block=block).select("doc_id", "type", "start", "end", F.round("score", 6)).collect()
+        assert sorted(map(tuple, got), key=repr) == expected
+
+
+def test_a_long_sequence_is_spread_over_its_blocks(spark):
+    label = F.when(F.col("id") % 1000 < 998, F.lit("I-PER")).otherwise(F.lit("O"))
+    long = spark.range(300_000).select(
+        F.lit(1).alias("doc_id"), F.col("id").alias("tok"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"), label.alias("label"), F.lit(0.5).alias("score")
+    )
+    merged = merge_bio(long, block=700)
+    plan = merged._jdf.queryExecution().analyzed().toString()
+    # the only window over a whole sequence has one row for each block
+    assert all("__block" in line for line in plan.splitlines() if line.strip(" +-:").startswith("Window"))
+    rows = merged.collect()
+    assert len(rows) == 300 and {r.end - r.start for r in rows} == {998}
+
+
 def test_decode_drops_the_markers_and_takes_the_first_best(spark):
     logits = spark.createDataFrame(
         [(1, 0, [9.0, 0.0]), (1, 1, [1.0, 1.0]), (1, 2, [0.0, 5.0]), (1, 3, [0.0, 9.0])],
