@@ -152,35 +152,45 @@ def snapshot(
     One aggregate reads the log for everything that needs no grouping; types, domains and the newest requests are
     small results of their own and are brought in as scalar subqueries.
     """
-    types = by_type(audit).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type")
-    )
-    domains = top_domains(audit, top_n).agg(
-        F.collect_list(F.struct("requests", "domain")).alias("rows")
+    base = audit.withColumn("__slot", _minute_slot(now)).agg(
+        F.count("*").alias("total"),
+        _last_minutes("__slot").alias("last_5_minute"),
+        F.coalesce(F.sum(F.size(F.filter(_types(), lambda t: trimmed(t) != ""))), F.lit(0)).alias("masked"),
+        _mean_positive("sanitize_latency_ms").alias("sanitize_ms"),
+        _mean_positive("upstream_latency_ms").alias("upstream_ms"),
+        _mean_positive("total_latency_ms").alias("total_ms"),
     )
+    latest = recent(audit, order, recent_n)
+    return snapshot_row(base, by_type(audit), top_domains(audit, top_n), latest, order, status, uptime_seconds, port)
+
+
+def snapshot_row(
+    base: DataFrame,
+    types: DataFrame,
+    domains: DataFrame,
+    latest: DataFrame,
+    order: list[str],
+    status: str = "stopped",
+    uptime_seconds: int = 0,
+    port: int = 0,
+) -> DataFrame:
+    """The nested row of a snapshot from its parts: one row of figures, items by type, the top domains, the newest requests."""
+    types = types.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))
+    domains = domains.agg(F.collect_list(F.struct("requests", "domain")).alias("rows"))
     sorted_domains = F.expr(
         "transform(array_sort(rows, (a, b) -> case when a.requests > b.requests then -1 when "
         "a.requests < b.requests then 1 when a.domain < b.domain then -1 when a.domain > b.domain then 1 else 0 end), "
         "r -> named_struct('domain', r.domain, 'requests', r.requests))"
     )
     logged = [f"log_{c}" for c in order]
-    last = recent(audit, order, recent_n)
-    fields = [c for c in last.columns if c not in logged]
-    newest = last.agg(
+    fields = [c for c in latest.columns if c not in logged]
+    newest = latest.agg(
         F.collect_list(F.struct(F.struct(*logged).alias("place"), F.struct(*fields).alias("row"))).alias("rows")
     )
     newest_first = F.expr(
         "transform(array_sort(rows, (a, b) -> case when a.place > b.place then -1 when a.place < b.place then 1 "
         "else 0 end), r -> r.row)"
     )
-    base = audit.withColumn("__slot", _minute_slot(now)).agg(
-        F.count("*").alias("total"),
-        _last_minutes("__slot").alias("last_5_minute"),
-        F.coalesce(F.sum(F.size(F.filter(_types(), lambda t: trimmed(t) != ""))), F.lit(0)).alias("masked"),
-        _mean_positive("sanitize_latency_ms").alias("sanitize_ms"),
-        _mean_positive("upstream_latency_ms").alias("upstream_ms"),
-        _mean_positive("total_latency_ms").alias("total_ms"),
-    )
     rate = F.aggregate("last_5_minute", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.lit(float(MINUTES))
     no_types = F.create_map().cast("map<string,bigint>")
     return base.select(

@@ -14,7 +14,8 @@ from maskwright.operators import sketches, stats, traffic
 from maskwright.plans import tables
 from maskwright.session import scratch_dir, written
 from maskwright.sources.appended import store_of
-from maskwright.sources.audit import audit_tail, follow_appended, follow_audit, read_audit, write_audit
+from maskwright.sources.audit import audit_tail, follow_appended, follow_audit, parse_audit, read_audit, write_audit
+from maskwright.streaming.snapshot import watch_snapshot
 from maskwright.streaming.stats import watch_counts, watch_stats
 
 LOG_ORDER = ["timestamp", "event_id"]
@@ -256,7 +257,21 @@ def _snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 def stats_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """The snapshot with its nested parts laid out as columns."""
-    return _snapshot(spark, folder).select(
+    return _laid_out(_snapshot(spark, folder))
+
+
+def live_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The last of the snapshots that a stream makes of the log, a few files at a time."""
+    source = _written(spark, folder, "audit-live")
+    output, state, checkpoint = (scratch_dir(spark, name) for name in ("live", "live-state", "checkpoint"))
+    events = parse_audit(spark.readStream.option("maxFilesPerTrigger", 6).text(source))
+    watch_snapshot(events, output, state, checkpoint, trigger={"availableNow": True}, status="stopped").awaitTermination()
+    made = spark.read.parquet(output)
+    return _laid_out(made.filter(F.col("batch_id") == made.agg(F.max("batch_id")).scalar()))
+
+
+def _laid_out(snapshot: DataFrame) -> DataFrame:
+    return snapshot.select(
         "status",
         F.col("requests.total").alias("requests"),
         F.round("requests.per_minute", 6).alias("per_minute"),
@@ -368,6 +383,7 @@ QUERIES = {
     "recent_export": recent_export,
     "type_share": type_share,
     "stats_snapshot": stats_snapshot,
+    "live_snapshot": live_snapshot,
     "stats_json": stats_json,
     "latency_quantiles": latency_quantiles,
     "frequent_hosts": frequent_hosts,
@@ -454,3 +470,4 @@ ORACLES = {
     f"{_between('response_start', 'response_end')} AS response_us, "
     f"{_between('start_ts', 'first_byte')} AS first_byte_us FROM ({tables.TRACES_SQL})",
 }
+ORACLES["live_snapshot"] = ORACLES["stats_snapshot"]

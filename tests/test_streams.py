@@ -269,3 +269,53 @@ def test_followed_log_is_counted_by_minute(spark, tmp_path):
     query.awaitTermination()
     got = {str(r["minute"])[14:16]: (r["requests"], r["masked_items"], r["total_ms"]) for r in spark.table("watched").collect()}
     assert got == {"01": (2, 2, 1.0), "02": (1, 1, 2.0)}
+
+
+def test_the_live_snapshot_is_the_snapshot_of_what_has_come(spark, tmp_path):
+    """After every batch and restart, with late events, blank names, unreadable times and times that are equal."""
+    from maskwright.operators import stats
+    from maskwright.sources.audit import parse_audit
+    from maskwright.streaming.snapshot import watch_snapshot
+
+    draw = random.Random(14)
+    log, out, state = (str(tmp_path / n) for n in ("log", "live", "state"))
+
+    def rounded(row):
+        def plain(x):
+            if isinstance(x, float):
+                return round(x, 6)
+            if isinstance(x, dict):
+                return {k: plain(v) for k, v in x.items()}
+            return [plain(v) for v in x] if isinstance(x, list) else x
+
+        return plain(row.asDict(recursive=True))
+
+    def run():
+        events = parse_audit(spark.readStream.text(log))
+        watch_snapshot(events, out, state, str(tmp_path / "cp"), trigger={"availableNow": True}).awaitTermination()
+
+    for turn in range(4):
+        rows = []
+        for i in range(60 if turn != 2 else 0):
+            second = draw.randrange(60)
+            # the third minute of events comes late, in the last turn
+            when = f"2024-01-01T00:{(turn * 3 + draw.randrange(3)) if turn < 3 else 2:02}:{second:02}.{draw.randrange(3)}Z"
+            items = [(draw.choice(["email", " Email", "phone", " "]), "[X_1]") for _ in range(draw.randrange(3))]
+            value = draw.choice([0.0, 1.5, draw.random() * 100])
+            host = draw.choice(["a", " a", "b", "c", "d", "e", "f", "g", ""])
+            rows.append((when if i % 20 else "no time", "POST", host, f"/{turn}/{i}", 200, "allow", "r", value, 2 * value, 3 * value, None, None, bool(items), items))
+        spark.createDataFrame(rows, AUDIT_SCHEMA).coalesce(2).write.mode("append").json(log)
+        run()
+        if turn == 1:
+            run()  # nothing new
+        so_far = read_audit(spark, log).orderBy("timestamp")
+        now = so_far.agg(F.max(stats.event_time(F.col("timestamp")))).scalar()
+        (expected,) = stats.snapshot(so_far, now, ["timestamp"], "running").collect()
+        made = spark.read.parquet(out)
+        (got,) = made.filter(F.col("batch_id") == made.agg(F.max("batch_id")).scalar()).drop("batch_id").collect()
+        got, expected = rounded(got), rounded(expected)
+        # requests of one time may stand in any order, and which of them are the last twenty is open
+        times = [[r["timestamp"] for r in x.pop("recent")] for x in (got, expected)]
+        assert times[0] == times[1] and len(times[0]) == 20
+        assert got == expected
+    assert len(list((tmp_path / "state").iterdir())) <= 2
