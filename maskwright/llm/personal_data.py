@@ -298,7 +298,8 @@ def _bootstrap(rows: DataFrame) -> DataFrame:
 
 def summarise(found: DataFrame, keep: list[str]) -> DataFrame:
     """Counts of the base spans by kind, and both lists of spans written out."""
-    counts = [F.size(F.filter("base", lambda s, i=i: s["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    # As SQL: a second parameter of a Python lambda, with a default or not, would be the place in the array.
+    counts = [F.expr(f"cast(size(filter(base, s -> s.k = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select(
         *keep,
         *counts,

@@ -125,6 +125,13 @@ def test_terms_that_are_only_near(spark):
     assert found == {0: ["1"], 1: []}
 
 
+def test_personal_data_counts_by_kind(spark):
+    texts = ["a@b.de, c@d.de and e@f.de", "+49 30 1234567 from 10.0.0.1", "4111 1111 1111 1111 x@y.de 1.2.3.4 5.6.7.8", "", None]
+    rows = personal_data.summarise(personal_data.find_spans(frame(spark, texts), ["doc_id"]), ["doc_id"]).collect()
+    counts = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in rows}
+    assert counts == {0: (3, 0, 0, 0), 1: (0, 1, 0, 1), 2: (1, 2, 1, 0), 3: (0, 0, 0, 0), 4: (0, 0, 0, 0)}
+
+
 def test_personal_data(spark):
     draw = random.Random(5)
     texts = [None, "", "4111 1111 1111 1111 x", "1" * 20_000, "1 " * 10_000, "a@b" + ".c" * 9000, "a" * 20_000 + "@"]
