@@ -21,13 +21,15 @@ ENTITY_SOURCE = "onnx-ner"
 BIO_BLOCK = 1 << 16
 
 
-def words_with_offsets(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row per run of letters and digits: keys, word_index, word, start, end."""
+def words_with_offsets(df: DataFrame, keys: list[str], text: str = "text", count: str | None = None) -> DataFrame:
+    """One row per run of letters and digits: keys, word_index, word, start, end; `count` names a column for how many the text has."""
     found = df.withColumn("__words", F.expr(regex_spans(text, WORDS, "word", 1.0)))
-    long = found.select(*keys, F.posexplode_outer("__words").alias("word_index", "w")).filter("w is not null")
-    return long.select(
-        *keys, "word_index", F.col("w.value").alias("word"), F.col("w.start").alias("start"), F.col("w.end").alias("end")
-    )
+    many = [] if count is None else [count]
+    if count is not None:
+        found = found.withColumn(count, F.size("__words"))
+    long = found.select(*keys, *many, F.posexplode_outer("__words").alias("word_index", "w")).filter("w is not null")
+    place = [F.col("w.value").alias("word"), F.col("w.start").alias("start"), F.col("w.end").alias("end")]
+    return long.select(*keys, "word_index", *place, *many)
 
 
 def ner_gate(text: str, max_bytes: int = 0) -> str:

@@ -18,13 +18,22 @@ NAMES = "[A-Z][a-z]+ [A-Z][a-z]+|[A-Z][a-z]{7,}"
 
 def words(spark: SparkSession, folder: str) -> DataFrame:
     """Words per document, checked by their number, places and longest word."""
-    long = entities.words_with_offsets(tables.documents(spark, folder), ["doc_id"])
-    return long.groupBy("doc_id").agg(
+    long = entities.words_with_offsets(tables.documents(spark, folder), ["doc_id"], count="of")
+    # The last word of a text is a key of its own: sums of numbers are hashed, while a text among them would have every word sorted.
+    last = F.when(F.col("word_index") == F.col("of") - 1, F.col("word")).alias("last_word")
+    parts = long.groupBy("doc_id", last).agg(
         F.count("*").alias("n_words"),
         F.sum(F.col("start").cast("bigint") * (F.col("word_index") + 1)).alias("starts"),
         F.sum(F.col("end").cast("bigint") * (F.col("word_index") + 1)).alias("ends"),
         F.max(F.char_length("word")).cast("bigint").alias("longest"),
-        F.max_by("word", "word_index").alias("last_word"),
+        F.max("word_index").alias("place"),
+    )
+    return parts.groupBy("doc_id").agg(
+        F.sum("n_words").alias("n_words"),
+        F.sum("starts").alias("starts"),
+        F.sum("ends").alias("ends"),
+        F.max("longest").alias("longest"),
+        F.max_by("last_word", F.when(F.col("last_word").isNotNull(), F.col("place"))).alias("last_word"),
     )
 
 

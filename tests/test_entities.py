@@ -14,6 +14,7 @@ from maskwright.functions.wordtrie import PieceTrie
 from maskwright.operators import wordpiece as wordpieces
 from maskwright.operators.entities import decode_labels, hybrid_detect, merge_bio, ner_gate, words_with_offsets
 from maskwright.operators.wordpiece import encode_corpus, wordpiece
+from maskwright.plans.catalog import QUERIES
 from maskwright.sources.model_files import load_labels, load_vocab
 
 PIECES = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "hello", "un", "##happiness", "john", "smith", "works"]
@@ -137,6 +138,19 @@ def test_words(spark):
     assert [(r.word, r.start, r.end) for r in rows] == [("Où", 0, 2), ("est", 3, 6), ("il", 7, 9), ("42", 11, 13)]
 
 
+def test_words_of_a_text_are_not_sorted(spark, tmp_path):
+    texts = ["Où est-il? 42", "", None, "one", "a b. c a", "-"]
+    df = spark.createDataFrame([*enumerate(texts), (4, "z y")], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["words"](spark, str(tmp_path))
+    rows = {r.doc_id: tuple(r)[1:] for r in found.collect()}
+    assert rows == {0: (4, 0 + 6 + 21 + 44, 2 + 12 + 27 + 52, 3, "42"), 3: (1, 0, 3, 3, "one"), 4: (6, 51, 64, 1, "a")}
+    # words are added up by hash; what is sorted has at most two rows for each text
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    first = plan[: plan.index("Generate")].split("Exchange")[-1]
+    assert "HashAggregate" in first and "Sort" not in first
+
+
 def test_wordpiece(spark, vocab):
     words = ["hello", "Hello", "unhappiness", "unsmith", "zzz", "x" * 101]
     df = spark.createDataFrame([(w,) for w in words], "word string")
