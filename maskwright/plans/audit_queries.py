@@ -87,9 +87,16 @@ def audit_follow(spark: SparkSession, folder: str) -> DataFrame:
 
 
 FILES, ROUNDS = 8, 3
+FILE_BYTES = 64 << 20
 
 
-def _grown(lines: DataFrame, log: str, upto: int) -> None:
+def _log_files(lines: DataFrame) -> int:
+    """How many files the log has: `FILES`, or more of about `FILE_BYTES` each, as one task writes a whole file."""
+    size = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    return max(FILES, -(-size // FILE_BYTES))
+
+
+def _grown(lines: DataFrame, log: str, upto: int, files: int) -> None:
     """The log's files as they are once the lines of the rounds before `upto` have come; half a line stands behind them.
 
     A file is made anew under another name and moved into place, so a task that is repeated does no harm.
@@ -110,17 +117,18 @@ def _grown(lines: DataFrame, log: str, upto: int) -> None:
                 out.write(left)
             store.move(made, f"{folder}/audit-{number}.log")
 
-    lines.repartition(FILES, "file").sortWithinPartitions("file", "round", "value").foreachPartition(write)
+    # each file is a partition of its own: a hash would put some of them together
+    lines.repartitionById(files, F.col("file").cast("int")).sortWithinPartitions("file", "round", "value").foreachPartition(write)
 
 
 def follow_growing(spark: SparkSession, folder: str) -> DataFrame:
     """A log whose files grow between the runs of a stream, which goes on from its checkpoint each time."""
     lines = spark.read.text(_written(spark, folder, "audit-grows"))
-    mixed = F.xxhash64("value")
-    lines = lines.withColumns({"file": F.pmod(mixed, F.lit(FILES)), "round": F.pmod(F.shiftright(mixed, 16), F.lit(ROUNDS))})
+    mixed, files = F.xxhash64("value"), _log_files(lines)
+    lines = lines.withColumns({"file": F.pmod(mixed, F.lit(files)), "round": F.pmod(F.shiftright(mixed, 16), F.lit(ROUNDS))})
     log, output, checkpoint = (scratch_dir(spark, name) for name in ("growing-log", "audit-followed", "checkpoint"))
     for upto in range(1, ROUNDS + 1):
-        _grown(lines, log, upto)
+        _grown(lines, log, upto, files)
         query = (
             follow_appended(spark, log)
             .writeStream.format("parquet")

@@ -4,7 +4,9 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from maskwright.plans import audit_queries
 from maskwright.sources import appended
 from maskwright.sources.appended import LinesReader, Piece, follow_lines
 from maskwright.sources.audit import follow_appended
@@ -124,3 +126,15 @@ def test_one_stream_sees_lines_as_they_come(spark, tmp_path):
         assert [tuple(r) for r in rows] == [("a", 0), ("b", 2), ("c", 4)]
     finally:
         query.stop()
+
+
+def test_the_growing_log_has_more_files_as_it_grows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(audit_queries, "FILE_BYTES", 100)
+    lines = spark.createDataFrame([(f"{i:04}" * 5,) for i in range(200)], "value string")
+    files = audit_queries._log_files(lines)
+    assert files == 42 and audit_queries._log_files(lines.limit(0)) == audit_queries.FILES
+    placed = lines.withColumns({"file": F.pmod(F.xxhash64("value"), F.lit(files)), "round": F.lit(0)})
+    audit_queries._grown(placed, str(tmp_path / "log"), 1, files)
+    written = [p.read_text().splitlines() for p in (tmp_path / "log").iterdir()]
+    assert sorted(sum(written, [])) == sorted(r.value for r in lines.collect())
+    assert len(written) > 30 and max(map(len, written)) < 20
