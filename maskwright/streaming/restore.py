@@ -17,13 +17,14 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from maskwright.fixed_values import PLACEHOLDER_PATTERN
 from maskwright.operators.masking import restore
-from maskwright.operators.skew import running_total
+from maskwright.operators.skew import broadcast_if_small, null_safe_join, running_total
 from maskwright.session import ROCKSDB, scratch_scope, written
 
 _OPEN_TAIL = re.compile(r"\[[A-Z0-9_]*\Z")
 _PLACEHOLDER = re.compile(PLACEHOLDER_PATTERN)
 TTL_MS = 600_000
 KEEP_MS = 24 * 3600 * 1000
+MAX_BROADCAST_CROSSINGS = 100_000
 PIECES = "session_id string, seq bigint, piece string"
 
 
@@ -287,41 +288,55 @@ def restore_chunks(chunks: DataFrame, mappings: DataFrame, size: int = 4096) ->
 
     A session of any length is worked on in blocks of text. A block owns the placeholders that begin in it: it
     borrows the end of its last one from what follows, and leaves out what the block before it has finished.
-    Only block edges are exchanged, by equi-joins on session and block. A block that is shorter than a placeholder
+    Only block edges are exchanged, by joins on session and block. A block that is shorter than a placeholder
     has longer ones around it, so edges are passed on once.
     """
     longest = max(longest_placeholder(mappings), 1)
     texts = written(_blocks_of_text(chunks, max(size, 2 * longest)), "blocks")
-    edges = texts.select(
-        "session_id", "block", "next", F.left("text", F.lit(longest)).alias("head"), F.right("text", F.lit(longest)).alias("tail")
+    # Whether a placeholder crosses an edge is decided on the edges alone; the texts are not moved for it.
+    trims, small = broadcast_if_small(written(_crossings(texts, longest), "crossings"), MAX_BROADCAST_CROSSINGS)
+    pieces = null_safe_join(texts, trims, ["session_id", "block"]).select(
+        "session_id",
+        F.col("block").alias("seq"),
+        F.concat(
+            F.substr("text", F.coalesce("skip", F.lit(0)) + 1), F.coalesce("borrowed", F.lit(""))
+        ).alias("piece"),
+    )
+    return restore_pieces(pieces if small else written(pieces, "pieces"), mappings).withColumnRenamed("seq", "block")
+
+
+def _crossings(texts: DataFrame, longest: int) -> DataFrame:
+    """For blocks at whose edges a placeholder crosses: how much to `skip` at the beginning, what is `borrowed` at the end."""
+    edges = written(
+        texts.select(
+            "session_id", "block", "next", F.left("text", F.lit(longest)).alias("head"), F.right("text", F.lit(longest)).alias("tail")
+        ),
+        "edges",
     )
     empty = F.lit("")
     following = edges.select("session_id", F.col("block").alias("next"), F.col("head").alias("next_head"))
-    heads = edges.join(following, ["session_id", "next"], "left").select(
-        "session_id",
-        F.col("block").alias("next"),
-        F.left(F.concat("head", F.coalesce("next_head", empty)), F.lit(longest)).alias("after"),
-    )
     previous = edges.select("session_id", F.col("next").alias("block"), F.col("tail").alias("previous_tail"))
-    tails = edges.join(previous, ["session_id", "block"], "left").select(
-        "session_id",
-        F.col("next").alias("block"),
-        F.right(F.concat(F.coalesce("previous_tail", empty), "tail"), F.lit(longest)).alias("before"),
-    )
-    joined = (
-        texts.join(heads, ["session_id", "next"], "left")
-        .join(tails, ["session_id", "block"], "left")
-        .na.fill({"after": "", "before": ""})
+    both = null_safe_join(null_safe_join(edges, following, ["session_id", "next"]), previous, ["session_id", "block"])
+    # Both sides of an edge see the same characters, as many as a placeholder can have.
+    around = written(
+        both.select(
+            "session_id",
+            "block",
+            "next",
+            "tail",
+            F.left(F.concat("head", F.coalesce("next_head", empty)), F.lit(longest)).alias("begins"),
+            F.right(F.concat(F.coalesce("previous_tail", empty), "tail"), F.lit(longest)).alias("ends"),
+        ),
+        "around",
     )
+    after = around.select("session_id", F.col("block").alias("next"), F.col("begins").alias("after"))
+    before = around.select("session_id", F.col("next").alias("block"), F.col("ends").alias("before"))
+    joined = null_safe_join(null_safe_join(around, after, ["session_id", "next"]), before, ["session_id", "block"])
+    joined = joined.na.fill({"after": "", "before": ""})
     open_tail, closing = r"\[[A-Z0-9_]*\z", r"^[A-Z0-9_]*\]"
     whole = F.lit(f"^{PLACEHOLDER_PATTERN}\\z")
-    begun, ending = F.regexp_extract("before", open_tail, 0), F.regexp_extract(F.concat("text", "after"), closing, 0)
-    last, finish = F.regexp_extract("text", open_tail, 0), F.regexp_extract("after", closing, 0)
+    begun, ending = F.regexp_extract("before", open_tail, 0), F.regexp_extract("begins", closing, 0)
+    last, finish = F.regexp_extract("tail", open_tail, 0), F.regexp_extract("after", closing, 0)
     skip = F.when(F.regexp_like(F.concat(begun, ending), whole), F.char_length(ending)).otherwise(0)
     borrowed = F.when(F.regexp_like(F.concat(last, finish), whole), finish).otherwise(empty)
-    pieces = joined.select(
-        "session_id",
-        F.col("block").alias("seq"),
-        F.concat(F.substr("text", skip + 1), borrowed).alias("piece"),
-    )
-    return restore_pieces(written(pieces, "pieces"), mappings).withColumnRenamed("seq", "block")
+    return joined.select("session_id", "block", skip.alias("skip"), borrowed.alias("borrowed")).filter("skip > 0 or borrowed <> ''")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from maskwright.fixed_values import PLACEHOLDER_PATTERN
 from maskwright.session import scratch_scope, written
 from maskwright.sources.audit import AUDIT_SCHEMA, audit_tail, follow_audit, read_audit, write_audit
+from maskwright.streaming import restore as restoring
 from maskwright.streaming.restore import restore_chunks, restore_stream, split_held
 from maskwright.streaming.sanitize import sanitize_stream
 from maskwright.streaming.stats import watch_counts, watch_stats
@@ -67,6 +68,25 @@ def test_stream_and_batch_restore_the_same(spark, tmp_path):
     assert joined(spark.read.parquet(out).collect(), "seq") == whole
 
 
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_brackets_longer_than_a_placeholder_stay_across_blocks(spark, monkeypatch, bound):
+    monkeypatch.setattr(restoring, "MAX_BROADCAST_CROSSINGS", bound)
+    known = spark.createDataFrame([("s", "[A_1]", "x")], "session_id string, placeholder string, original string")
+    text = "[A_1] " + "[A_" + "1" * 40 + "] [" + "B" * 25 + "_1] end [A_1]"
+    for size in (3, 7, 13):
+        rows = [("s", i, text[i * size : (i + 1) * size], False) for i in range(-(-len(text) // size))]
+        found = restore_chunks(spark.createDataFrame(rows, CHUNKS), known, size=10)
+        assert joined(found.collect(), "block")["s"] == text.replace("[A_1]", "x")
+
+
+def test_chunks_are_moved_once_by_place_and_once_by_block(spark, monkeypatch):
+    rows = spark.createDataFrame([("s", i, "ab", False) for i in range(9)], CHUNKS)
+    plan = restoring._blocks_of_text(rows, 4)._jdf.queryExecution().executedPlan().toString()
+    # rows with the text: once by place, for the window and the join, once by block
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 5
+
+
 def test_a_silent_session_gives_up_what_it_holds(spark, tmp_path):
     known = spark.createDataFrame([("s", "[EMAIL_1]", "a@x.com")], "session_id string, placeholder string, original string")
     rows = [("s", 0, "to [EMAIL_1] and [EM", False), ("s", 2, " late", False)]
