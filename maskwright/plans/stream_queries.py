@@ -21,13 +21,13 @@ def _masked(spark: SparkSession, folder: str) -> DataFrame:
 
 def _chunks(masked: DataFrame) -> DataFrame:
     """Masked documents cut every few characters, through placeholders as it happens."""
-    n = F.greatest(F.ceil(F.char_length("masked") / CHUNK), F.lit(1)).cast("int")
-    cut = masked.select("session_id", "masked", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
-    return cut.select(
-        "session_id",
-        F.col("seq").cast("bigint").alias("seq"),
-        F.substr("masked", F.col("seq") * CHUNK + 1, F.lit(CHUNK)).alias("data"),
-        (F.col("seq") == F.col("n") - 1).alias("eof"),
+    # The text is cut in one go: cutting a chunk out of the whole text walks it from its beginning each time.
+    parts = F.regexp_extract_all("masked", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    filled = F.when(F.char_length("masked") > 0, parts).otherwise(F.array("masked"))
+    cut = masked.select("session_id", filled.alias("parts")).select("session_id", "parts", F.size("parts").alias("n"))
+    chunks = cut.select("session_id", "n", F.posexplode("parts").alias("seq", "data"))
+    return chunks.select(
+        "session_id", F.col("seq").cast("bigint").alias("seq"), "data", (F.col("seq") == F.col("n") - 1).alias("eof")
     )
 
 

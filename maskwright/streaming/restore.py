@@ -41,6 +41,12 @@ def _text(data: object) -> str:
     return data if isinstance(data, str) else ""
 
 
+def _chunk_rows(batch: pd.DataFrame) -> Iterator[tuple]:
+    """Number, text and end mark of each chunk; a missing mark (NULL, or NaN in pandas) is no end."""
+    eof = (e == e and bool(e) for e in batch["eof"].tolist())
+    return zip(batch["seq"].tolist(), map(_text, batch["data"].tolist()), eof, strict=True)
+
+
 class WholePlaceholders(StatefulProcessor):
     """Per session: the next chunk number, the text held back, chunks that came too early, and the numbers given up on.
 
@@ -66,7 +72,10 @@ class WholePlaceholders(StatefulProcessor):
     def handleInputRows(  # noqa: N802
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues  # noqa: N803
     ) -> Iterator[pd.DataFrame]:
-        at, held, expires = self.place.get() if self.place.exists() else (0, "", 0)
+        # Every question to the state is a round trip. A session without a place has nothing else in it either.
+        place = self.place.get()
+        at, held, expires = place or (0, "", 0)
+        self.used = place is not None
         out, ended = [], False
 
         def take(data: str, eof: bool) -> None:
@@ -76,20 +85,21 @@ class WholePlaceholders(StatefulProcessor):
             at, ended = at + 1, eof
 
         for batch in rows:
-            for seq, data, eof in sorted(zip(batch["seq"], map(_text, batch["data"]), batch["eof"].fillna(False), strict=True)):
+            for seq, data, eof in sorted(_chunk_rows(batch)):
                 if seq == at:
-                    take(data, bool(eof))
+                    take(data, eof)
                 elif seq > at:
-                    self.early.updateValue((int(seq),), (data, bool(eof)))
-                elif self.missing.containsKey((int(seq),)):
+                    self.early.updateValue((int(seq),), (data, eof))
+                    self.used = True
+                elif self.used and self.missing.containsKey((int(seq),)):
                     self.missing.removeKey((int(seq),))
                     out.append((key[0], int(seq), self.whole(data)))
-            while self.early.containsKey((at,)):
-                waiting = self.early.getValue((at,))
+            while self.used and (waiting := self.early.getValue((at,))) is not None:
                 self.early.removeKey((at,))
                 take(*waiting)
-            yield self._rows(out)
-            out.clear()
+            if out:
+                yield self._rows(out)
+                out.clear()
         self._keep(at, held, expires, timerValues, ended and not held)
 
     @staticmethod
@@ -104,7 +114,7 @@ class WholePlaceholders(StatefulProcessor):
         if expires:
             self.handle.deleteTimer(expires)
         soon = 0
-        if not quiet or next(iter(self.early.keys()), None) is not None:
+        if not quiet or (self.used and next(iter(self.early.keys()), None) is not None):
             soon = timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms
             self.handle.registerTimer(soon)
         self.place.update((at, held, soon))
@@ -144,47 +154,64 @@ class RestoredSessions(WholePlaceholders):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.known = handle.getMapState("known", "placeholder string", "original string", self.keep_ms)
+        # What this session was told in this batch, which need not be asked of the state again.
+        self.told: tuple[tuple | None, dict[str, str]] = (None, {})
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
+        self.told = (key, {})
         for placeholder, original in zip(initialState["placeholder"], initialState["original"], strict=True):
             self._learn(placeholder, original)
 
     def _learn(self, placeholder: object, original: object) -> None:
         if isinstance(placeholder, str) and isinstance(original, str):
             self.known.updateValue((placeholder,), (original,))
+            self.told[1][placeholder] = original
 
     def _original(self, hit: re.Match) -> str:
-        found = (hit.group(),)
-        return self.known.getValue(found)[0] if self.known.containsKey(found) else hit.group()
+        told = self.told[1].get(hit.group())
+        if told is not None:
+            return told
+        found = self.known.getValue((hit.group(),))
+        return hit.group() if found is None else found[0]
 
     def whole(self, text: str) -> str:
         return _PLACEHOLDER.sub(self._original, text) if "[" in text else text
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         # Mappings may stand behind the chunks of their batch, so chunks wait in the state until all rows were seen.
-        mixed, at = False, self.place.get()[0] if self.place.exists() else 0
+        mixed, at = False, None
+        if self.told[0] != key:
+            self.told = (key, {})
 
         def chunks() -> Iterator[pd.DataFrame]:
-            nonlocal mixed
+            nonlocal mixed, at
             for batch in rows:
                 if "placeholder" not in batch:
                     yield batch
                     continue
                 mixed = True
+                if at is None:
+                    place = self.place.get()
+                    at = place[0] if place is not None else 0
                 named = batch["placeholder"].notna()
                 for placeholder, original in zip(batch["placeholder"][named], batch["original"][named], strict=True):
                     self._learn(placeholder, original)
                 late = batch[~named & (batch["seq"] < at)]
                 waiting.append(late[["seq", "data", "eof"]])
                 ahead = batch[~named & (batch["seq"] >= at)]
-                for seq, data, eof in zip(ahead["seq"], map(_text, ahead["data"]), ahead["eof"].fillna(False), strict=True):
-                    self.early.updateValue((int(seq),), (data, bool(eof)))
+                for seq, data, eof in _chunk_rows(ahead):
+                    self.early.updateValue((int(seq),), (data, eof))
+                    self.used = True
             if mixed:
                 yield pd.concat(waiting)
 
         waiting: list[pd.DataFrame] = []
         yield from super().handleInputRows(key, chunks(), timerValues)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.told = (key, {})
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
 
 def _sessions(chunks: DataFrame, ttl_ms: int | None, processor: StatefulProcessor, known: DataFrame | None = None) -> DataFrame:
     chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -6,6 +6,7 @@ import time
 from collections import defaultdict
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,28 @@ def test_chunks_are_moved_once_by_place_and_once_by_block(spark, monkeypatch):
     assert len(moved) == 5
 
 
+class _State:
+    """An empty state that notes what it is asked."""
+
+    def __init__(self):
+        self.asked = []
+
+    def __getattr__(self, name):
+        return lambda *_: self.asked.append(name)
+
+
+def test_a_new_session_asks_its_state_once_and_writes_its_place():
+    processor = restoring.RestoredSessions(None, None)
+    processor.place, processor.early, processor.missing, processor.known = (_State() for _ in range(4))
+    processor.told = (None, {})
+    processor.handleInitialState(("s",), pd.DataFrame({"placeholder": ["[A_1]"], "original": ["x"]}), None)
+    rows = pd.DataFrame({"seq": [1, 0], "data": ["1] b", "a [A_"], "eof": [None, False]})
+    out = pd.concat(processor.handleInputRows(("s",), iter([rows]), None))
+    assert "".join(out["piece"]) == "a x b"
+    states = (processor.place, processor.early, processor.missing, processor.known)
+    assert [s.asked for s in states] == [["get", "update"], [], [], ["updateValue"]]
+
+
 def test_a_silent_session_gives_up_what_it_holds(spark, tmp_path):
     known = spark.createDataFrame([("s", "[EMAIL_1]", "a@x.com")], "session_id string, placeholder string, original string")
     rows = [("s", 0, "to [EMAIL_1] and [EM", False), ("s", 2, " late", False)]
