@@ -46,10 +46,14 @@ _TRAIL = rf"(?<![{_CLOSE}:]):[{_CLOSE}]*+\z|(?<![{_CLOSE}])[{_CLOSE}]++\z"
 _SPACED = (
     rf"[(\"'<\[{{]*+\(?[0-9]{{1,6}}\)?(?: (?:[\-/] )?\(?[0-9]{{2,6}}\)?(?:[\-./][0-9]{{2,6}})?){{1,10}}[{_CLOSE}:]*+(?!\S)"
 )
-# A token that holds a digit, a blanked span or an at sign, and the word before it unless that is such a token itself.
+# A token that holds a digit, a blanked span or an at sign.
 _HAS = rf"[^\s0-9{_MARKS}@]*+[0-9{_MARKS}@]|\S*?[(\[]at[)\]]"
-_TOKEN = rf"(?<!\S)(?:(?!{_HAS})\S++\s++)?(?:{_SPACED}|(?={_HAS})\S++)"
-_WORD = rf"^((?!{_HAS})\S++)\s++"
+# The words before it that are none: as far as no character speaks for one all at once, then word by word past brackets. The
+# digits are written out, as Java looks single characters up in a table and compares ranges one by one.
+_PLAIN = rf"[^0123456789@{_MARKS}(\["
+_WORDS = rf"(?:(?>{_PLAIN}]*\s)|{_PLAIN}\s]*+(?:[(\[](?!at[)\]]){_PLAIN}\s]*+)*+\s++)*+"
+# Each begins where the last one ended, so that no part of the text is searched twice.
+_TOKEN = rf"\G{_WORDS}(?:{_SPACED}|(?={_HAS})\S++)"
 # Shapes that a token found by its context must have; one may have several.
 _SHAPES = {
     "email": r"^[^\s@]{2,}(?:@|\(at\)|\[at\])[^\s@]{3,}\z",
@@ -63,11 +67,17 @@ def _same_length(text: str, pattern: str, character: str) -> str:
     return f"regexp_replace({text}, {quoted(pattern)}, {quoted(character)})"
 
 
+def _without(text: str, characters: str) -> str:
+    """SQL for the text with a tilde for each of the reserved characters; hardly any text has one, and looking costs less."""
+    held = " or ".join(f"contains({text}, {quoted(c)})" for c in characters)
+    return f"if({held}, translate({text}, {quoted(characters)}, {quoted('~' * len(characters))}), {text})"
+
+
 def base_spans(text: str) -> str:
     """SQL for the fixed forms of a text, each kind leftmost and without overlap, as an array of SPAN."""
-    clean = f"translate({text}, {quoted(_GAP + _DOT)}, '~~')"
-    dotted = _same_length(clean, rf"(?<=[{_LABEL}])\.(?=[{_LABEL}])", _DOT)
-    joined = _same_length(clean, r"(?<=[0-9])[ \-](?=[0-9])", _GAP)
+    clean = _without(text, _GAP + _DOT)
+    dotted = _same_length(clean, rf"\.(?<=[{_LABEL}]\.)(?=[{_LABEL}])", _DOT)
+    joined = _same_length(clean, r"[ \-](?<=[0-9][ \-])(?=[0-9])", _GAP)
 
     def when(test: str, searched: str, pattern: str, k: int, accept=None) -> str:
         found = let(searched, lambda s: regex_spans(s, pattern, KINDS[k], 1.0, accept=accept))
@@ -136,10 +146,13 @@ def _instances(blank: str) -> str:
     before the list. A number in groups is one value if it has a shape; its groups are values of their own if they have one.
     """
     hit, i = fresh("hit"), fresh("i")
-    word = f"lower(regexp_extract({hit}, {quoted(_WORD)}, 1))"
-    token = f"regexp_replace({hit}, {quoted(_WORD)}, '')"
+    token = f"regexp_replace({hit}, {quoted(f'^{_WORDS}')}, '')"
     squeezed = f"lower(regexp_replace({{}}, {quoted(rf'([{_MARKS}])\1++')}, '$1'))"
 
+    def word(t: str) -> str:
+        before = f"reverse(left({hit}, char_length({hit}) - char_length({t})))"
+        return f"lower(reverse(regexp_extract({before}, {quoted(r'^\s*+(\S*+)')}, 1)))"
+
     def opener(state: str, part: str) -> tuple[str, str]:
         kept = f"if({part}.word <> '', {part}.word, if({state}.listed, {state}.word, ''))"
         after = f"named_struct('word', {kept}, 'listed', {part}.bare.known)"
@@ -163,10 +176,8 @@ def _instances(blank: str) -> str:
         return let(f"split({part}.token, ' ')", placed)
 
     def build(hits: str) -> str:
-        gap = fresh("gap")
-        gaps = f"slice(split({blank}, {quoted(_TOKEN)}, -1), 1, size({hits}))"
-        sizes = f"transform({gaps}, ({gap}, {i}) -> char_length({gap}) + char_length(get({hits}, {i})))"
-        made = let(token, lambda t: f"named_struct('word', {word}, 'token', {t}, 'bare', {_bare(t)})")
+        sizes = f"transform({hits}, {hit} -> char_length({hit}))"
+        made = let(token, lambda t: f"named_struct('word', {word(t)}, 'token', {t}, 'bare', {_bare(t)})")
         parts = f"transform({hits}, {hit} -> {made})"
 
         def at(parts: str, ends: str, openers: str) -> str:
@@ -211,7 +222,7 @@ def find_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
         + ", ".join(quoted(k) for k in KINDS)
         + "), x.type) as int) - 1), x.end - x.start)"
     )
-    marked = f"translate(__whole, {quoted(''.join(chr(ord(_MARK) + i) for i in range(4)))}, '~~~~')"
+    marked = _without("__whole", "".join(chr(ord(_MARK) + i) for i in range(4)))
     blank = let(marked, lambda t: _replaced(t, "__apart", marks))
     found = found.withColumn("__seen", F.expr(let(blank, _instances)))
     # Seeds are told apart by their text: cut from the text for the few tokens that are one.

@@ -1,12 +1,14 @@
 """Operators on documents against plain versions, with NULLs, empty and long texts, ties and repeated rows."""
 
 import random
+import time
 
 import public_tokenizers
 import numpy as np
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 
 from maskwright.llm import byte_bpe, decontamination, near_duplicates, personal_data, repeated_text, token_counts
 from tests.llm import brute
@@ -159,6 +161,34 @@ def test_neighbouring_identifiers_are_all_seen(spark):
     assert spans[20] == "phone:6:19,phone:20:33" and spans[41] == "email:4:11,email:12:26" and spans[62] == "phone:9:22"
 
 
+def test_words_before_tokens_whatever_stands_between(spark):
+    texts = ["(see) [x] call(ed)\n\t 7x1", "AB(at)bcd x 12", "  \x0b9a", "12 (34 [56] İs\x85it 7", "a((b [ 5(at", "a[b(at", "a " * 3000 + "(b 1", None]
+    sql = f"transform({personal_data._instances('text')}, t -> concat_ws('|', t.start, t.context, t.value))"
+    seen = {r.doc_id: r.seen for r in frame(spark, texts).select("doc_id", F.expr(sql).alias("seen")).collect()}
+    assert [seen[i] for i in range(8)] == [
+        ["21|call(ed)|7x1"], ["0||AB(at)bcd", "12|x|12"], ["3||9a"], ["0||12", "4|12|34", "8|(34|56", "18|i̇s\x85it|7"],
+        ["7|[|5(at"], [], ["6003|(b|1"], [],
+    ]
+
+
+def test_words_that_are_no_tokens_cost_little(spark):
+    """Beside counting the words: a pattern that tries each place, and looks at each word several times, takes ten times as long."""
+    df = frame(spark, ["plain words (some in brackets) that hold no digit and no sign, so that none of them is a token\n" * 3000] * 24).cache()
+
+    def seconds(sql):
+        taken = []
+        for _ in range(4):
+            start = time.perf_counter()
+            assert df.agg(F.sum(F.expr(sql))).first()[0] is not None
+            taken.append(time.perf_counter() - start)
+        return min(taken)
+
+    counted, searched = seconds(r"size(regexp_extract_all(text, '\\S+', 0))"), seconds(f"size({personal_data._instances('text')})")
+    df.unpersist()
+    print(f"counted {counted:.2f} s, searched {searched:.2f} s")
+    assert searched < 6 * counted
+
+
 def test_forms_of_unseen_identifiers(spark):
     texts = [f"phone +4930 1234 {i:04} now" for i in range(20)] + [f"write q{i}@m.org now" for i in range(20)]
     texts += [f"card {n} x" for n in range(5500000000000000, 5500000000000200) if brute.luhn(str(n))]
